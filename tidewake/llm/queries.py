@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import sentencepiece_bpe
+from tidewake.llm import packing, sentencepiece_bpe, token_files
+from tidewake.llm._shared import scratch
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
@@ -23,8 +24,18 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = token_files.round_trip(table(spark, sf_dir, "documents"), scratch(spark, "tokens"), WORD_MODEL, end_id=1)
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), WORD_MODEL, end_id=2)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_sentencepiece": op1_sentencepiece}
+    return {f.__name__: f for f in (op1_sentencepiece, op6_token_files, op7_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
