@@ -9,6 +9,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker handles at once.
@@ -40,7 +41,7 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
     """Cut a batch into runs of rows whose texts hold about ``limit`` bytes (one row at least)."""
     if batch.num_rows == 0:
         return
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0)).astype(np.int64) + 64
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64) + 64
     part = (np.cumsum(sizes) - sizes) // limit
     starts = np.flatnonzero(np.diff(part, prepend=-1))
     for a, b in zip(starts, [*starts[1:], batch.num_rows]):
