@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import packing, sentencepiece_bpe, token_files
+from tidewake.llm import packing, quality_rules, sentencepiece_bpe, token_files, topk_search, warc_store
 from tidewake.llm._shared import scratch
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -24,6 +24,16 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc_store.write(table(spark, sf_dir, "pages"), path)
+    return warc_store.payload_facts(spark, path).withColumnRenamed("key", "page_id")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = token_files.round_trip(table(spark, sf_dir, "documents"), scratch(spark, "tokens"), WORD_MODEL, end_id=1)
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -34,9 +44,13 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op6_token_files, op7_packing)}
+    return {f.__name__: f for f in (op1_sentencepiece, op3_quality_rules, op4_warc, op6_token_files, op7_packing, op10_topk_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_quality_rules": quality_rules.ORACLE, "op4_warc": warc_store.ORACLE, "op10_topk_search": topk_search.ORACLE}
