@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import packing, quality_rules, sentencepiece_bpe, token_files, topk_search, warc_store
+from tidewake.llm import near_dedup, packing, quality_rules, sentencepiece_bpe, token_files, topk_search, warc_store
 from tidewake.llm._shared import scratch
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -44,13 +44,17 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op3_quality_rules, op4_warc, op6_token_files, op7_packing, op10_topk_search)}
+    return {f.__name__: f for f in (op1_sentencepiece, op3_quality_rules, op4_warc, op6_token_files, op7_packing, op9_near_dedup, op10_topk_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality_rules.ORACLE, "op4_warc": warc_store.ORACLE, "op10_topk_search": topk_search.ORACLE}
+    return {"op3_quality_rules": quality_rules.ORACLE, "op4_warc": warc_store.ORACLE, "op9_near_dedup": near_dedup.ORACLE, "op10_topk_search": topk_search.ORACLE}
