@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import near_dedup, packing, quality_rules, sentencepiece_bpe, token_files, topk_search, warc_store
+from tidewake.llm import near_dedup, packing, quality_classifier, quality_rules, sentencepiece_bpe, token_files, topk_search, warc_store
 from tidewake.llm._shared import scratch
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -24,6 +24,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return quality_classifier.classify(documents, quality_classifier.train(documents, table(spark, sf_dir, "labels")))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -53,7 +58,7 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op3_quality_rules, op4_warc, op6_token_files, op7_packing, op9_near_dedup, op10_topk_search)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_classifier, op3_quality_rules, op4_warc, op6_token_files, op7_packing, op9_near_dedup, op10_topk_search)}
 
 
 def oracle_sql() -> dict[str, str]:
