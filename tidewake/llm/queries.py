@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import near_dedup, packing, quality_classifier, quality_rules, sentencepiece_bpe, token_files, topk_search, warc_store
+from tidewake.llm import line_dedup, near_dedup, packing, quality_classifier, quality_rules, sentencepiece_bpe, token_files, topk_search, warc_store
 from tidewake.llm._shared import scratch
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -39,6 +39,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_store.payload_facts(spark, path).withColumnRenamed("key", "page_id")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "text", F.col("n_lines_").alias("n_lines"), F.col("deleted_lines_").alias("deleted_lines"), F.col("deleted_words_").alias("deleted_words"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = token_files.round_trip(table(spark, sf_dir, "documents"), scratch(spark, "tokens"), WORD_MODEL, end_id=1)
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -58,7 +63,7 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_classifier, op3_quality_rules, op4_warc, op6_token_files, op7_packing, op9_near_dedup, op10_topk_search)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_classifier, op3_quality_rules, op4_warc, op5_line_dedup, op6_token_files, op7_packing, op9_near_dedup, op10_topk_search)}
 
 
 def oracle_sql() -> dict[str, str]:
