@@ -98,8 +98,9 @@ def judge(text: str | None) -> tuple:
     return len(words), chars, sum(map(text.count, SYMBOLS)), len(full) - len(set(full)), repeat, failed, not failed and 100 * lost <= MOST_LOST * chars, lost, "\n".join(kept_lines)
 
 
-def apply_rules(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, the base counts, ``base_failed``, ``kept``, ``lost_chars`` and ``cleaned`` (the text without failing lines) of each row.
+def apply_rules(df: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, the base counts, ``base_failed``, ``kept``, ``lost_chars`` and ``cleaned`` (the text without failing lines) of each row, and
+    the columns named in ``keep``.
 
     A narrow operator without a shuffle. A null text counts as empty: it has no words, so it fails. Equal rows each give a row; other
     columns are left out whatever their names; an empty table gives an empty one. Long texts are judged whole.
@@ -107,15 +108,17 @@ def apply_rules(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     longs = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     names = [*longs, "base_failed", "kept", "lost_chars", "cleaned"]
     types = [*[pa.int64()] * 5, pa.bool_(), pa.bool_(), pa.int64(), pa.string()]
+    passed = [key, *(c for c in keep if c != key)]
+    read = [*passed, *([text] if text not in passed else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, text):
                 columns = zip(*map(judge, part.column(text).to_pylist()))
-                yield pa.RecordBatch.from_arrays([part.column(key), *(pa.array(c, t) for c, t in zip(columns, types))], [key, *names])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in passed), *(pa.array(c, t) for c, t in zip(columns, types))], [*passed, *names])
 
-    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, {', '.join(f'{c} long' for c in longs)}, base_failed boolean, kept boolean, lost_chars long, cleaned string"
-    return df.select(key, text).mapInArrow(run, schema)
+    schema = f"{', '.join(f'`{c}` {df.schema[c].dataType.simpleString()}' for c in passed)}, {', '.join(f'{c} long' for c in longs)}, base_failed boolean, kept boolean, lost_chars long, cleaned string"
+    return df.select(read).mapInArrow(run, schema)
 
 
 def _sql_class(chars: str) -> str:
