@@ -66,26 +66,34 @@ def list_array(flat: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
 
 
 class WordMemory:
-    """Ids of words already seen by this worker, so that each distinct word is encoded once.
+    """Ids of words already seen by this worker, so that a word that comes often is encoded once.
 
-    ``encode(words)`` gives (flat ids, lengths) of distinct words. Bounded: forgets everything when ``most`` words are held.
-    Words of over ``longest`` characters are encoded anew each time.
+    ``encode(words)`` gives (flat ids, lengths) of distinct words. Bounded: once ``most`` words are held, the half that was used more
+    stays. Words of over ``longest`` characters are encoded anew each time.
     """
 
-    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], most: int = 300_000, longest: int = 64):
+    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], most: int = 800_000, longest: int = 64):
         self.encode, self.most, self.longest = encode, most, longest
-        self.clear()
-
-    def clear(self) -> None:
         self.index: dict = {}
-        self.flat = np.zeros(0, np.int32)
-        self.starts = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
+        self._hold(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def _hold(self, flat: np.ndarray, lengths: np.ndarray, uses: np.ndarray) -> None:
+        self.flat, self.lengths, self.uses = flat, lengths, uses
+        self.starts = np.cumsum(lengths) - lengths
+
+    def _forget(self) -> None:
+        words = list(self.index)
+        at = np.fromiter(self.index.values(), np.int64, len(words))
+        uses = self.uses[at]
+        keep = np.sort(np.argsort(-uses, kind="stable")[: self.most // 2])
+        at = at[keep]
+        self.index = dict(zip(map(words.__getitem__, keep.tolist()), range(len(keep))))
+        self._hold(ragged(self.flat, self.starts[at], self.lengths[at]), self.lengths[at], uses[keep] // 2)
 
     def ids(self, words: list) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, ids per word) of the words in order."""
-        if len(self.index) > self.most:
-            self.clear()
+        if len(self.index) > self.most or len(self.flat) > 16 * self.most:
+            self._forget()
         codes = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(codes < 0)
         passing: list = []
@@ -94,15 +102,12 @@ class WordMemory:
             flat, lengths = self.encode(new)
             base = len(self.starts)
             self.index.update(zip(new, range(base, base + len(new))))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-            self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
-            self.lengths = np.concatenate([self.lengths, lengths])
+            self._hold(np.concatenate([self.flat, flat.astype(np.int32)]), np.concatenate([self.lengths, lengths]), np.concatenate([self.uses, np.zeros(len(new), np.int64)]))
             codes[missing] = np.fromiter(map(self.index.__getitem__, map(words.__getitem__, missing.tolist())), np.int64, len(missing))
             passing = [w for w in new if len(w) > self.longest]
+        self.uses += np.bincount(codes, minlength=len(self.uses))
         lengths = self.lengths[codes]
         out = ragged(self.flat, self.starts[codes], lengths)
-        for w in passing:  # their ids stay until the next clear, their texts don't
+        for w in passing:  # their ids stay until the next clearing, their texts don't
             del self.index[w]
-        if len(self.flat) > 16 * self.most:
-            self.clear()
         return out, lengths

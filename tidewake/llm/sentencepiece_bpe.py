@@ -315,6 +315,12 @@ class Encoder:
         return flat, np.concatenate([[0], np.cumsum(per_word)])[offsets(counts)][1:] - np.concatenate([[0], np.cumsum(per_word)])[offsets(counts)][:-1]
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """This worker's encoder, whose memory of words outlives a task."""
+    return Encoder(path)
+
+
 def encode_decode(df: DataFrame, model_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``ids`` (array<int>, without begin or end ids) and ``decoded`` (the text of those ids) of every row.
 
@@ -325,11 +331,11 @@ def encode_decode(df: DataFrame, model_path: str, key: str = "doc_id", text: str
     schema = f"`{key}` {df.schema[key].dataType.simpleString()}, ids array<int>, decoded string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(model_path)
+        pieces = encoder(model_path)
         for batch in batches:
             for part in text_slices(batch, text):
-                flat, lengths = encoder.encode(part.column(text).to_pylist())
-                decoded = encoder.model.decode_flat(flat, lengths)
+                flat, lengths = pieces.encode(part.column(text).to_pylist())
+                decoded = pieces.model.decode_flat(flat, lengths)
                 yield pa.RecordBatch.from_arrays([part.column(key), list_array(flat.astype(np.int32), lengths), pa.array(decoded, pa.string())], [key, "ids", "decoded"])
 
     return df.select(key, text).mapInArrow(run, schema)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewake.llm._shared import text_slices
-from tidewake.llm.word_bpe import Encoder, binary_array
+from tidewake.llm.word_bpe import binary_array, encoder
 
 #: Tokens that a reader hands over at once.
 READ_TOKENS = 1 << 20
@@ -49,8 +49,8 @@ def write(df: DataFrame, path: str, model_path: str, end_id: int, key: str = "do
     fs.create_dir(root, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, fs, part = Encoder(model_path), _fs(path)[0], TaskContext.get().partitionId()
-        kind = np.dtype("<u2" if max(encoder.vocabulary, end_id + 1) <= 1 << 16 else "<u4")
+        words, fs, part = encoder(model_path), _fs(path)[0], TaskContext.get().partitionId()
+        kind = np.dtype("<u2" if max(words.vocabulary, end_id + 1) <= 1 << 16 else "<u4")
         fs.create_dir(root, recursive=True)
         temp = f"{root}/.{part}-{uuid.uuid4().hex}"
         names = {x: f"{temp}-{x}" for x in ("tokens", "offsets", "keys")}
@@ -60,7 +60,7 @@ def write(df: DataFrame, path: str, model_path: str, end_id: int, key: str = "do
             offs.write(np.zeros(1, "<u8").tobytes())
             for batch in batches:
                 for piece in text_slices(batch, text):
-                    flat, lengths = encoder.encode(piece.column(text).to_pylist(), end_id)
+                    flat, lengths = words.encode(piece.column(text).to_pylist(), end_id)
                     tokens.write(flat.astype(kind).tobytes())
                     offs.write((total + np.cumsum(lengths)).astype("<u8").tobytes())
                     only = pa.RecordBatch.from_arrays([piece.column(key)], ["key"])
