@@ -90,13 +90,12 @@ class WordMemory:
         self.index = dict(zip(map(words.__getitem__, keep.tolist()), range(len(keep))))
         self._hold(ragged(self.flat, self.starts[at], self.lengths[at]), self.lengths[at], uses[keep] // 2)
 
-    def ids(self, words: list) -> tuple[np.ndarray, np.ndarray]:
-        """(flat ids, ids per word) of the words in order."""
+    def _codes(self, words: list) -> np.ndarray:
+        """The place of each word's ids; new words are encoded."""
         if len(self.index) > self.most or len(self.flat) > 16 * self.most:
             self._forget()
         codes = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(codes < 0)
-        passing: list = []
         if len(missing):
             new = list(dict.fromkeys(map(words.__getitem__, missing.tolist())))
             flat, lengths = self.encode(new)
@@ -104,10 +103,21 @@ class WordMemory:
             self.index.update(zip(new, range(base, base + len(new))))
             self._hold(np.concatenate([self.flat, flat.astype(np.int32)]), np.concatenate([self.lengths, lengths]), np.concatenate([self.uses, np.zeros(len(new), np.int64)]))
             codes[missing] = np.fromiter(map(self.index.__getitem__, map(words.__getitem__, missing.tolist())), np.int64, len(missing))
-            passing = [w for w in new if len(w) > self.longest]
+            for w in new:  # of long words the ids stay until the next clearing, the texts don't
+                if len(w) > self.longest:
+                    del self.index[w]
+        return codes
+
+    def _out(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         self.uses += np.bincount(codes, minlength=len(self.uses))
         lengths = self.lengths[codes]
-        out = ragged(self.flat, self.starts[codes], lengths)
-        for w in passing:  # their ids stay until the next clearing, their texts don't
-            del self.index[w]
-        return out, lengths
+        return ragged(self.flat, self.starts[codes], lengths), lengths
+
+    def ids(self, words: list) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids, ids per word) of the words in order."""
+        return self._out(self._codes(words))
+
+    def ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for an Arrow array of words: only distinct ones become Python objects."""
+        coded = words.dictionary_encode()
+        return self._out(self._codes(coded.dictionary.to_pylist())[np.asarray(coded.indices)])

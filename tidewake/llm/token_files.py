@@ -59,8 +59,8 @@ def write(df: DataFrame, path: str, model_path: str, end_id: int, key: str = "do
         with fs.open_output_stream(names["tokens"]) as tokens, fs.open_output_stream(names["offsets"]) as offs, fs.open_output_stream(names["keys"]) as key_file:
             offs.write(np.zeros(1, "<u8").tobytes())
             for batch in batches:
-                for piece in text_slices(batch, text):
-                    flat, lengths = words.encode(piece.column(text).to_pylist(), end_id)
+                for piece in text_slices(batch, text, 8 << 20):
+                    flat, lengths = words.encode(piece.column(text), end_id)
                     tokens.write(flat.astype(kind).tobytes())
                     offs.write((total + np.cumsum(lengths)).astype("<u8").tobytes())
                     only = pa.RecordBatch.from_arrays([piece.column(key)], ["key"])

@@ -6,12 +6,19 @@ text's ids are its words' ids in order; so words go through the library and text
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from tidewake.llm._shared import WordMemory, offsets
+from tidewake.llm._shared import WordMemory, offsets, ragged
+
+#: Latin letters that stay letters when lower-cased, in UTF-8.
+_plain = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+[.,]?").fullmatch
 
 
 @lru_cache(maxsize=2)
@@ -34,42 +41,61 @@ class Encoder:
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
         self.memory = WordMemory(self._encode_words)
         special = [(i, t.content) for i, t in self.library.get_added_tokens_decoder().items() if t.special]
+        self.ends = np.zeros(self.vocabulary, bool)
+        suffix = json.loads(self.library.to_str())["model"].get("end_of_word_suffix")
+        if suffix:
+            self.ends[[i for t, i in self.library.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
         self.fence_id, self.fence = (special[0][0], special[0][1].encode()) if special else (-1, b"")
 
     def _encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Words go through the library some hundreds at once, between special tokens that show where each ends."""
-        odd = [k for k, w in enumerate(words) if not self.fence or b"<" in w]
-        plain = [w for w in words if b"<" not in w] if odd else words
-        found: list[np.ndarray] = []
-        for at in range(0, len(plain) if self.fence else 0, 500):
-            joined = self.fence.join([*plain[at : at + 500], b""]).decode()
-            found.append(np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32))
-        flat = np.concatenate(found) if found else np.zeros(0, np.int32)
-        ends = np.flatnonzero(flat == self.fence_id)
-        lengths = np.diff(ends, prepend=-1) - 1
-        flat = flat[flat != self.fence_id]
-        if not odd:
-            return flat, lengths
-        alone = [e.ids for e in self.library.encode_batch_fast([words[k].decode() for k in odd], add_special_tokens=False)]
-        runs = iter(np.split(flat, np.cumsum(lengths)[:-1]) if len(lengths) else [])
-        among = dict(zip(odd, alone))
-        both = [np.array(among[k], np.int32) if k in among else next(runs) for k in range(len(words))]
-        return np.concatenate(both), np.array([len(x) for x in both], np.int64)
-
-    def encode(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Words go through the library some hundreds at once.
+
+        Plain words (letters that stay letters, then a full stop or comma at most) are joined by spaces: a token that ends a word
+        shows where each stops. Others are joined by a special token, those that might hold one go alone.
+        """
+        kinds = [0 if _plain(w) else 2 if b"<" in w or not self.fence else 1 for w in words]
+        out_len = np.zeros(len(words), np.int64)
+        runs: list[tuple[np.ndarray, np.ndarray]] = []  # (places, flat ids)
+        places = [np.flatnonzero(np.array(kinds, np.int8) == k) for k in range(3)]
+        for at in range(0, len(places[0]), 500):
+            mine = places[0][at : at + 500]
+            some = [words[k] for k in mine.tolist()]
+            flat = np.array(self._library_ids(b" ".join(some)), np.int64)
+            ends = np.flatnonzero(self.ends[flat])
+            parts = np.cumsum(np.fromiter((1 + (w[-1] in b".,") for w in some), np.int64, len(some)))
+            if len(ends) != parts[-1]:
+                raise ValueError("the vocabulary doesn't mark the ends of words")
+            out_len[mine] = np.diff(ends[parts - 1], prepend=-1)
+            runs.append((mine, flat))
+        for at in range(0, len(places[1]), 500):
+            mine = places[1][at : at + 500]
+            flat = np.array(self._library_ids(self.fence.join([*(words[k] for k in mine.tolist()), b""])), np.int64)
+            out_len[mine] = np.diff(np.flatnonzero(flat == self.fence_id), prepend=-1) - 1
+            runs.append((mine, flat[flat != self.fence_id]))
+        for k in places[2].tolist():
+            flat = np.array(self._library_ids(words[k]), np.int64)
+            out_len[k] = len(flat)
+            runs.append((np.array([k]), flat))
+        if not runs:
+            return np.zeros(0, np.int32), out_len
+        order = np.concatenate([mine for mine, _ in runs])
+        flat = np.concatenate([ids for _, ids in runs])
+        starts = np.empty(len(words), np.int64)
+        starts[order] = np.cumsum(out_len[order]) - out_len[order]
+        return ragged(flat, starts, out_len), out_len
+
+    def _library_ids(self, text: bytes) -> list[int]:
+        return self.library.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, ids per text); null texts are empty; ``end`` is put behind each text."""
-        words: list[bytes] = []
-        counts = np.zeros(len(texts), np.int64)
-        for k, text in enumerate(texts):
-            if text:
-                found = text.encode().split()
-                counts[k] = len(found)
-                words += found
-        flat, per_word = self.memory.ids(words)
+        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        counts = np.asarray(words.value_lengths()).astype(np.int64)
+        flat, per_word = self.memory.ids_of(words.flatten().cast(pa.binary()))
         lengths = np.diff(np.concatenate([[0], np.cumsum(per_word)])[offsets(counts)])
         if end is None:
             return flat, lengths
-        out = np.empty(len(flat) + len(texts), np.int32)
+        out = np.empty(len(flat) + len(counts), np.int32)
         stop = np.cumsum(lengths + 1) - 1
         keep = np.ones(len(out), bool)
         keep[stop] = False
@@ -79,7 +105,5 @@ class Encoder:
 
 def binary_array(flat: np.ndarray, lengths: np.ndarray):
     """Each run of ids as its little-endian bytes."""
-    import pyarrow as pa
-
     data = pa.py_buffer(np.ascontiguousarray(flat))
     return pa.Array.from_buffers(pa.large_binary() if flat.nbytes > 2**31 - 1 else pa.binary(), len(lengths), [None, pa.py_buffer((offsets(lengths) * flat.itemsize).astype(np.int64 if flat.nbytes > 2**31 - 1 else np.int32)), data])
