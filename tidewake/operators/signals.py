@@ -96,7 +96,7 @@ def _ladder(c: Column, *steps: tuple[float, float], above: bool = True) -> Colum
     return out
 
 
-def confidence(f: DataFrame, bits: str = "domain_entropy") -> DataFrame:
+def confidence(f: DataFrame, bits: str = "domain_entropy", digits: int = 3) -> DataFrame:
     """confidence, confidence_lower, confidence_upper and adequacy; ``bits`` is source entropy in bits."""
     n, sd, m = F.col("post_count"), F.col(bits), F.col("dna_match_count")
     p = (
@@ -117,9 +117,9 @@ def confidence(f: DataFrame, bits: str = "domain_entropy") -> DataFrame:
     out = f.withColumn("_p", p).withColumn("_m", 1 / F.sqrt(F.greatest(F.lit(3), n)))
     raised = F.when((m >= 5) & (F.col("_p") < 0.65), F.least(F.lit(0.70), F.col("_p") + 0.10)).otherwise(F.col("_p"))
     return (
-        out.withColumn("confidence", F.round(raised, 3))
-        .withColumn("confidence_lower", F.round(F.greatest(F.lit(0.05), F.least(F.col("_p"), F.col("_p") * (1 - F.col("_m")))), 3))
-        .withColumn("confidence_upper", F.round(F.least(F.lit(0.99), F.greatest(F.col("_p"), F.col("_p") * (1 + F.col("_m") / 2))), 3))
+        out.withColumn("confidence", F.round(raised, digits))
+        .withColumn("confidence_lower", F.round(F.greatest(F.lit(0.05), F.least(F.col("_p"), F.col("_p") * (1 - F.col("_m")))), digits))
+        .withColumn("confidence_upper", F.round(F.least(F.lit(0.99), F.greatest(F.col("_p"), F.col("_p") * (1 + F.col("_m") / 2))), digits))
         .withColumn("adequacy", F.when((n >= 50) & (sd >= 0.4), "sufficient").when(n >= 15, "moderate").when(n >= 5, "marginal").otherwise("insufficient"))
         .drop("_p", "_m")
     )

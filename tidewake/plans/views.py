@@ -80,4 +80,6 @@ def with_parts(sql: str, *names: str) -> str:
 
     for n in names:
         add(n)
+    if not need:
+        return sql
     return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in order if n in need) + "\n" + sql
