@@ -23,6 +23,7 @@ from tidewake.llm.word_bpe import binary_array, encoder
 
 #: Tokens that a reader hands over at once.
 READ_TOKENS = 1 << 20
+_MANIFEST = "part long, width int, documents long, tokens long, first_document long, first_token long"
 
 
 def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -83,7 +84,7 @@ def write(df: DataFrame, path: str, model_path: str, end_id: int, key: str = "do
     for r in sorted(sizes, key=lambda r: r.part):
         rows.append((r.part, r.width, r.documents, r.tokens, first_document, first_token))
         first_document, first_token = first_document + r.documents, first_token + r.tokens
-    manifest = spark.createDataFrame(rows, "part long, width int, documents long, tokens long, first_document long, first_token long")
+    manifest = spark.createDataFrame(rows, _MANIFEST)
     manifest.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
     return manifest
 
@@ -110,7 +111,7 @@ def read(spark: SparkSession, path: str, key_type: str = "bigint", key: str = "d
                         ids = np.asarray(tokens[offs[a] : offs[b]]).astype("<u4")
                         yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array(offs[a:b] + r["first_token"]), pa.array(lengths), binary_array(ids, lengths)], [key, "start", "n_tokens", "ids"])
 
-    manifest = spark.read.parquet(f"{path}/manifest")
+    manifest = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest")
     parts = manifest.count()
     return manifest.select("part", "width", "first_token").repartition(max(1, parts)).mapInArrow(run, f"`{key}` {key_type}, start bigint, n_tokens bigint, ids binary")
 

@@ -27,6 +27,7 @@ LEAST = 100
 #: An archive is closed when it holds so many bytes.
 ARCHIVE_BYTES = 1 << 30
 _BATCH = 4 << 20
+_HEADERS = "key long, digest string, record_type string, refers_to long, header binary, archive string"
 _PARSED = [("key", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("digest", pa.string()), ("header", pa.binary()), ("payload", pa.binary())]
 
 
@@ -115,9 +116,8 @@ def write(df: DataFrame, path: str, key: str = "page_id", url: str = "url", body
             if out is not None:
                 out.close()
 
-    schema = "key long, digest string, record_type string, refers_to long, header binary, archive string"
-    records.mapInArrow(run, schema).write.parquet(f"{path}/headers")
-    named = {r.archive for r in spark.read.parquet(f"{path}/headers").select("archive").distinct().collect()}  # a name for each writing task
+    records.mapInArrow(run, _HEADERS).write.parquet(f"{path}/headers")
+    named = {r.archive for r in spark.read.schema(_HEADERS).parquet(f"{path}/headers").select("archive").distinct().collect()}  # a name for each writing task
     for f in fs.get_file_info(pafs.FileSelector(f"{root}/archives")):
         if f.base_name not in named:
             fs.delete_file(f.path)
@@ -126,7 +126,7 @@ def write(df: DataFrame, path: str, key: str = "page_id", url: str = "url", body
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Every record as parsed from the archives: key, record_type, refers_to, digest, header, payload (null for revisits)."""
     root = pafs.FileSystem.from_uri(path)[1]
-    names = spark.read.parquet(f"{path}/headers").select("archive").distinct()
+    names = spark.read.schema(_HEADERS).parquet(f"{path}/headers").select("archive").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs = pafs.FileSystem.from_uri(path)[0]
@@ -161,7 +161,7 @@ def payload_facts(spark: SparkSession, path: str) -> DataFrame:
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
     """key and ``record``: the original record of each row, its header block from the table, its payload by a join on the digest."""
     payloads = read(spark, path).where("record_type = 'response'").select("digest", "payload").dropDuplicates(["digest"])
-    headers = spark.read.parquet(f"{path}/headers")
+    headers = spark.read.schema(_HEADERS).parquet(f"{path}/headers")
     return headers.join(payloads, "digest", "left").select("key", F.concat("header", F.lit(HTTP), F.coalesce("payload", F.lit(b"")), F.lit(b"\r\n\r\n")).alias("record"))
 
 
