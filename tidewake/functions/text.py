@@ -86,12 +86,15 @@ def unescape(s: pd.Series) -> pd.Series:
 
 
 def fix_mojibake(s: Column) -> Column:
-    """Text that was read as Latin-1 is read again as UTF-8, if it shows the signs and fits Latin-1. References must be unescaped before."""
+    """Text that was read as Latin-1 is read again as UTF-8 (wrong bytes become U+FFFD), if it shows the signs and fits Latin-1.
+
+    References must be unescaped before.
+    """
     marked = F.lit(False)
     for m in fixed.MOJIBAKE_MARKERS:
         marked = marked | F.contains(s, F.lit(m))
     fits = ~s.rlike(r"[^\x00-\xFF]")
-    return F.when(marked & fits, F.decode(F.encode(F.when(fits, s).otherwise(""), "ISO-8859-1"), "UTF-8")).otherwise(s)
+    return F.when(marked & fits, F.make_valid_utf8(F.encode(F.when(fits, s).otherwise(""), "ISO-8859-1").cast("string"))).otherwise(s)
 
 
 def printable_share(s: Column) -> Column:

@@ -24,9 +24,9 @@ def spread(posts: DataFrame, key: str, domain: str, language: str) -> DataFrame:
 
 
 def tone_uniformity(posts: DataFrame, key: str, polarity: str, tone: str) -> DataFrame:
-    per = posts.groupBy(key).agg(F.count(polarity).alias("k"), F.var_pop(polarity).alias("p"), F.var_pop(tone).alias("t"))
+    per = posts.groupBy(key).agg(F.count(polarity).alias("_count"), F.var_pop(polarity).alias("p"), F.var_pop(tone).alias("t"))
     v = 0.6 * F.col("p") + 0.4 * F.coalesce("t", "p")
-    return per.select(key, F.when(F.col("k") < 5, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - F.least(F.lit(1.0), v / 2))).alias("tone_uniformity"))
+    return per.select(key, F.when(F.col("_count") < 5, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - F.least(F.lit(1.0), v / 2))).alias("tone_uniformity"))
 
 
 def hash_ratio(posts: DataFrame, key: str, content: str) -> DataFrame:
@@ -128,12 +128,12 @@ def confidence(f: DataFrame, bits: str = "domain_entropy", digits: int = 3) -> D
 def coherence(posts: DataFrame, tokens: DataFrame, entities: DataFrame, key: str, member: str, token: str, entity: str) -> DataFrame:
     """0.7 of continuity and 0.3 of the titles' mean similarity; 0.5 under three posts or 30 % of posts with entities."""
     n = posts.groupBy(key).agg(F.count_distinct(member).alias("n"))
-    covered = entities.groupBy(key).agg(F.count_distinct(member).alias("k"))
+    covered = entities.groupBy(key).agg(F.count_distinct(member).alias("_covered"))
     c = sets.continuity(posts, entities, key, member, entity, list(fixed.GENERIC_ENTITIES))
     j = sets.mean_jaccard(tokens, key, member, token)
     joined = n.join(covered, key, "left").join(c, key, "left").join(j.select(key, "jaccard"), key, "left")
     value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.70 * F.col("continuity") + 0.30 * F.coalesce("jaccard", F.lit(0.0))))
-    enough = (F.col("n") >= 3) & (F.coalesce("k", F.lit(0)) >= 0.30 * F.col("n"))
+    enough = (F.col("n") >= 3) & (F.coalesce("_covered", F.lit(0)) >= 0.30 * F.col("n"))
     return joined.select(key, F.when(enough, value).otherwise(0.5).alias("narrative_coherence"))
 
 
