@@ -20,11 +20,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     mark = None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # minima are stored, so that the joins with them have shuffles of their own on both sides and a hot node can be split
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # a node that is its neighbourhood's minimum keeps its edges above; the others hand theirs to the minimum and hold on to it
         large = large.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stored(large, "edges")
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
