@@ -71,6 +71,16 @@ def with_defaults(features: DataFrame) -> DataFrame:
     return out
 
 
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are evaluated once.
+
+    Projections are merged and filters moved down by copying expressions; over the cascade's steps those copies would multiply. An
+    explode of one struct is a border that neither crosses, inside generated code and without a shuffle.
+    """
+    one = F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_settled")
+    return df.select(*(c for c in df.columns if c not in columns), one).select("*", "_settled.*").drop("_settled")
+
+
 def apply_rules(features: DataFrame) -> DataFrame:
     """Adds rules_fired (names in order), rule_trace (structs), cap, floor, zero, suppressed and forced_level.
 
@@ -85,22 +95,23 @@ def apply_rules(features: DataFrame) -> DataFrame:
         structs.append(
             F.struct(F.lit(r.name).alias("rule"), F.lit(r.kind).alias("kind"), fired.alias("fired"), F.expr(r.cap).cast("double").alias("cap"), F.expr(r.floor).cast("double").alias("floor"), F.expr(r.level).cast("string").alias("level"))
         )
-    traced = with_defaults(features).withColumn("rule_trace", F.array(*structs)).withColumn("_fired", F.filter("rule_trace", lambda g: g["fired"]))
+    traced = settled(with_defaults(features), rule_trace=F.array(*structs))
+    traced = settled(traced, _fired=F.filter("rule_trace", lambda g: g["fired"]))
     any_of = lambda kind: F.exists("_fired", lambda g: g["kind"] == kind)
     levels = F.transform("_fired", lambda g: g["level"])
-    return (
-        traced.withColumn("rules_fired", F.transform("_fired", lambda g: g["rule"]))
-        .withColumn("cap", F.coalesce(F.array_min(F.transform("_fired", lambda g: g["cap"])), F.lit(100.0)))
-        .withColumn("floor", F.coalesce(F.array_max(F.transform("_fired", lambda g: g["floor"])), F.lit(0.0)))
-        .withColumn("zero", any_of("terminal"))
-        .withColumn("suppressed", any_of("suppress") | any_of("terminal"))
-        .withColumn("forced_level", F.when(F.array_contains(levels, "critical"), "critical").when(F.array_contains(levels, "elevated"), "elevated"))
-        .drop("_fired")
-    )
+    return settled(
+        traced,
+        rules_fired=F.transform("_fired", lambda g: g["rule"]),
+        cap=F.coalesce(F.array_min(F.transform("_fired", lambda g: g["cap"])), F.lit(100.0)),
+        floor=F.coalesce(F.array_max(F.transform("_fired", lambda g: g["floor"])), F.lit(0.0)),
+        zero=any_of("terminal"),
+        suppressed=any_of("suppress") | any_of("terminal"),
+        forced_level=F.when(F.array_contains(levels, "critical"), "critical").when(F.array_contains(levels, "elevated"), "elevated"),
+    ).drop("_fired")
 
 
 def final_score(ruled: DataFrame, raw: str = "raw_score") -> DataFrame:
     """score and alert_level: the floor beats the cap, a terminal rule gives zero, suppression gives ``normal``."""
     score = F.when(F.col("zero"), 0.0).otherwise(F.round(F.greatest(F.least(F.col(raw), F.col("cap")), F.col("floor")), 2))
     level: Column = F.when(F.col("suppressed"), "normal").when(F.col("forced_level").isNotNull(), F.col("forced_level")).when(F.col("score") >= 80, "critical").when(F.col("score") >= 60, "elevated").otherwise("normal")
-    return ruled.withColumn("score", score).withColumn("alert_level", level)
+    return settled(settled(ruled, score=score), alert_level=level)

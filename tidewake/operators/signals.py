@@ -5,7 +5,7 @@ Each function takes all posts and gives one row for each group, so a job is a ha
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewake.functions import fixed_values as fixed
@@ -38,8 +38,6 @@ def shared_path(posts: DataFrame, key: str, domain: str, path: str) -> DataFrame
     """(key, path, domains, coverage) of the group's most common URL path over three characters."""
     n = posts.groupBy(key).agg(F.count("*").alias("n"))
     counts = posts.where((F.length(path) > 3) & (F.length(domain) > 3)).groupBy(key, path).agg(F.count("*").alias("c"), F.count_distinct(domain).alias("domains"))
-    from pyspark.sql import Window
-
     best = counts.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("c"), path))).where("r = 1")
     return n.join(best, key, "left").select(key, path, F.coalesce("domains", F.lit(0)).alias("path_domains"), (F.coalesce("c", F.lit(0)) / F.col("n")).alias("path_coverage"))
 
@@ -83,9 +81,9 @@ def raw_velocity(f: DataFrame) -> DataFrame:
         x = a * F.col("burst") + b * F.col("spread") - c * F.col("mutation") + d * F.col("tone_uniformity")
         scores.append(F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 * vectors.logistic(x) * F.col("coordination"))), 2))
     weights = [w[4] for w in ENSEMBLE.values()]
-    out = f.withColumn("_s", F.array(*scores))
+    out = rules.settled(f, _s=F.array(*scores))
     total = sum((F.col("_s")[k] * w for k, w in enumerate(weights)), F.lit(0.0)) / sum(weights)
-    out = out.withColumn("raw_score", F.round(total, 2)).withColumn("ensemble_disagreement", F.array_max("_s") - F.array_min("_s"))
+    out = rules.settled(out, raw_score=F.round(total, 2), ensemble_disagreement=F.array_max("_s") - F.array_min("_s"))
     return out.withColumn("ensemble_red_flag", (F.col("ensemble_disagreement") < 1) & (F.col("post_count") < 15)).drop("_s")
 
 
@@ -110,18 +108,19 @@ def confidence(f: DataFrame, bits: str = "domain_entropy", digits: int = 3) -> D
     )
     p = p + F.when(m >= 10, 0.10).when(m >= 5, 0.07).when(m >= 1, 0.04).otherwise(0.0)
     clamp = lambda c: F.greatest(F.lit(0.05), F.least(F.lit(0.95), c))
-    p = clamp(p * q)
+    f = rules.settled(f, _q=clamp(p * q))
+    p = F.col("_q")
     p = F.when(sd < 0.20, p * 0.5).otherwise(p)
     p = F.when(F.col("unique_domain_count") <= 1, F.least(p, F.lit(0.40))).otherwise(p)
     p = clamp(F.when((F.col("language_count") > 1) & ~F.col("translated"), p * 1.1).otherwise(p))
-    out = f.withColumn("_p", p).withColumn("_m", 1 / F.sqrt(F.greatest(F.lit(3), n)))
+    out = rules.settled(f, _p=p, _m=1 / F.sqrt(F.greatest(F.lit(3), n)))
     raised = F.when((m >= 5) & (F.col("_p") < 0.65), F.least(F.lit(0.70), F.col("_p") + 0.10)).otherwise(F.col("_p"))
     return (
         out.withColumn("confidence", F.round(raised, digits))
         .withColumn("confidence_lower", F.round(F.greatest(F.lit(0.05), F.least(F.col("_p"), F.col("_p") * (1 - F.col("_m")))), digits))
         .withColumn("confidence_upper", F.round(F.least(F.lit(0.99), F.greatest(F.col("_p"), F.col("_p") * (1 + F.col("_m") / 2))), digits))
         .withColumn("adequacy", F.when((n >= 50) & (sd >= 0.4), "sufficient").when(n >= 15, "moderate").when(n >= 5, "marginal").otherwise("insufficient"))
-        .drop("_p", "_m")
+        .drop("_p", "_m", "_q")
     )
 
 
