@@ -162,10 +162,10 @@ def o05_narrative_detail(spark: SparkSession, d: str) -> DataFrame:
     return s.join(m, "k").select("k", "score_", "alert_level", "domains", "first_seen")
 
 
-@query("SELECT date_trunc('hour', ts) AS hour, count(DISTINCT user_id) AS clusters, round(avg(value * 10), 2) AS mean_score, round(max(value * 10), 4) AS max_score, count(*) FILTER (WHERE value * 10 >= 80) AS critical FROM events WHERE ts > TIMESTAMP '2024-02-15 00:00:00' - INTERVAL 720 HOURS GROUP BY 1")
+@query("SELECT date_trunc('hour', ts) AS hour, count(DISTINCT user_id) AS clusters, round(sum(value * 10), 1) AS sum_score, round(max(value * 10), 4) AS max_score, count(*) FILTER (WHERE value * 10 >= 80) AS critical FROM events WHERE ts > TIMESTAMP '2024-02-15 00:00:00' - INTERVAL 720 HOURS GROUP BY 1")
 def o10_score_timeline(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").where(F.col("ts").cast("timestamp") > as_of() - F.expr("INTERVAL 720 HOURS")).withColumn("score", F.col("value") * 10)
-    return e.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count_distinct("user_id").alias("clusters"), F.round(F.avg("score"), 2).alias("mean_score"), r4(F.max("score"), "max_score"), F.count_if(F.col("score") >= 80).alias("critical"))
+    return e.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count_distinct("user_id").alias("clusters"), F.round(F.sum("score"), 1).alias("sum_score"), r4(F.max("score"), "max_score"), F.count_if(F.col("score") >= 80).alias("critical"))
 
 
 @query(f"WITH p AS ({_PAIRS}) SELECT p.a, p.b, round(p.score, 4) AS score, 'c' || x.label AS label_a, 'c' || y.label AS label_b FROM p JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b ORDER BY p.score DESC, p.a, p.b LIMIT 50")
