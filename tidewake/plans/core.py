@@ -31,7 +31,7 @@ _LINE = "concat_ws('\t', cast(doc_id AS STRING), '20240102030405', '', source, c
 def a03_knowledge_rows(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "documents").select(F.expr(_LINE).alias("value"))
     r = landing.knowledge_rows(lines)
-    return r.select("record_id", "published_at", "source", "url", F.size("themes").alias("themes"), F.col("tone.tone").alias("tone"), F.col("tone.polarity").alias("polarity"), "page_title")
+    return r.select("record_id", F.col("published_at").cast("timestamp_ntz").alias("published_at"), "source", "url", F.size("themes").alias("themes"), F.col("tone.tone").alias("tone"), F.col("tone.polarity").alias("polarity"), "page_title")
 
 
 @query("SELECT count(*) AS lines, count(*) FILTER (WHERE doc_id % 4 = 0) AS dropped FROM documents")
@@ -44,7 +44,7 @@ def a05_short_rows(spark: SparkSession, d: str) -> DataFrame:
 def a01_article_lists(spark: SparkSession, d: str) -> DataFrame:
     name = F.create_map(F.lit("en"), F.lit("English"), F.lit("fr"), F.lit("French"), F.lit("de"), F.lit("German"), F.lit("es"), F.lit("Spanish"))
     one = table(spark, d, "documents").select(F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("T"), "doc_id").alias("title"), F.concat(F.lit("https://x.org/"), "doc_id").alias("url"), F.try_element_at(name, F.col("lang")).alias("language"), F.lit("20240506T070809Z").alias("seendate"))).alias("articles"))).alias("value"))
-    return landing.articles(one).select("source", "title", "url", "language", "published_at")
+    return landing.articles(one).select("source", "title", "url", "language", F.col("published_at").cast("timestamp_ntz").alias("published_at"))
 
 
 @query("SELECT 'https://bsky.app/profile/did' || conv_id || '/post/' || turn AS url, text AS content, 'did' || conv_id AS author, 'en' AS language, TIMESTAMP '2024-05-06 07:08:09.123' AS published_at FROM conversations WHERE role = 'user' AND length(text) >= 10")
@@ -52,7 +52,7 @@ def a07_post_events(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations")
     record = F.struct(F.col("text"), F.lit("2024-05-06T07:08:09.123Z").alias("createdAt"))
     event = F.to_json(F.struct(F.lit("commit").alias("kind"), F.concat(F.lit("did"), "conv_id").alias("did"), F.struct(F.when(F.col("role") == "user", "create").otherwise("delete").alias("operation"), F.lit("app.bsky.feed.post").alias("collection"), F.col("turn").cast("string").alias("rkey"), record.alias("record")).alias("commit")))
-    return landing.post_events(c.select(event.alias("value"))).select("url", "content", "author", "language", "published_at")
+    return landing.post_events(c.select(event.alias("value"))).select("url", "content", "author", "language", F.col("published_at").cast("timestamp_ntz").alias("published_at"))
 
 
 _REL = "length(text) >= 30 AND (" + " OR ".join(f"contains(lower(text), '{w}')" for w in fixed.SIGNAL_PHRASES) + " OR (" + " + ".join(f"contains(lower(text), '{w}')::INT" for w in fixed.SIGNAL_WORDS) + ") >= 2)"
@@ -201,7 +201,7 @@ def b26_theme_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", tx.theme_name(F.expr("CASE doc_id % 3 WHEN 0 THEN 'Soc Generalcrime' WHEN 1 THEN 'Econ Thing' ELSE 'Protest' END")).alias("theme"))
 
 
-@query("SELECT doc_id, r FROM (SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN lang = 'fr' THEN 0 ELSE 1 END, doc_id) AS r FROM documents WHERE text ILIKE '%the%' AND source <> '' AND length(text) > 5) WHERE r <= 20")
+@query("SELECT doc_id, r::INT AS r FROM (SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN lang = 'fr' THEN 0 ELSE 1 END, doc_id) AS r FROM documents WHERE text ILIKE '%the%' AND source <> '' AND length(text) > 5) WHERE r <= 20")
 def b28_preferred_first(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents").where(F.col("text").ilike("%the%") & (F.col("source") != "") & (F.length("text") > 5))
     w = Window.orderBy(F.when(F.col("lang") == "fr", 0).otherwise(1), "doc_id")
