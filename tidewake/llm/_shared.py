@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,6 +13,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim
+except (OSError, AttributeError):  # not glibc
+    _libc = None
+
 #: Bytes of text that a Python worker handles at once.
 SLICE_BYTES = 4 << 20
 
@@ -46,6 +53,14 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
     starts = np.flatnonzero(np.diff(part, prepend=-1))
     for a, b in zip(starts, [*starts[1:], batch.num_rows]):
         yield batch.slice(a, b - a)
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker's peak is then that of one slice, not of all that its allocators have kept."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
 
 
 def ragged(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -72,7 +87,7 @@ class WordMemory:
     stays. Words of over ``longest`` characters are encoded anew each time.
     """
 
-    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], most: int = 800_000, longest: int = 64):
+    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], most: int = 600_000, longest: int = 64):
         self.encode, self.most, self.longest = encode, most, longest
         self.index: dict = {}
         self._hold(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
