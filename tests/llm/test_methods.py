@@ -150,7 +150,11 @@ def test_near_duplicates_by_brute_force(spark, monkeypatch, small):
 
 
 def test_recall_of_trees():
-    assert near_dedup.recall(0.85) > 1 - 1e-6 and near_dedup.recall(0.3) < 0.2
+    assert near_dedup.trees_for(0.85) == 19 and near_dedup.trees_for(0.8) == 27 and near_dedup.trees_for(1.0) == 1
+    for s in (0.8, 0.85, 0.95):
+        n = near_dedup.trees_for(s)
+        assert near_dedup.recall(s, n) >= 1 - near_dedup.MISS > near_dedup.recall(s, n - 1) and near_dedup.recall(0.3, n) < 0.25
+    assert near_dedup.least_alike(0.85, 76) < 0.85 * 76 < near_dedup.least_alike(0.999, 76)
 
 
 def test_components(spark):

@@ -34,7 +34,7 @@ _ENDS = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])), "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])), "dd": (frozenset(["dt", "dd"]), frozenset(["dl"])),
     "tr": (frozenset(["tr"]), frozenset(["table"])), "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])), "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
 }
-_TAGS = ["p", "h1", "h2 h3 h4 h5 h6", "div", "section", "article main", "ul ol dl menu", "li dt dd", "nav", "header", "footer", "aside", "form fieldset search", "table tbody thead tfoot tr td th", "blockquote pre figure figcaption", "body html"]
+_TAGS = ["p", "h1", "h2 h3 h4 h5 h6", "div", "section", "article main", "ul ol dl menu", "li dt dd", "nav", "header", "footer", "aside", "form fieldset search", "table tbody thead tfoot tr td th", "blockquote pre figure figcaption", "#text"]
 _TAG_AT = {t: k for k, group in enumerate(_TAGS) for t in group.split()}
 _WORDS = [
     "nav navigation navbar menu breadcrumb breadcrumbs pagination pager", "ad ads advert advertisement advertising sponsor sponsored promo promotion banner adsense",
@@ -45,7 +45,7 @@ _WORDS = [
 ]
 _WORD_AT = {w: k for k, group in enumerate(_WORDS) for w in group.split()}
 _IN = ["nav", "footer", "aside", "form", "article", "main", "header", "li"]
-_STATS = ["depth", "chars", "words", "links", "word_length", "stops", "commas", "paragraphs", "in_paragraphs", "of_page", "own", "children", "inputs", "siblings", "place", "same_tag", "sibling_chars", "sibling_links", "sibling_share", "long_text"]
+_STATS = ["depth", "chars", "words", "links", "word_length", "stops", "commas", "paragraphs", "in_paragraphs", "of_page", "own", "children", "inputs", "siblings", "place", "same_tag", "sibling_chars", "sibling_links", "sibling_share", "long_text", "rights", "after_main"]
 WIDTH = len(_STATS) + len(_TAGS) + 2 * len(_WORDS) + len(_IN)
 
 
@@ -62,13 +62,30 @@ class Page:
         stack: list[tuple[str, int]] = []  # open tags with the block node that they are or lie in
         node, at, links = 0, 0, 0
         run: list[str] = []
+        linked, has_block = 0, {0}
 
         def flush() -> None:
+            nonlocal linked
             if run:
                 text = " ".join(html.unescape("".join(run)).split())
                 if text:
-                    self.pieces.append((node, text))
+                    at = node
+                    if node in has_block:  # loose text beside blocks is judged by itself
+                        at = add(node, "#text", "")
+                    self.pieces.append((at, text))
+                    self.link_chars[at] += linked
                 run.clear()
+                linked = 0
+
+        def add(parent: int, tag: str, attributes: str) -> int:
+            self.parent.append(parent)
+            self.tag.append(tag)
+            self.attributes.append(attributes)
+            self.inputs.append(0)
+            self.links.append(0)
+            self.link_chars.append(0)
+            has_block.add(parent)
+            return len(self.tag) - 1
 
         def pop_to(k: int) -> None:
             nonlocal node, links
@@ -83,7 +100,7 @@ class Page:
                 text = source[at : m.start()]
                 run.append(text)
                 if links:
-                    self.link_chars[node] += len(text)
+                    linked += len(text)
             at = m.end()
             tag = (m[3] or m[6] or "").lower()
             if not tag:
@@ -108,14 +125,9 @@ class Page:
                 flush()
                 if tag in ("html", "body"):
                     continue
-                self.parent.append(node)
-                self.tag.append(tag)
-                self.attributes.append(" ".join(a or b or c for a, b, c in _ATTRIBUTE.findall(m[4] or m[7] or "")).lower() if (m[4] or m[7]) else "")
-                self.inputs.append(0)
-                self.links.append(0)
-                self.link_chars.append(0)
+                new = add(node, tag, " ".join(a or b or c for a, b, c in _ATTRIBUTE.findall(m[4] or m[7] or "")).lower() if (m[4] or m[7]) else "")
                 if tag != "hr":
-                    node = len(self.tag) - 1
+                    node = new
                     stack.append((tag, node))
             elif tag == "br":
                 run.append(" ")
@@ -135,7 +147,7 @@ class Page:
     def features(self) -> np.ndarray:
         n = len(self.tag)
         parent = np.array(self.parent)
-        chars, words, stops, commas, long_ = (np.zeros(n) for _ in range(5))
+        chars, words, stops, commas, long_, rights = (np.zeros(n) for _ in range(6))
         for k, text in self.pieces:
             chars[k] += len(text)
             w = text.count(" ") + 1
@@ -143,6 +155,7 @@ class Page:
             stops[k] += text.count(".") + text.count("!") + text.count("?")
             commas[k] += text.count(",")
             long_[k] += w >= 15
+            rights[k] = max(rights[k], "©" in text or "(c)" in text)
         own = chars.copy()
         is_p = np.array([t == "p" for t in self.tag], float)
         sums = np.stack([chars, words, stops, commas, long_, np.array(self.link_chars, float), np.array(self.inputs, float), is_p, is_p * chars], 1)
@@ -184,6 +197,7 @@ class Page:
         stats = [
             np.minimum(depth, 30), np.log1p(chars), np.log1p(words), np.minimum(1, density), np.minimum(20, chars / np.maximum(1, words)), stops / np.maximum(1, words), commas / np.maximum(1, words), np.log1p(ps), in_p / np.maximum(1, chars),
             chars / max(1, chars[0]), np.log1p(own), np.log1p(children), np.log1p(inputs), np.log1p(siblings), order / siblings, same_tag / siblings, np.log1p(total_chars[up] / siblings), total_links[up] / np.maximum(1, total_chars[up]), chars / np.maximum(1, total_chars[up]), np.log1p(long_),
+            rights, np.concatenate([[0.0], np.cumsum(own)[:-1]]) / max(1.0, own.sum()),
         ]
         return np.concatenate([np.stack(stats, 1), tags, mine, above, inside], 1)
 
@@ -220,8 +234,11 @@ class _Writer:
                 out[-1] += r.choice(".,.,!?")
         return " ".join(out)
 
-    def box(self, tag: str, names: str, inner: str) -> str:
+    def box(self, tag: str, names: str, inner: str, bare: float = 0.0) -> str:
+        """A box with a telling tag or name; with probability ``bare`` one without either."""
         r = self.r
+        if r.random() < bare:
+            return f"<div>{inner}</div>" if r.random() < 0.7 else inner
         semantic = tag in ("nav", "footer", "aside", "form", "article", "main", "header", "section")
         if semantic and tag != "form" and r.random() < 0.35:
             tag, semantic = "div", False
@@ -251,16 +268,20 @@ class _Writer:
             self.main.append(f"mmk{len(self.main)}x")
             return f"{self.main[-1]} {text}"
 
-        out = [f"<h1>{mark(self.words(2, 12))}</h1>"] if r.random() < 0.85 else []
+        out = [f"<h1>{mark(self.words(1, 12))}</h1>"] if r.random() < 0.85 else []
         if out and r.random() < 0.2:
             out = [f"<header>{out[0]}</header>"]
+        sections = r.random() < 0.2
         for _ in range(r.choice([1, 1, 2, 3, 4, 6, 9, 14])):
+            if sections and r.random() < 0.3:
+                out.append("</section><section>")
             x = r.random()
             size = r.choice([(1, 4), (5, 20), (20, 80), (60, 250)])
             if x < 0.74:
                 out.append(self.paragraph(mark(self.words(*size))))
             elif x < 0.80:
-                out.append(f"<h{r.randint(2, 4)}>{mark(self.words(2, 8))}</h2>".replace("</h2>", "</h2>"))
+                level = r.randint(2, 4)
+                out.append(f"<h{level}>{mark(self.words(2, 8))}</h{level}>")
             elif x < 0.86:
                 out.append("<ul>" + "".join(f"<li>{mark(self.words(2, 25))}</li>" for _ in range(r.randint(2, 6))) + "</ul>")
             elif x < 0.90:
@@ -269,35 +290,71 @@ class _Writer:
                 out.append("<table>" + "".join(f"<tr><td>{mark(self.words(1, 6))}</td><td>{mark(self.words(1, 6))}</td></tr>" for _ in range(r.randint(2, 4))) + "</table>")
             elif x < 0.96:
                 out.append(f"<div>{mark(self.words(20, 90))}</div>")
+            elif x < 0.98:
+                out.append(f"<pre>{mark(self.words(3, 30))}</pre>" if r.random() < 0.5 else f"<figure><figcaption>{mark(self.words(3, 14))}</figcaption></figure>")
             else:
                 out.append(self.advert())
-        return "".join(out)
+        if r.random() < 0.35:  # furniture within the text
+            out.insert(r.randint(min(1, len(out)), len(out)), r.choice([self.advert, self.notice, self.newsletter, self.share, self.related])())
+        inner = "".join(out)
+        return f"<section>{inner}</section>" if sections else inner
+
+    def field(self) -> str:
+        return f'<label>{self.words(1, 3)}</label><input type="text"><button>{self.words(1, 2)}</button>'
+
+    def notice(self) -> str:
+        text = self.words(5, 50)
+        return self.box("div", "cookie consent notice popup alert message banner", f"<p>{text}</p>" if self.r.random() < 0.6 else text) if self.r.random() < 0.7 else self.box("div", "cookie consent notice gdpr", f"<p>{text}</p><button>{self.words(1, 2)}</button>")
+
+    def newsletter(self) -> str:
+        return self.box("form", "newsletter subscribe signup contact form", f"<p>{self.words(3, 30)}</p>{self.field()}")
+
+    def share(self) -> str:
+        return self.box("div", "share social tags meta", self.links(2, 6))
+
+    def related(self) -> str:
+        return self.box("div", "related recommended more popular", f"<h3>{self.words(1, 4)}</h3>{self.links(3, 8)}")
+
+    def comments(self) -> str:
+        r = self.r
+        tag, item = ("ol", "li") if r.random() < 0.4 else ("div", "div")
+        name = lambda x: f' class="{x}"' if item == "div" or r.random() < 0.5 else ""
+        said = "".join(f'<{item}{name(r.choice(["comment", "comment-body", "reply"]))}><b>{self.words(1, 2)}</b><p>{self.words(5, 120)}</p></{item}>' for _ in range(r.randint(1, 6)))
+        if tag == "ol":
+            said = f"<ol{name('commentlist')}>{said}</ol>"
+        return self.box("section", "comments comment disqus discussion respond", (f"<h3>{self.words(1, 3)}</h3>" if r.random() < 0.7 else "") + said + (f"<form>{self.field()}</form>" if r.random() < 0.5 else ""))
 
     def advert(self) -> str:
         return self.box(self.r.choice(["div", "div", "aside"]), "ad ads advert sponsored promo banner", self.r.choice([self.words(3, 40), f"<p>{self.words(3, 40)}</p>", f'<a href="/z">{self.words(2, 9)}</a>']))
 
     def page(self) -> str:
         r = self.r
-        field = f'<label>{self.words(1, 3)}</label><input type="text"><button>{self.words(1, 2)}</button>'
         before = [
-            lambda: self.box("nav", "nav menu navbar navigation", self.links(3, 14)), lambda: self.box("header", "header masthead topbar branding", f"<div>{self.words(1, 6)}</div>" + (self.links(2, 8) if r.random() < 0.5 else "")),
-            self.advert, lambda: self.box("div", "breadcrumb breadcrumbs", self.links(2, 5)), lambda: self.box("div", "cookie consent notice popup alert", f"<p>{self.words(8, 50)}</p>" + field * (r.random() < 0.3)),
-            lambda: self.box("form", "search login form", field),
+            lambda: self.box("nav", "nav menu navbar navigation top-menu", self.links(1, 14), bare=0.25), lambda: self.box("header", "header masthead topbar branding", f"<div>{self.words(1, 6)}</div>" + (self.links(2, 8) if r.random() < 0.5 else "")),
+            self.advert, lambda: self.box("div", "breadcrumb breadcrumbs", self.links(2, 5), bare=0.1), self.notice, lambda: self.box("form", "search login form", self.field()),
         ]
-        after = [
-            lambda: self.box("aside", "sidebar widget related rail", f"<h3>{self.words(1, 4)}</h3>" + r.choice([self.links(3, 10), f"<p>{self.words(10, 80)}</p>", f"<p>{self.words(10, 40)}</p>{self.links(2, 5)}"])),
-            lambda: self.box("section", "comments comment disqus discussion respond", f"<h3>{self.words(1, 3)}</h3>" + "".join(f'<div class="{r.choice(["comment", "comment-body", "reply"])}"><b>{self.words(1, 2)}</b><p>{self.words(5, 120)}</p></div>' for _ in range(r.randint(1, 6))) + (f"<form>{field}</form>" if r.random() < 0.5 else "")),
-            lambda: self.box("div", "share social tags meta", self.links(2, 6)), lambda: self.box("div", "related recommended more popular", f"<h3>{self.words(1, 4)}</h3>{self.links(3, 8)}"),
-            lambda: self.box("form", "newsletter subscribe signup contact form", f"<p>{self.words(4, 30)}</p>{field}"), self.advert,
-        ]
-        article = self.box("article", "article post entry story content article-body", self.body())
+        side = lambda: self.box("aside", "sidebar widget related rail", (f"<h3>{self.words(1, 4)}</h3>" if r.random() < 0.8 else "") + r.choice([self.links(3, 10), f"<p>{self.words(10, 80)}</p>", f"<p>{self.words(10, 40)}</p>{self.links(2, 5)}", self.words(8, 60)]))
+        after = [side, self.comments, self.share, self.related, self.newsletter, self.advert]
+        kind, text = r.random(), self.body()
+        if kind < 0.60:
+            article = self.box("article", "article post entry story content article-body post-content", text)
+        elif kind < 0.72:
+            article = text  # no box of its own
+        elif kind < 0.82:
+            article = f"<div>{text}</div>"
+        elif kind < 0.94:
+            article = self.box("main", "main content page body text", text)
+        else:
+            article = f"<table><tr><td>{self.links(2, 8)}</td><td>{text}</td></tr></table>"
         tail = [f() for f in r.sample(after, r.randint(0, 4))]
         if r.random() < 0.4 and tail:  # some furniture inside the main column
-            article = self.box(r.choice(["main", "div"]), "main content page container", article + tail.pop())
+            article = self.box(r.choice(["main", "div"]), "main content page container", article + tail.pop(), bare=0.2)
         elif r.random() < 0.4:
-            article = self.box(r.choice(["main", "div"]), "main content page container wrapper", article)
+            article = self.box(r.choice(["main", "div"]), "main content page container wrapper", article, bare=0.2)
         footer = self.box("footer", "footer foot colophon bottom", r.choice([f"&copy; {self.words(2, 14)}", f"<p>{self.words(4, 30)}</p>", self.links(2, 9), f"<p>{self.words(3, 10)}</p>{self.links(2, 6)}"]))
-        parts = [*(f() for f in r.sample(before, r.randint(0, 5))), article, *tail, footer if r.random() < 0.9 else ""]
+        if r.random() < 0.15:
+            footer = r.choice([f"<hr><small>&copy; {self.words(1, 6)}</small>", f"<div>&copy; {self.words(1, 6)}</div>", f"<p><small>(c) {self.words(1, 6)}</small></p>"])
+        parts = [*(f() for f in r.sample(before, r.randint(0, 5))), *([side()] if r.random() < 0.2 else []), article, *tail, footer if r.random() < 0.9 else ""]
         if r.random() < 0.3:
             k = r.randrange(len(parts))
             parts[k] = f"<div>{parts[k]}</div>"
@@ -323,7 +380,7 @@ def training_set(pages: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
 
 
 @lru_cache(maxsize=4)
-def model(pages: int = 700, seed: int = 11) -> boosted_trees.Trees:
+def model(pages: int = 1000, seed: int = 11) -> boosted_trees.Trees:
     """Trained on ``pages`` generated pages: a fixed, small amount of work."""
     return boosted_trees.fit(*training_set(pages, seed))
 

@@ -13,6 +13,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -24,26 +25,43 @@ from tidewake.llm._shared import offsets, ragged, stored, text_slices
 from tidewake.llm.components import components
 
 SHINGLE = 5
-TREES, DEPTH = 20, 4
-HASHES = TREES * DEPTH
-#: Sketches that agree on so many of their hashes are looked at.
-LEAST_ALIKE = 52
+DEPTH = 4
+#: The probability that the trees, and again that the sketches, miss a pair at the threshold.
+MISS = 1e-6
+MOST_HASHES = 4096
 #: Nodes up to this size become pairs; larger ones go to block tasks.
 SMALL_NODE = 24
 #: Members of a block: of sketches, of full sets.
 BLOCK, FAMILY_BLOCK = 1024, 256
 _rng = np.random.default_rng(20240229)
-_A = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
+_A = _rng.integers(1, 2**63, MOST_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _rng.integers(0, 2**63, MOST_HASHES, dtype=np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C55)
 _MOST_WORDS = 400_000
 
 
-def recall(similarity: float, trees: int = TREES, depth: int = DEPTH) -> float:
+def recall(similarity: float, trees: int, depth: int = DEPTH) -> float:
     """The probability that two sets of this similarity share a node in one tree at least."""
     return 1 - (1 - similarity**depth) ** trees
 
 
+def trees_for(similarity: float, miss: float = MISS, depth: int = DEPTH) -> int:
+    """Trees that miss a pair of this similarity with at most this probability."""
+    if similarity >= 1:
+        return 1
+    return min(MOST_HASHES // depth, max(1, ceil(log(miss) / log(1 - similarity**depth))))
+
+
+def least_alike(similarity: float, hashes: int, miss: float = MISS) -> int:
+    """Hashes of a sketch that a pair of this similarity shares at least, but for a probability of ``miss``."""
+    below = 0.0
+    for k in range(hashes + 1):
+        below += comb(hashes, k) * similarity**k * (1 - similarity) ** (hashes - k)
+        if below > miss:
+            return k
+    return hashes
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(33))
     h = h * np.uint64(0xFF51AFD7ED558CCD)
@@ -92,16 +110,16 @@ class Shingler:
         return out
 
 
-def sketches(sets: list[np.ndarray]) -> np.ndarray:
+def sketches(sets: list[np.ndarray], hashes: int) -> np.ndarray:
     """The upper halves of each non-empty set's minwise hashes; zeros for an empty one."""
     lengths = np.array([len(s) for s in sets], np.int64)
-    out = np.zeros((len(sets), HASHES), np.uint32)
+    out = np.zeros((len(sets), hashes), np.uint32)
     full = lengths > 0
     if full.any():
         flat = np.concatenate([s for s in sets if len(s)])
         starts = np.cumsum(lengths[full]) - lengths[full]
         with np.errstate(over="ignore"):
-            for k in range(HASHES):
+            for k in range(hashes):
                 out[full, k] = np.minimum.reduceat(flat * _A[k] + _B[k], starts) >> np.uint64(32)
     return out
 
@@ -154,8 +172,8 @@ class _Forest:
         return i != j
 
 
-def shingle_table(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, n (set size), c1 and c2 (a 128-bit digest of the set), sketch (320 bytes, null for an empty set)."""
+def shingle_table(df: DataFrame, key: str, text: str, hashes: int) -> DataFrame:
+    """key, n (set size), c1 and c2 (a 128-bit digest of the set), sketch (four bytes a hash, null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
@@ -164,25 +182,25 @@ def shingle_table(df: DataFrame, key: str, text: str) -> DataFrame:
                 sets = shingler.sets(part.column("text").to_pylist())
                 digest = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 c = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
-                found = sketches(sets)
+                found = sketches(sets, hashes)
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(c[:, 0]), pa.array(c[:, 1]), pa.array([x.tobytes() if len(s) else None for x, s in zip(found, sets)], pa.binary())], ["key", "n", "c1", "c2", "sketch"])
 
     return df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "key long, n long, c1 long, c2 long, sketch binary")
 
 
-def _paths(reps: DataFrame) -> DataFrame:
+def _paths(reps: DataFrame, trees: int) -> DataFrame:
     """(node, rep): the node of each tree that a representative ends in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sk = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(-1, TREES, DEPTH).astype(np.uint64)
+            sk = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(-1, trees, DEPTH).astype(np.uint64)
             with np.errstate(over="ignore"):
-                node = np.broadcast_to(np.arange(1, TREES + 1, dtype=np.uint64), sk.shape[:2])
+                node = np.broadcast_to(np.arange(1, trees + 1, dtype=np.uint64), sk.shape[:2])
                 for level in range(DEPTH):
                     node = _mix(node * _P + sk[:, :, level])
-            yield pa.RecordBatch.from_arrays([pa.array(node.astype(np.int64).ravel()), pa.array(np.repeat(np.asarray(batch.column("rep")), TREES))], ["node", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(node.astype(np.int64).ravel()), pa.array(np.repeat(np.asarray(batch.column("rep")), trees))], ["node", "rep"])
 
     return reps.select("rep", "sketch").mapInArrow(run, "node long, rep long")
 
@@ -195,9 +213,10 @@ def _blocks(df: DataFrame, size: Column, block: int, member: str) -> DataFrame:
     return df.withColumn("own", own).withColumn("cell", F.explode(cells)).select("*", F.col("cell.x").alias("x"), F.col("cell.y").alias("y"), (F.col("own") != F.col("cell.x")).cast("int").alias("side")).drop("cell", "own")
 
 
-def _candidates(reps: DataFrame) -> DataFrame:
+def _candidates(reps: DataFrame, trees: int, alike_least: int) -> DataFrame:
     """(a, b): edges between representatives whose sketches are alike; a spanning forest of each node's."""
-    member = stored(_paths(reps), "paths")
+    hashes = trees * DEPTH
+    member = stored(_paths(reps, trees), "paths")
     nodes = stored(member.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "nodes")
     small = member.join(nodes.where(F.col("size") <= SMALL_NODE), "node").groupBy("node").agg(F.sort_array(F.collect_set("rep")).alias("m")).select("m").distinct()
     pairs = small.select(F.posexplode("m").alias("i", "a"), "m").select("a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b")).distinct()
@@ -207,8 +226,8 @@ def _candidates(reps: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, HASHES) for c in ("sa", "sb"))
-            keep = pa.array((x == y).sum(1) >= LEAST_ALIKE)
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, hashes) for c in ("sa", "sb"))
+            keep = pa.array((x == y).sum(1) >= alike_least)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
     of_small = pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long")
@@ -216,13 +235,13 @@ def _candidates(reps: DataFrame) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _rows(batches, 3):
             reps_, side = table.column("rep").to_numpy(), table.column("side").to_numpy()
-            sk = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint32).reshape(-1, HASHES)
+            sk = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint32).reshape(-1, hashes)
             found: list[tuple[int, int]] = []
             for lo, hi in _runs(table, 3):
                 forest = _Forest(hi - lo)
                 apart = table.column("x")[lo].as_py() != table.column("y")[lo].as_py()
                 for i in range(lo, hi - 1):
-                    alike_ = (sk[i + 1 : hi] == sk[i]).sum(1) >= LEAST_ALIKE
+                    alike_ = (sk[i + 1 : hi] == sk[i]).sum(1) >= alike_least
                     if apart:
                         alike_ &= side[i + 1 : hi] != side[i]
                     found += [(reps_[i], reps_[j]) for j in (np.flatnonzero(alike_) + i + 1).tolist() if forest.join(i - lo, j - lo)]
@@ -290,10 +309,11 @@ def near_duplicates(df: DataFrame, percent: int = 80, key: str = "doc_id", text:
     columns are left out. An empty table gives an empty one. Copies are never expanded into pairs: classes of equal sets have one
     representative each.
     """
-    base = stored(shingle_table(df, key, text), "shingles")
+    trees = trees_for(percent / 100)
+    base = stored(shingle_table(df, key, text, trees * DEPTH), "shingles")
     full = base.where("n > 0 and key is not null")
     reps = stored(full.groupBy("c1", "c2").agg(F.min("key").alias("rep"), F.min("sketch").alias("sketch")), "classes")
-    candidates = stored(_candidates(reps.dropDuplicates(["rep"])), "candidates")
+    candidates = stored(_candidates(reps.dropDuplicates(["rep"]), trees, least_alike(percent / 100, trees * DEPTH)), "candidates")
     found = components(candidates)
     families = found.select(F.col("node").alias("rep"), F.col("component").alias("family")).unionByName(found.select(F.col("component").alias("rep"), F.col("component").alias("family")).distinct())
     links = components(stored(_links(df, stored(families, "families"), key, text, percent), "links"))
