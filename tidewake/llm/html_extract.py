@@ -21,8 +21,14 @@ from pyspark.sql import DataFrame
 from tidewake.llm import boosted_trees
 from tidewake.llm._shared import text_slices
 
-_RAW = "script|style|noscript|template|iframe|svg|math|object|head|title|textarea|select|canvas|audio|video"
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_RAW})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S | re.I)
+_QUOTED = r"(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+"
+#: Elements whose content is no text of the page: the first end with the page if they aren't closed, the others need their end tag.
+_TOKEN = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|iframe|textarea|title)\b{_QUOTED}>.*?(?:</(?P=raw)\s*>|\Z)|<(?:svg|math)\b[^>]*/>"
+    rf"|<(?P<boxed>noscript|template|svg|math|object|select|canvas|audio|video)\b{_QUOTED}>.*?</(?P=boxed)\s*>|<[!?][^>]*>"
+    rf"|<(/?)([a-zA-Z][^\s/>]*)({_QUOTED})>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
+    re.S | re.I,
+)
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -102,10 +108,10 @@ class Page:
                 if links:
                     linked += len(text)
             at = m.end()
-            tag = (m[3] or m[6] or "").lower()
+            tag = (m[4] or m[7] or "").lower()
             if not tag:
                 continue
-            if m[2] or m[5]:
+            if m[3] or m[6]:
                 k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
                 if k >= 0 and (tag in BLOCKS or not any(t in BLOCKS for t, _ in stack[k:])):
                     pop_to(k)
@@ -125,7 +131,7 @@ class Page:
                 flush()
                 if tag in ("html", "body"):
                     continue
-                new = add(node, tag, " ".join(a or b or c for a, b, c in _ATTRIBUTE.findall(m[4] or m[7] or "")).lower() if (m[4] or m[7]) else "")
+                new = add(node, tag, " ".join(a or b or c for a, b, c in _ATTRIBUTE.findall(m[5] or m[8] or "")).lower() if (m[5] or m[8]) else "")
                 if tag != "hr":
                     node = new
                     stack.append((tag, node))
@@ -135,7 +141,7 @@ class Page:
                 self.inputs[node] += 1
                 if tag == "button":
                     stack.append((tag, node))
-            elif tag not in VOID and not (m[4] or m[7] or "").endswith("/"):
+            elif tag not in VOID and not (m[5] or m[8] or "").endswith("/"):
                 if tag == "a":
                     links += 1
                     self.links[node] += 1
