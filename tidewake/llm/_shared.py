@@ -87,7 +87,7 @@ class WordMemory:
     stays. Words of over ``longest`` characters are encoded anew each time.
     """
 
-    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], most: int = 600_000, longest: int = 64):
+    def __init__(self, encode: Callable[[list], tuple[np.ndarray, np.ndarray]], most: int = 500_000, longest: int = 64):
         self.encode, self.most, self.longest = encode, most, longest
         self.index: dict = {}
         self._hold(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -126,7 +126,13 @@ class WordMemory:
     def _out(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         self.uses += np.bincount(codes, minlength=len(self.uses))
         lengths = self.lengths[codes]
-        return ragged(self.flat, self.starts[codes], lengths), lengths
+        out, at = np.empty(int(lengths.sum()), np.int32), 0
+        for k in range(0, len(codes), 1 << 16):  # in runs: the places to read are eight bytes an id
+            n = lengths[k : k + (1 << 16)]
+            size = int(n.sum())
+            out[at : at + size] = ragged(self.flat, self.starts[codes[k : k + (1 << 16)]], n)
+            at += size
+        return out, lengths
 
     def ids(self, words: list) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, ids per word) of the words in order."""
