@@ -184,6 +184,30 @@ def test_line_dedup_by_brute_force(spark):
     assert max(left.values()) == 1  # of every long passage one holder is left
 
 
+def test_frequent_short_lines_are_anchored_by_their_runs(spark):
+    """A passage and a document of short lines, and lines in other order, each in more documents than a rare line may be."""
+    n = line_dedup.RARE + 10
+    passage = [" ".join(f"w{k}x{i}" for i in range(10)) for k in range(6)]
+    docs = [(i, "\n".join([f"only {i}", *passage, f"end {i}"])) for i in range(n)]
+    docs += [(1000 + i, "\n".join(f"verse {k}" for k in range(30))) for i in range(n)]
+    docs += [(2000 + i, "\n".join(f"stock {k}\nown {i} {k}" for k in range(30))) for i in range(n)]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [got[i].deleted_lines_ for i in range(n)] == [0] + [6] * (n - 1) and got[1].text == "only 1\nend 1"
+    assert [got[1000 + i].deleted_lines_ for i in range(n)] == [0] + [30] * (n - 1)
+    assert all(got[2000 + i].deleted_lines_ == 0 for i in range(n))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 25), min_size=1, max_size=30))
+def test_runs_cover_every_line_of_a_block(words):
+    """Whatever stands around a block, each of its lines is in a run that lies in it."""
+    hashes = list(range(len(words)))
+    assert bool(line_dedup.runs_of(hashes, words) or max(words) >= 20) == (sum(words) >= 20)
+    inside = line_dedup.runs_of(hashes, words)
+    around = line_dedup.runs_of([-1, -2, *hashes, -3, -4], [3, 15, *words, 7, 19])
+    assert inside <= around
+
+
 def test_moved_blocks_are_found():
     assert line_dedup.common_blocks([1, 2, 3, 4, 5, 6], [5, 6, 1, 2, 3, 9], [10] * 6) == [0, 1, 2, 3, 4]
     assert line_dedup.common_blocks([1, 1, 2], [1, 1, 1], [15, 15, 15]) == [0, 1]

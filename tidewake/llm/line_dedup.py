@@ -1,8 +1,10 @@
-"""Line deduplication by pairwise alignment: documents that share rare lines are aligned, common blocks go from the later document.
+"""Line deduplication by pairwise alignment: documents that share rare lines or runs of lines are aligned, common blocks go from the later document.
 
 1. Each document becomes a list of line hashes and word counts (lines without a word are left out).
 2. A shared line is an anchor if it is rare: in at most ``RARE`` documents, or so long (``LONG`` words) that sharing it can't be chance.
-   Its owner is the earliest document (least id) that holds it.
+   A shared run of lines is one in any number of documents: from each line on, and up to each line, the shortest run of ``LEAST_BLOCK``
+   words. Each line of a common block of that many words is in such a run within the block, so no block is without an anchor, however
+   short and frequent its lines are. An anchor's owner is the earliest document (least id) that holds it.
 3. Each document is aligned with the owners of its anchors, so candidate pairs grow with lines, not with the square of a line's
    documents; a line's earliest holder never loses it, so every deleted line stays somewhere.
 4. Patience diff: lines that are unique in both documents (as line and occurrence), the longest increasing run of their places, blocks
@@ -15,6 +17,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +45,27 @@ def lines_of(text: str | None) -> tuple[list[int], list[int], list[int]]:
     return places, hashes, words
 
 
+def runs_of(hashes: list[int], words: list[int], least: int = LEAST_BLOCK) -> set[int]:
+    """Hashes of the shortest runs of at least ``least`` words from each line on and up to each line; runs of one line are left out."""
+    ends = [0, *accumulate(words)]
+    spans, n = set(), len(words)
+    stop = 0
+    for start in range(n):
+        while stop < n and ends[stop] - ends[start] < least:
+            stop += 1
+        if ends[stop] - ends[start] < least:
+            break
+        spans.add((start, stop))
+    start = 0
+    for stop in range(1, n + 1):
+        while ends[stop] - ends[start + 1] >= least:
+            start += 1
+        if ends[stop] - ends[start] >= least:
+            spans.add((start, stop))
+    flat = np.array(hashes, np.int64).tobytes()
+    return {xxhash.xxh3_64_intdigest(flat[8 * a : 8 * b], seed=1) - (1 << 63) for a, b in spans if b - a > 1}
+
+
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest run of pairs, sorted by their first number, whose second numbers increase."""
     tails: list[int] = []
@@ -103,11 +127,15 @@ def deletions(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
                 found = [lines_of(t) for t in part.column("text").to_pylist()]
                 lengths = np.array([len(h) for _, h, _ in found], np.int64)
                 flat = lambda k, kind: np.array([x for f in found for x in f[k]], kind)
-                yield pa.RecordBatch.from_arrays([part.column("d"), list_array(flat(1, np.int64), lengths), list_array(flat(2, np.int32), lengths)], ["d", "h", "w"])
+                runs = [runs_of(h, w) for _, h, w in found]
+                flat_runs = np.array([x for r in runs for x in r], np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("d"), list_array(flat(1, np.int64), lengths), list_array(flat(2, np.int32), lengths), list_array(flat_runs, np.array([len(r) for r in runs], np.int64))], ["d", "h", "w", "r"])
 
     rows = df.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("long").alias("d"), F.col(f"`{text}`").alias("text"))
-    lines = stored(rows.mapInArrow(split, "d long, h array<long>, w array<int>"), "lines")
-    each = lines.select("d", F.explode(F.array_distinct(F.arrays_zip("h", "w"))).alias("l")).select("d", F.col("l.h").alias("h"), F.col("l.w").alias("w"))
+    whole = stored(rows.mapInArrow(split, "d long, h array<long>, w array<int>, r array<long>"), "lines")
+    lines = whole.select("d", "h", "w")
+    runs = F.transform("r", lambda r: F.struct(r.alias("h"), F.lit(LONG).alias("w")))
+    each = whole.select("d", F.explode(F.concat(F.array_distinct(F.arrays_zip("h", "w")), runs)).alias("l")).select("d", F.col("l.h").alias("h"), F.col("l.w").alias("w"))
     shared = each.groupBy("h").agg(F.min("d").alias("p"), F.count("*").alias("n"), F.max("w").alias("most"))
     # stored, so that the join below has a shuffle of its own on both sides and a hot line can be split
     anchors = stored(shared.where((F.col("n") > 1) & ((F.col("n") <= RARE) | (F.col("most") >= LONG))).select("h", "p"), "anchors")
