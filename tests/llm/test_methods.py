@@ -214,6 +214,39 @@ def test_moved_blocks_are_found():
     assert line_dedup.common_blocks([1, 2], [3, 1], [10, 10]) == []
 
 
+def test_extra_copies_of_a_line_do_not_split_a_block():
+    """X, Y, Z have 19 words, S 9: a stray S ahead, or repeated in the passage, leaves the block whole."""
+    e, q, x, y, z, s = range(6)
+    w = {e: 5, q: 5, x: 19, y: 19, z: 19, s: 9}
+    blocks = lambda earlier, later: line_dedup.common_blocks(earlier, later, [w[k] for k in later])
+    assert blocks([e, x, s, y], [s, x, s, y]) == [1, 2, 3]
+    assert blocks([e, x, s, y, s, z], [s, q, x, s, y, s, z]) == [2, 3, 4, 5, 6]
+    assert blocks([x, s, x, s], [q, x, s, x, s]) == [1, 2, 3, 4]  # no line is unique
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.integers(0, 6), max_size=25), st.lists(st.integers(0, 8), max_size=25), st.lists(st.integers(1, 12), min_size=9, max_size=9))
+def test_no_common_block_stays(earlier, later, of):
+    """By brute force: no run of 20 words that stays is in the earlier document, and each line that goes is in such a run."""
+    words = [of[k] for k in later]
+    inside = {tuple(earlier[i:j]) for i in range(len(earlier)) for j in range(i + 1, len(earlier) + 1)}
+    gone = set(line_dedup.common_blocks(earlier, later, words))
+    may = set()
+    for i in range(len(later)):
+        for j in range(i + 1, len(later) + 1):
+            if sum(words[i:j]) >= 20 and tuple(later[i:j]) in inside:
+                assert gone & set(range(i, j))
+                may |= set(range(i, j))
+    assert gone <= may
+
+
+def test_long_documents_of_few_lines_are_aligned_in_time():
+    rng = np.random.default_rng(7)
+    for kinds in (1, 2, 50):
+        a, b = rng.integers(0, kinds, 20_000).tolist(), rng.integers(0, kinds, 20_000).tolist()
+        assert len(line_dedup.common_blocks(a, b, [10] * 20_000)) > 19_000 / kinds
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.integers(1, 300), st.integers(1, 6), st.integers(1, 25), st.integers(0, 10**6))
 def test_topk_by_brute_force(n, width, k, seed):

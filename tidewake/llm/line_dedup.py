@@ -7,9 +7,10 @@
    short and frequent its lines are. An anchor's owner is the earliest document (least id) that holds it.
 3. Each document is aligned with the owners of its anchors, so candidate pairs grow with lines, not with the square of a line's
    documents; a line's earliest holder never loses it, so every deleted line stays somewhere.
-4. Patience diff: lines that are unique in both documents (as line and occurrence), the longest increasing run of their places, blocks
-   of aligned neighbours; what is left is aligned again until nothing matches, which finds moved blocks. Blocks of at least
-   ``LEAST_BLOCK`` words are deleted from the later document.
+4. Patience diff: lines that are unique in both documents, the longest increasing run of their places, each extended to equal
+   neighbours on both sides; the ranges between are aligned in the same way. Blocks of at least ``LEAST_BLOCK`` words are deleted from
+   the later document. What is left may hold moved blocks and blocks without a unique line: its longest common runs of that many words
+   go too.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import accumulate
 
 import numpy as np
@@ -86,36 +88,108 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _longest_ends(earlier: list[int], later: list[int]) -> list[int]:
+    """For each place of ``later``, the length of the longest run of lines that ends there and stands in ``earlier`` (suffix automaton)."""
+    step: list[dict[int, int]] = [{}]
+    link, size, last = [-1], [0], 0
+    for x in earlier:
+        new = len(step)
+        step.append({})
+        size.append(size[last] + 1)
+        link.append(0)
+        p = last
+        while p >= 0 and x not in step[p]:
+            step[p][x] = new
+            p = link[p]
+        if p >= 0:
+            q = step[p][x]
+            if size[p] + 1 == size[q]:
+                link[new] = q
+            else:
+                twin = len(step)
+                step.append(step[q].copy())
+                size.append(size[p] + 1)
+                link.append(link[q])
+                while p >= 0 and step[p].get(x) == q:
+                    step[p][x] = twin
+                    p = link[p]
+                link[q] = link[new] = twin
+        last = new
+    out, at, n = [], 0, 0
+    for x in later:
+        while at and x not in step[at]:
+            at = link[at]
+            n = size[at]
+        if x in step[at]:
+            at, n = step[at][x], n + 1
+        out.append(n)
+    return out
+
+
+def _free(to: list[int], k: int) -> int:
+    while to[k] != k:
+        to[k] = k = to[to[k]]
+    return k
+
+
 def common_blocks(earlier: list[int], later: list[int], words: list[int], least: int = LEAST_BLOCK) -> list[int]:
-    """Places of ``later``'s lines (of ``words`` words each) in blocks of at least ``least`` words that align with ``earlier``."""
-
-    def keyed(lines: list[int], gone: set[int]) -> dict[tuple[int, int], int]:
-        seen: Counter = Counter()
-        out = {}
-        for i, h in enumerate(lines):
-            if i not in gone:
-                out[h, seen[h]] = i
-                seen[h] += 1
-        return out
-
-    gone_earlier: set[int] = set()
-    gone_later: set[int] = set()
-    deleted: list[int] = []
-    while True:
-        of_earlier = keyed(earlier, gone_earlier)
-        pairs = [(i, j) for key, i in keyed(later, gone_later).items() if (j := of_earlier.get(key)) is not None]
-        matched = _increasing(sorted(pairs))
-        if not matched:
-            return sorted(deleted)
-        block: list[tuple[int, int]] = []
-        for pair in [*matched, (-9, -9)]:
-            if block and (pair[0] - block[-1][0], pair[1] - block[-1][1]) != (1, 1):
-                if sum(words[i] for i, _ in block) >= least:
-                    deleted += [i for i, _ in block]
-                block = []
-            block.append(pair)
-        gone_later.update(i for i, _ in matched)
-        gone_earlier.update(j for _, j in matched)
+    """Places of ``later``'s lines (of ``words`` words each) in blocks of at least ``least`` words that stand in ``earlier``.
+
+    No run of that many words that stays stands in ``earlier``; lines of two blocks that overlap count for one of them.
+    """
+    ends = [0, *accumulate(words)]
+    gone = bytearray(len(later))
+    ranges = [(0, len(earlier), 0, len(later))]
+    while ranges:
+        a, b, c, d = ranges.pop()
+        if a >= b or ends[d] - ends[c] < least:
+            continue
+        times, of_later = Counter(earlier[a:b]), Counter(later[c:d])
+        once = {h: i for i, h in enumerate(earlier[a:b], a) if times[h] == 1}
+        anchors = _increasing([(j, once[h]) for j, h in enumerate(later[c:d], c) if of_later[h] == 1 and h in once])
+        i, j = a, c
+        for at, of in anchors:
+            if at < j:  # in the block before
+                continue
+            s, t, e = at, of, len(later)
+            while s > 0 and t > 0 and later[s - 1] == earlier[t - 1]:
+                s, t = s - 1, t - 1
+            ranges.append((i, max(t, i), j, max(s, j)))
+            i, j = of + 1, at + 1
+            while j < e and i < len(earlier) and later[j] == earlier[i]:
+                i, j = i + 1, j + 1
+            if ends[j] - ends[s] >= least:
+                gone[s:j] = b"\1" * (j - s)
+        if anchors and i < b and j < d:
+            ranges.append((i, b, j, d))
+    # what is left: moved blocks, and blocks without a line of their own; the longest first
+    known, found = set(earlier), []
+    left = [not g and h in known for g, h in zip(gone, later)]
+    start = 0
+    for stop in range(len(later) + 1):
+        if stop < len(later) and left[stop]:
+            continue
+        if ends[stop] - ends[start] >= least:
+            found.append((start, stop))
+        start = stop + 1
+    if found:
+        runs = _longest_ends(earlier, [later[k] if left[k] else None for k in range(len(later))])
+        heap = [(ends[k + 1 - runs[k]] - ends[k + 1], k + 1 - runs[k], k + 1) for s, t in found for k in range(s, t) if ends[k + 1] - ends[k + 1 - runs[k]] >= least]
+        heapify(heap)
+        # ends of what has gone since, from its starts and back
+        after, before = list(range(len(later) + 1)), list(range(len(later) + 1))
+        while heap:
+            size, s, t = heappop(heap)
+            s, t = _free(after, s), _free(before, t)
+            if s >= t or ends[t] - ends[s] < least:
+                continue
+            if ends[s] - ends[t] > size:  # a block before has taken a part: wait for longer ones
+                heappush(heap, (ends[s] - ends[t], s, t))
+            else:
+                gone[s:t] = b"\1" * (t - s)
+                after[s:t] = [t] * (t - s)
+                before[s + 1 : t + 1] = [s] * (t - s)
+    return [k for k, g in enumerate(gone) if g]
 
 
 def deletions(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
