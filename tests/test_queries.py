@@ -57,3 +57,21 @@ def test_entry(spark):
 
 def test_no_sql_without_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+WHOLE = {
+    name: " WHERE a.user_id < 60 AND b.user_id < 60" for name in ("l01_amplification_edges", "l03_clustering_coeff", "l06_degree_metrics", "o15_graph_status")
+}
+
+
+@pytest.mark.parametrize("name", sorted(WHOLE))
+def test_whole_query_equals_sql_without_its_subset(spark, name):
+    """On 150 users, so that the subset of the query beside it leaves rows out."""
+    data, con = DATA.replace("0.001", "0.01"), duckdb.connect()
+    for t in TABLES:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    assert WHOLE[name] in ORACLES[name]
+    got = QUERIES[f"{name}_whole"](spark, data)
+    want, subset = con.sql(ORACLES[name].replace(WHOLE[name], "")), con.sql(ORACLES[name])
+    found = rows(got.columns, [tuple(r) for r in got.collect()])
+    assert found == rows(want.columns, want.fetchall()) != rows(subset.columns, subset.fetchall())

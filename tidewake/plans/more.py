@@ -15,7 +15,7 @@ from tidewake.plans import storage
 from tidewake.plans.core import _PAIRS, ALIKE, _domains, r4
 from tidewake.plans.cycle import run_cycle
 from tidewake.plans.registry import query
-from tidewake.plans.scoring import _LEVEL, _edges, _scored, as_of
+from tidewake.plans.scoring import _LEVEL, _edges, _scored, _whole_edges, as_of
 from tidewake.plans.views import clustered, entities, posts, table, title_words, with_parts
 from tidewake.sources import landing
 
@@ -188,6 +188,12 @@ def o15_graph_status(spark: SparkSession, d: str) -> DataFrame:
     return c.agg(F.count("*").alias("nodes"), F.floor(F.sum("degree") / 2).alias("links"), F.max("degree").alias("most"))
 
 
+@query()
+def o15_graph_status_whole(spark: SparkSession, d: str) -> DataFrame:
+    c = graph.clustering(_whole_edges(spark, d))
+    return c.agg(F.count("*").alias("nodes"), F.floor(F.sum("degree") / 2).alias("links"), F.max("degree").alias("most"))
+
+
 @query("SELECT user_id, coalesce(arg_max(value, event_id), 0) AS score, coalesce(arg_max(event_type, event_id), 'none') AS kind, max(event_id) IS NULL AS defaulted FROM (SELECT c_custkey AS user_id FROM customer WHERE c_custkey < 300) LEFT JOIN events USING (user_id) GROUP BY user_id")
 def p02_defaults(spark: SparkSession, d: str) -> DataFrame:
     latest = relational.latest(table(spark, d, "events"), "user_id", F.desc("event_id"))

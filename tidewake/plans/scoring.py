@@ -343,6 +343,28 @@ def l06_degree_metrics(spark: SparkSession, d: str) -> DataFrame:
     return graph.degree_metrics(_edges(spark, d)).select("nodes", "edges", r4("density"), r4("reciprocity"), r4("mean"), r4("std"), "median")
 
 
+# The queries above and their SQL take the users under 60; these take all, and no node's edges are cut but those of l01, as in its SQL.
+
+
+def _whole_edges(spark: SparkSession, d: str) -> DataFrame:
+    return temporal.interval_join(table(spark, d, "events"), "user_id", "ts", 600, ())
+
+
+@query()
+def l01_amplification_edges_whole(spark: SparkSession, d: str) -> DataFrame:
+    return graph.amplification_edges(table(spark, d, "events"), "user_id", "ts", 600)
+
+
+@query()
+def l03_clustering_coeff_whole(spark: SparkSession, d: str) -> DataFrame:
+    return graph.clustering(_whole_edges(spark, d)).select("node", "degree", "triangles", r4("coefficient"))
+
+
+@query()
+def l06_degree_metrics_whole(spark: SparkSession, d: str) -> DataFrame:
+    return graph.degree_metrics(_whole_edges(spark, d)).select("nodes", "edges", r4("density"), r4("reciprocity"), r4("mean"), r4("std"), "median")
+
+
 @query()
 def l04_paths_l05_small_world_l08_centrality(spark: SparkSession, d: str) -> DataFrame:
     p = clustered(spark, d).where("published_at is not null")
