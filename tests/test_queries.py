@@ -62,6 +62,10 @@ def test_no_sql_without_query():
 WHOLE = {
     name: " WHERE a.user_id < 60 AND b.user_id < 60" for name in ("l01_amplification_edges", "l03_clustering_coeff", "l06_degree_metrics", "o15_graph_status")
 }
+WHOLE |= {
+    "e07_series_correlation": " WHERE user_id < 60", "c13_aligned_series": " WHERE user_id < 20", "p02_defaults": " WHERE c_custkey < 300",
+    "a02_zipped_rows": " WHERE doc_id % 3 = 0", "j06_incremental_assign": " WHERE e.vec_id % 2 = 1", "s07_archived_sample": " AND event_id % 10 = 0",
+}
 
 
 @pytest.mark.parametrize("name", sorted(WHOLE))

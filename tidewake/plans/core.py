@@ -467,6 +467,12 @@ def e07_series_correlation(spark: SparkSession, d: str) -> DataFrame:
     return temporal.correlated_series(e, "user_id", "at", "value").select("a", "b", "points", r4("r"))
 
 
+@query()
+def e07_series_correlation_whole(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").withColumn("at", F.date_trunc("day", "ts"))
+    return temporal.correlated_series(e, "user_id", "at", "value").select("a", "b", "points", r4("r"))
+
+
 @query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events) WHERE r <= 5")
 def e06_topk_per_key(spark: SparkSession, d: str) -> DataFrame:
     return relational.top_per_key(table(spark, d, "events"), "user_id", 5, F.desc("value"), F.col("event_id")).select("user_id", "event_id", "value")

@@ -23,9 +23,18 @@ from tidewake.sources import landing
 @query("SELECT doc_id::VARCHAR AS record_id, source FROM documents WHERE doc_id % 3 = 0")
 def a02_zipped_rows(spark: SparkSession, d: str) -> DataFrame:
     """Gzipped tab-separated files are landed and read as lines."""
+    return _zipped_rows(spark, table(spark, d, "documents").where("doc_id % 3 = 0"))
+
+
+@query()
+def a02_zipped_rows_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _zipped_rows(spark, table(spark, d, "documents"))
+
+
+def _zipped_rows(spark: SparkSession, documents: DataFrame) -> DataFrame:
     path = f"{storage.shared_dir(spark)}/landed-{uuid.uuid4().hex}"
     f = [F.col("doc_id").cast("string"), F.lit("20240102030405"), F.lit(""), F.col("source"), *[F.lit("")] * 16]
-    table(spark, d, "documents").where("doc_id % 3 = 0").select(F.concat_ws("\t", *f).alias("value")).write.option("compression", "gzip").text(path)
+    documents.select(F.concat_ws("\t", *f).alias("value")).write.option("compression", "gzip").text(path)
     return landing.knowledge_rows(landing.read_lines(spark, path)).select("record_id", "source")
 
 
@@ -70,7 +79,16 @@ def c05_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH s AS (SELECT user_id, date_trunc('hour', ts) AS at, avg(value) AS v FROM events WHERE user_id < 20 GROUP BY ALL) SELECT x.user_id AS a, y.user_id AS b, count(*) AS points FROM s x JOIN s y ON x.at = y.at AND x.user_id < y.user_id GROUP BY ALL HAVING count(*) >= 3")
 def c13_aligned_series(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "events").where("user_id < 20").groupBy("user_id", F.date_trunc("hour", "ts").alias("at")).agg(F.avg("value").alias("v"))
+    return _aligned(table(spark, d, "events").where("user_id < 20"))
+
+
+@query()
+def c13_aligned_series_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _aligned(table(spark, d, "events"))
+
+
+def _aligned(events: DataFrame) -> DataFrame:
+    s = events.groupBy("user_id", F.date_trunc("hour", "ts").alias("at")).agg(F.avg("value").alias("v"))
     a, b = s.select(F.col("user_id").alias("a"), "at"), s.select(F.col("user_id").alias("b"), "at")
     return a.join(b, "at").where("a < b").groupBy("a", "b").agg(F.count("*").alias("points")).where("points >= 3")
 
@@ -130,6 +148,12 @@ def j06_incremental_assign(spark: SparkSession, d: str) -> DataFrame:
     return vectors.nearest_centroid(table(spark, d, "embeddings").where("vec_id % 2 = 1"), "vec_id", "embedding", c, "cluster_id", 0.3).select("vec_id", "cluster_id")
 
 
+@query()
+def j06_incremental_assign_whole(spark: SparkSession, d: str) -> DataFrame:
+    c = vectors.centroids(clustered(spark, d), "cluster_id", "vector")
+    return vectors.nearest_centroid(table(spark, d, "embeddings"), "vec_id", "embedding", c, "cluster_id", 0.3).select("vec_id", "cluster_id")
+
+
 @query("SELECT b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS score FROM embeddings a JOIN embeddings b ON a.vec_id = 11 AND b.vec_id <> 11 WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.2 ORDER BY score DESC, b.vec_id LIMIT 10")
 def k08_match_search(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
@@ -196,8 +220,17 @@ def o15_graph_status_whole(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT user_id, coalesce(arg_max(value, event_id), 0) AS score, coalesce(arg_max(event_type, event_id), 'none') AS kind, max(event_id) IS NULL AS defaulted FROM (SELECT c_custkey AS user_id FROM customer WHERE c_custkey < 300) LEFT JOIN events USING (user_id) GROUP BY user_id")
 def p02_defaults(spark: SparkSession, d: str) -> DataFrame:
+    return _defaults(spark, d, table(spark, d, "customer").where("c_custkey < 300"))
+
+
+@query()
+def p02_defaults_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _defaults(spark, d, table(spark, d, "customer"))
+
+
+def _defaults(spark: SparkSession, d: str, customers: DataFrame) -> DataFrame:
     latest = relational.latest(table(spark, d, "events"), "user_id", F.desc("event_id"))
-    c = table(spark, d, "customer").where("c_custkey < 300").select(F.col("c_custkey").alias("user_id")).join(latest, "user_id", "left")
+    c = customers.select(F.col("c_custkey").alias("user_id")).join(latest, "user_id", "left")
     return c.select("user_id", F.coalesce("value", F.lit(0.0)).alias("score"), F.coalesce("event_type", F.lit("none")).alias("kind"), F.col("event_id").isNull().alias("defaulted"))
 
 
@@ -270,3 +303,8 @@ def o02_alternatives(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-02-15 00:00:00' - INTERVAL 30 DAYS AND event_id % 10 = 0")
 def s07_archived_sample(spark: SparkSession, d: str) -> DataFrame:
     return retention.archived(table(spark, d, "events"), "ts", as_of()).where("archived AND event_id % 10 = 0").select("event_id")
+
+
+@query()
+def s07_archived_sample_whole(spark: SparkSession, d: str) -> DataFrame:
+    return retention.archived(table(spark, d, "events"), "ts", as_of()).where("archived").select("event_id")
