@@ -135,6 +135,22 @@ def test_components_and_campaigns(spark):
     assert got == {1: ([1, 2, 3], "L3"), 10: ([10, 11, 12], "L12")}
 
 
+def test_density_clusters_of_large_shards(spark, monkeypatch):
+    """In blocks as with the whole matrix; and over 10,000 rows by default."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([c + rng.normal(scale=0.2, size=(100, 4)) for c in np.eye(4) * 4])
+    whole = clustering.density_labels(x, 10)
+    monkeypatch.setattr(clustering, "HELD", 7 * len(x))
+    assert (clustering.density_labels(x, 10) == whole).all() and len(set(whole) - {-1}) >= 3
+    monkeypatch.undo()
+    y = [[*v] for c in np.eye(3) * 4 for v in (c + rng.normal(scale=0.1, size=(3400, 3))).tolist()]
+    got = clustering.density_clusters(spark.createDataFrame(list(enumerate(y)), "k long, v array<double>"), "k", "v", sizes=(2000,)).collect()
+    found = {r.k // 3400: set() for r in got}
+    for r in got:
+        found[r.k // 3400].add(r.cluster)
+    assert len(found) == 3 and all(len(c) == 1 for c in found.values()) and len(set.union(*found.values())) == 3
+
+
 def test_density_clusters_find_planted_blobs(spark):
     rng = np.random.default_rng(1)
     centres = np.eye(6)[:3] * 4
