@@ -6,7 +6,11 @@
    words. Each line of a common block of that many words is in such a run within the block, so no block is without an anchor, however
    short and frequent its lines are. An anchor's owner is the earliest document (least id) that holds it.
 3. Each document is aligned with the owners of its anchors, so candidate pairs grow with lines, not with the square of a line's
-   documents; a line's earliest holder never loses it, so every deleted line stays somewhere.
+   documents; a line's earliest holder never loses it, so every deleted line stays somewhere. Nothing is lost by leaving the other
+   pairs out: a common block of any two documents is covered by shortest runs, each of these stands in its owner, which is no later
+   than the earlier of the two, and so goes from the later one. What is aligned are sections of ``SECTION`` lines, which overlap by
+   a run's length: an anchor joins the two sections that it starts in, so a document of many lines with many owners isn't repeated
+   whole for each of them, and a pair's work is bounded.
 4. Patience diff: lines that are unique in both documents, the longest increasing run of their places, each extended to equal
    neighbours on both sides; the ranges between are aligned in the same way. Blocks of at least ``LEAST_BLOCK`` words are deleted from
    the later document. What is left may hold moved blocks and blocks without a unique line: its longest common runs of that many words
@@ -32,6 +36,8 @@ from tidewake.llm._shared import list_array, stored, text_slices
 RARE = 20
 LONG = 20
 LEAST_BLOCK = 20
+#: Lines that start in a section; it also holds the ``LEAST_BLOCK`` lines behind them, as far as any run can reach.
+SECTION = 256
 _SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -47,8 +53,8 @@ def lines_of(text: str | None) -> tuple[list[int], list[int], list[int]]:
     return places, hashes, words
 
 
-def runs_of(hashes: list[int], words: list[int], least: int = LEAST_BLOCK) -> set[int]:
-    """Hashes of the shortest runs of at least ``least`` words from each line on and up to each line; runs of one line are left out."""
+def runs_of(hashes: list[int], words: list[int], least: int = LEAST_BLOCK) -> list[tuple[int, int]]:
+    """(start, hash) of the shortest runs of at least ``least`` words from each line on and up to each line; runs of one line are left out."""
     ends = [0, *accumulate(words)]
     spans, n = set(), len(words)
     stop = 0
@@ -65,7 +71,7 @@ def runs_of(hashes: list[int], words: list[int], least: int = LEAST_BLOCK) -> se
         if ends[stop] - ends[start] >= least:
             spans.add((start, stop))
     flat = np.array(hashes, np.int64).tobytes()
-    return {xxhash.xxh3_64_intdigest(flat[8 * a : 8 * b], seed=1) - (1 << 63) for a, b in spans if b - a > 1}
+    return [(a, xxhash.xxh3_64_intdigest(flat[8 * a : 8 * b], seed=1) - (1 << 63)) for a, b in sorted(spans) if b - a > 1]
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -192,39 +198,55 @@ def common_blocks(earlier: list[int], later: list[int], words: list[int], least:
     return [k for k, g in enumerate(gone) if g]
 
 
-def deletions(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def sections_of(hashes: list[int], words: list[int], section: int = SECTION) -> Iterator[tuple[int, int, list[int], list[int], list[int]]]:
+    """(start, lines that start in it, their and the following lines' hashes and words, hashes of the runs that start in it)."""
+    n, runs, at = len(hashes), runs_of(hashes, words), 0
+    count = max(1, -(-(n - LEAST_BLOCK) // section))
+    for k in range(count):
+        start, stop = k * section, n if k == count - 1 else (k + 1) * section
+        first = at
+        while at < len(runs) and runs[at][0] < stop:
+            at += 1
+        end = min(n, stop + LEAST_BLOCK)
+        yield start, stop - start, hashes[start:end], words[start:end], list({h for _, h in runs[first:at]})
+
+
+def deletions(df: DataFrame, key: str = "doc_id", text: str = "text", section: int = SECTION) -> DataFrame:
     """(``key``, lines): the places, among lines with a word, that each document loses; only documents that lose some."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text"):
-                found = [lines_of(t) for t in part.column("text").to_pylist()]
-                lengths = np.array([len(h) for _, h, _ in found], np.int64)
-                flat = lambda k, kind: np.array([x for f in found for x in f[k]], kind)
-                runs = [runs_of(h, w) for _, h, w in found]
-                flat_runs = np.array([x for r in runs for x in r], np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("d"), list_array(flat(1, np.int64), lengths), list_array(flat(2, np.int32), lengths), list_array(flat_runs, np.array([len(r) for r in runs], np.int64))], ["d", "h", "w", "r"])
+                ids, found = [], []
+                for d, t in zip(part.column("d").to_pylist(), part.column("text").to_pylist()):
+                    for piece in sections_of(*lines_of(t)[1:], section):
+                        ids.append(d)
+                        found.append(piece)
+                lists = [list_array(np.array([x for f in found for x in f[k]], kind), np.array([len(f[k]) for f in found], np.int64)) for k, kind in ((2, np.int64), (3, np.int32), (4, np.int64))]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array([f[k] for f in found], pa.int32()) for k in (0, 1)), *lists], ["d", "s", "own", "h", "w", "r"])
 
     rows = df.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("long").alias("d"), F.col(f"`{text}`").alias("text"))
-    whole = stored(rows.mapInArrow(split, "d long, h array<long>, w array<int>, r array<long>"), "lines")
-    lines = whole.select("d", "h", "w")
+    whole = stored(rows.mapInArrow(split, "d long, s int, own int, h array<long>, w array<int>, r array<long>"), "lines")
+    lines = whole.select("d", "s", "h", "w")
     runs = F.transform("r", lambda r: F.struct(r.alias("h"), F.lit(LONG).alias("w")))
-    each = whole.select("d", F.explode(F.concat(F.array_distinct(F.arrays_zip("h", "w")), runs)).alias("l")).select("d", F.col("l.h").alias("h"), F.col("l.w").alias("w"))
-    shared = each.groupBy("h").agg(F.min("d").alias("p"), F.count("*").alias("n"), F.max("w").alias("most"))
+    own = F.slice(F.arrays_zip("h", "w"), F.lit(1), F.col("own"))
+    each = whole.select("d", "s", F.explode(F.concat(F.array_distinct(own), runs)).alias("l")).select("d", "s", F.col("l.h").alias("h"), F.col("l.w").alias("w"))
+    shared = each.groupBy("h").agg(F.min(F.struct("d", "s")).alias("p"), F.count("*").alias("n"), F.max("w").alias("most"))
     # stored, so that the join below has a shuffle of its own on both sides and a hot line can be split
-    anchors = stored(shared.where((F.col("n") > 1) & ((F.col("n") <= RARE) | (F.col("most") >= LONG))).select("h", "p"), "anchors")
-    pairs = stored(each.select("d", "h").join(anchors, "h").where("d <> p").select("d", "p").distinct(), "line-pairs")
-    owners = pairs.select("p").distinct()
-    earlier = stored(lines.withColumnRenamed("d", "p").join(owners, "p", "left_semi").groupBy("p").agg(F.min("h").alias("hp")), "owners")  # rows that repeat an id: one of them
-    wanted = pairs.join(lines, "d").join(earlier, "p").select("d", "h", "w", "hp")
+    anchors = stored(shared.where((F.col("n") > 1) & ((F.col("n") <= RARE) | (F.col("most") >= LONG))).select("h", F.col("p.d").alias("p"), F.col("p.s").alias("ps")), "anchors")
+    pairs = stored(each.select("d", "s", "h").join(anchors, "h").where("d <> p").select("d", "s", "p", "ps").distinct(), "line-pairs")
+    owners = pairs.select("p", "ps").distinct()
+    earlier = lines.select(F.col("d").alias("p"), F.col("s").alias("ps"), "h").join(owners, ["p", "ps"], "left_semi")
+    earlier = stored(earlier.groupBy("p", "ps").agg(F.min("h").alias("hp")), "owners")  # rows that repeat an id: one of them
+    wanted = pairs.join(lines, ["d", "s"]).join(earlier, ["p", "ps"]).select("d", "s", "h", "w", "hp")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
             d, out = [], []
-            for key_, h, w, hp in zip(*(batch.column(c).to_pylist() for c in ("d", "h", "w", "hp"))):
+            for key_, start, h, w, hp in zip(*(batch.column(c).to_pylist() for c in ("d", "s", "h", "w", "hp"))):
                 if gone := common_blocks(hp, h, w):
                     d.append(key_)
-                    out.append(gone)
+                    out.append([start + k for k in gone])
             yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(out, pa.list_(pa.int32()))], ["d", "gone"])
 
     found = wanted.mapInArrow(align, "d long, gone array<int>").select("d", F.explode("gone").alias("i")).distinct()
@@ -234,18 +256,18 @@ def deletions(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 ADDED = ("n_lines_", "deleted_lines_", "deleted_words_")
 
 
-def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", section: int = SECTION) -> DataFrame:
     """All columns of ``df``, its text without the deleted lines, and n_lines_, deleted_lines_ and deleted_words_ (of lines with a word).
 
     Null texts and texts without words lose nothing and stay as they are. A null id takes no part. Rows that repeat an id aren't compared
     with each other; an id's deletions hold for rows whose number of lines allows them. Line breaks between the lines that stay are
     kept. Columns of any name pass through; only those named as the three that are added give way to them. An empty table gives an
-    empty one. Long texts are split and aligned whole; one line of any length is one line.
+    empty one. Long texts are split whole and aligned section by section; one line of any length is one line.
     """
     names = [c for c in df.columns if c not in ADDED]
     plain = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
     at, key_at = names.index(text), names.index(key)
-    gone = deletions(df.select(F.col(f"`{key}`"), F.col(f"`{text}`")), key, text).select(F.col(f"`{key}`").alias("gone_key"), F.col("lines").alias("gone"))
+    gone = deletions(df.select(F.col(f"`{key}`"), F.col(f"`{text}`")), key, text, section).select(F.col(f"`{key}`").alias("gone_key"), F.col("lines").alias("gone"))
     joined = plain.join(gone, plain[f"c{key_at}"] == gone.gone_key, "left").drop("gone_key")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
