@@ -129,40 +129,47 @@ def fold(key: str):
 def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = MOST_LABELLED) -> Model | None:
     """Fit on at most ``most`` labelled rows outside the held-out fold: those whose id hashes lowest, so all of a smaller set.
 
-    Only their ids and labels are broadcast, and only their features come to the driver: both are bounded by ``most``.
+    Only their ids and labels are broadcast, and only their features come to the driver: both are bounded by ``most``. Of rows that
+    repeat an id each counts; where that makes more than ``most``, ids of the lowest hashes stay, whatever their texts.
     """
     chosen = labels.where(F.col(f"`{label}`").isin(0, 1) & F.col(f"`{key}`").isNotNull() & (fold(key) != HELD_OUT)).select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").alias("y"))
     chosen = chosen.groupBy("k").agg(F.min("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(most)
-    rows = documents.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "k").select("y", "text")
+    rows = documents.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), "k").select("k", "y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text"):
                 x = features(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("y").cast(pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(NAMES)).cast(pa.list_(pa.float64()))], ["y", "x"])
+                yield pa.RecordBatch.from_arrays([part.column("k"), part.column("y").cast(pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(NAMES)).cast(pa.list_(pa.float64()))], ["k", "y", "x"])
 
-    found = rows.mapInArrow(run, "y int, x array<double>").orderBy("x", "y").limit(2 * most).toPandas()
+    kind = documents.schema[key].dataType.simpleString()
+    found = rows.mapInArrow(run, f"k {kind}, y int, x array<double>").orderBy(F.xxhash64("k"), "k", "x", "y").limit(most).drop("k").toPandas()
     if not len(found):
         return None
     return fit(np.stack(found["x"].to_numpy()), found["y"].to_numpy())
 
 
+ADDED = ("held_out", "score", "predicted")
+
+
 def classify(documents: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``key``, held_out, score and predicted of each row, and the columns named in ``keep``.
 
     A narrow operator. A null text is scored as an empty one. Without a model (no labelled rows of both classes) every score is 0.5. A
-    null key isn't held out. Equal rows each give a row; other columns are left out; an empty table gives an empty one.
+    null key isn't held out. Equal rows each give a row; other columns are left out; an empty table gives an empty one. Columns to
+    keep may have any names; those named as one of the three that are added give way to it.
     """
-    names = [key, text, *(c for c in keep if c not in (key, text))]
-    out = [n for n in names if n != text or text in keep]
+    out = [key, *(c for c in dict.fromkeys(keep) if c != key and c not in ADDED)]
+    plain = documents.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(out)), F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, text):
-                score = model.score(features(part.column(text).to_pylist())) if model else np.full(part.num_rows, 0.5)
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in out), pa.array(score)], [*out, "score_"])
-
-    fields = ", ".join(f"`{n}` {documents.schema[n].dataType.simpleString()}" for n in out)
-    scored = documents.select(names).mapInArrow(run, f"{fields}, score_ double")
-    held = F.coalesce(fold(key) == HELD_OUT, F.lit(False))
-    return scored.select(*out, held.alias("held_out"), F.col("score_").alias("score"), (F.col("score_") >= THRESHOLD).cast("int").alias("predicted"))
+            for part in text_slices(batch, "text"):
+                score = model.score(features(part.column("text").to_pylist())) if model else np.full(part.num_rows, 0.5)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(out))), pa.array(score)], [*(f"c{i}" for i in range(len(out))), "score"])
+
+    fields = ", ".join(f"c{i} {plain.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(out)))
+    scored = plain.mapInArrow(run, f"{fields}, score double")
+    held = F.coalesce(fold("c0") == HELD_OUT, F.lit(False))
+    done = scored.select(*(f"c{i}" for i in range(len(out))), held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return done.toDF(*out, *ADDED)
