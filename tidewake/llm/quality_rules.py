@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidewake.llm._shared import text_slices
 
@@ -103,22 +104,24 @@ def apply_rules(df: DataFrame, key: str = "doc_id", text: str = "text", keep: tu
     the columns named in ``keep``.
 
     A narrow operator without a shuffle. A null text counts as empty: it has no words, so it fails. Equal rows each give a row; other
-    columns are left out whatever their names; an empty table gives an empty one. Long texts are judged whole.
+    columns are left out whatever their names; an empty table gives an empty one. Long texts are judged whole. Columns to keep may have
+    any names; those named as one that is added give way to it.
     """
     longs = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     names = [*longs, "base_failed", "kept", "lost_chars", "cleaned"]
     types = [*[pa.int64()] * 5, pa.bool_(), pa.bool_(), pa.int64(), pa.string()]
-    passed = [key, *(c for c in keep if c != key)]
-    read = [*passed, *([text] if text not in passed else [])]
+    passed = [key, *(c for c in dict.fromkeys(keep) if c != key and c not in names)]
+    plain = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(passed)), F.col(f"`{text}`").alias("text"))
+    at = [f"c{i}" for i in range(len(passed))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, text):
-                columns = zip(*map(judge, part.column(text).to_pylist()))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in passed), *(pa.array(c, t) for c, t in zip(columns, types))], [*passed, *names])
+            for part in text_slices(batch, "text"):
+                columns = zip(*map(judge, part.column("text").to_pylist()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in at), *(pa.array(c, t) for c, t in zip(columns, types))], [*at, *names])
 
-    schema = f"{', '.join(f'`{c}` {df.schema[c].dataType.simpleString()}' for c in passed)}, {', '.join(f'{c} long' for c in longs)}, base_failed boolean, kept boolean, lost_chars long, cleaned string"
-    return df.select(read).mapInArrow(run, schema)
+    schema = f"{', '.join(f'{c} {plain.schema[c].dataType.simpleString()}' for c in at)}, {', '.join(f'{c} long' for c in longs)}, base_failed boolean, kept boolean, lost_chars long, cleaned string"
+    return plain.mapInArrow(run, schema).toDF(*passed, *names)
 
 
 def _sql_class(chars: str) -> str:
