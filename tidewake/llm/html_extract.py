@@ -11,6 +11,8 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,14 +23,16 @@ from pyspark.sql import DataFrame
 from tidewake.llm import boosted_trees
 from tidewake.llm._shared import text_slices
 
-_QUOTED = r"(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+"
-#: Elements whose content is no text of the page: the first end with the page if they aren't closed, the others need their end tag.
+#: Attributes: at most so many runs, so that what isn't closed is given up in time.
+_QUOTED = r"(?:\"[^\"]*\"|'[^']*'|[^>\"']++){0,200}+"
+#: Elements whose content is no text of the page: the raw ones end with the page if they aren't closed, the boxed ones need their end tag.
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|iframe|textarea|title)\b{_QUOTED}>.*?(?:</(?P=raw)\s*>|\Z)|<(?:svg|math)\b[^>]*/>"
-    rf"|<(?P<boxed>noscript|template|svg|math|object|select|canvas|audio|video)\b{_QUOTED}>.*?</(?P=boxed)\s*>|<[!?][^>]*>"
-    rf"|<(/?)([a-zA-Z][^\s/>]*)({_QUOTED})>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|iframe|textarea|title)\b{_QUOTED}>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>"
+    rf"|<(/?)([a-zA-Z][^\s/>]*+)({_QUOTED})>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>",
     re.S | re.I,
 )
+BOXED = frozenset("noscript template svg math object select canvas audio video".split())
+_BOX_END = re.compile(rf"</({'|'.join(sorted(BOXED))})\s*>", re.I)
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -37,8 +41,8 @@ BLOCKS = frozenset(
 )
 #: What an opening tag ends: open tags of the first set, unless one of the second lies between.
 _ENDS = {
-    "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])), "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])), "dd": (frozenset(["dt", "dd"]), frozenset(["dl"])),
-    "tr": (frozenset(["tr"]), frozenset(["table"])), "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])), "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
+    "li": (("li", "p"), ("ul", "ol", "menu")), "dt": (("dt", "dd", "p"), ("dl",)), "dd": (("dt", "dd", "p"), ("dl",)),
+    "tr": (("tr", "p"), ("table",)), "td": (("td", "th", "p"), ("tr", "table")), "th": (("td", "th", "p"), ("tr", "table")),
 }
 _TAGS = ["p", "h1", "h2 h3 h4 h5 h6", "div", "section", "article main", "ul ol dl menu", "li dt dd", "nav", "header", "footer", "aside", "form fieldset search", "table tbody thead tfoot tr td th", "blockquote pre figure figcaption", "#text"]
 _TAG_AT = {t: k for k, group in enumerate(_TAGS) for t in group.split()}
@@ -65,10 +69,14 @@ class Page:
         self._parse(source or "")
 
     def _parse(self, source: str) -> None:
+        """One pass: every tag and every search of the open elements takes constant time, but for the elements that it closes."""
         stack: list[tuple[str, int]] = []  # open tags with the block node that they are or lie in
+        where: dict[str, list[int]] = defaultdict(list)  # places of each tag in the stack
+        blocks: list[int] = []  # places of block elements in the stack
         node, at, links = 0, 0, 0
         run: list[str] = []
         linked, has_block = 0, {0}
+        boxes: dict[str, list[int]] | None = None  # where end tags of boxed elements stop
 
         def flush() -> None:
             nonlocal linked
@@ -93,61 +101,84 @@ class Page:
             has_block.add(parent)
             return len(self.tag) - 1
 
+        def push(tag: str) -> None:
+            where[tag].append(len(stack))
+            if tag in BLOCKS:
+                blocks.append(len(stack))
+            stack.append((tag, node))
+
         def pop_to(k: int) -> None:
             nonlocal node, links
-            if any(t in BLOCKS for t, _ in stack[k:]):
+            if blocks and blocks[-1] >= k:
                 flush()
-            links -= sum(t == "a" for t, _ in stack[k:])
-            del stack[k:]
+            while len(stack) > k:
+                tag = stack.pop()[0]
+                where[tag].pop()
+                links -= tag == "a"
+            while blocks and blocks[-1] >= k:
+                blocks.pop()
             node = stack[-1][1] if stack else 0
 
-        for m in _TOKEN.finditer(source):
+        stop = source.rfind(">") + 1  # behind it no tag is closed, so nothing is searched there but a comment
+        while m := _TOKEN.search(source, at, stop):
             if m.start() > at:
                 text = source[at : m.start()]
                 run.append(text)
                 if links:
                     linked += len(text)
             at = m.end()
-            tag = (m[4] or m[7] or "").lower()
+            tag, attributes = (m[3] or m[6] or "").lower(), m[4] or m[7] or ""
             if not tag:
+                if at == stop and (m["raw"] and not re.search(rf"</{m['raw']}\s*>\Z", m[0], re.I) or m[0].startswith("<!--") and not m[0].endswith("-->")):
+                    at = len(source)  # never closed
                 continue
-            if m[3] or m[6]:
-                k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-                if k >= 0 and (tag in BLOCKS or not any(t in BLOCKS for t, _ in stack[k:])):
+            if m[2] or m[5]:
+                k = where[tag][-1] if where.get(tag) else -1
+                if k >= 0 and (tag in BLOCKS or not blocks or blocks[-1] < k):
                     pop_to(k)
                 continue
+            if tag in BOXED:
+                if tag in ("svg", "math") and attributes.endswith("/"):
+                    continue
+                if boxes is None:
+                    boxes = defaultdict(list)
+                    for end in _BOX_END.finditer(source):
+                        boxes[end[1].lower()].append(end.end())
+                ends = boxes.get(tag, [])
+                k = bisect_right(ends, at)
+                if k < len(ends):
+                    at = ends[k]
+                    continue
             if tag in BLOCKS:
-                if tag not in ("html", "body"):
-                    ends, until = _ENDS.get(tag, (frozenset(), frozenset()))
-                    for i in range(len(stack) - 1, -1, -1):
-                        if stack[i][0] in until:
-                            break
-                        if stack[i][0] in ends or stack[i][0] == "p":
-                            pop_to(i)
-                            if tag not in _ENDS:
-                                break
-                        elif stack[i][0] in BLOCKS and tag not in _ENDS:
-                            break
-                flush()
                 if tag in ("html", "body"):
+                    flush()
                     continue
-                new = add(node, tag, " ".join(a or b or c for a, b, c in _ATTRIBUTE.findall(m[5] or m[8] or "")).lower() if (m[5] or m[8]) else "")
+                if tag in _ENDS:
+                    ended, until = _ENDS[tag]
+                    j = max((where[t][-1] for t in until if where.get(t)), default=-1)
+                    open_ = [where[t][k] for t in ended if where.get(t) and (k := bisect_right(where[t], j)) < len(where[t])]
+                    if open_:
+                        pop_to(min(open_))
+                elif blocks and stack[blocks[-1]][0] == "p":
+                    pop_to(blocks[-1])
+                flush()
+                new = add(node, tag, " ".join(a or b or c for a, b, c in _ATTRIBUTE.findall(attributes)).lower() if attributes else "")
                 if tag != "hr":
                     node = new
-                    stack.append((tag, node))
+                    push(tag)
             elif tag == "br":
                 run.append(" ")
             elif tag in ("input", "button"):
                 self.inputs[node] += 1
                 if tag == "button":
-                    stack.append((tag, node))
-            elif tag not in VOID and not (m[5] or m[8] or "").endswith("/"):
+                    push(tag)
+            elif tag not in VOID and not attributes.endswith("/"):
                 if tag == "a":
                     links += 1
                     self.links[node] += 1
-                stack.append((tag, node))
+                push(tag)
         if at < len(source):
-            run.append(source[at:])
+            run.append(source[at:].partition("<!--")[0])
         flush()
 
     def features(self) -> np.ndarray:
