@@ -1,24 +1,28 @@
 """Near-duplicate documents by a chosen-path set similarity join over word shingles.
 
 1. Each document's set of five-word shingles is hashed; documents with the same set are one class, represented by its least id.
-2. Independent trees branch the representatives: a document goes down a tree by the tree's minwise tokens, one a level, so two sets of
-   similarity J stay together over four levels with probability J^4. Twenty trees miss a pair of similarity 0.85 with a probability of
-   4e-7 (``recall``).
-3. Nodes are compared exhaustively on sketches of 80 minwise hashes: small nodes as pairs, larger ones in blocks by vectorised tasks.
-   Pairs that agree on over 65 % of the sketch (a true link misses this with about 2e-6) join candidate families.
-4. Within a family all pairs are compared on their full sets, again in blocks where it is large; links are those whose full sets pass
-   the threshold exactly, so sketches decide only what is looked at. Links give components.
+2. Independent trees branch the representatives recursively: a document goes down a tree by the tree's minwise tokens, one a level. A node
+   of one document ends there; a small one is compared at once; a larger one branches on, to ``DEPTH`` levels at most. Two sets of
+   similarity J stay together at least with probability J^4 in each tree. Nineteen trees miss a pair of similarity 0.85 with a
+   probability of 1e-6 (``recall``).
+3. Nodes are compared exhaustively on sketches of 76 minwise hashes: small nodes as pairs, larger ones by vectorised tasks. Pairs that
+   agree on over 65 % of the sketch (a true link misses this with about 1e-6) join candidate families.
+4. Families are compared on their full sets; links are those whose full sets pass the threshold exactly, so sketches decide only what
+   is looked at. Links give components.
+
+Components are wanted, not all links, so large nodes and families (``_spanning``) are compared block by block first, then a few members
+of each block's components with each other. What is still apart after that, and only that, is compared pair by pair with all the rest.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewake.llm._shared import offsets, ragged, stored, text_slices
@@ -29,8 +33,10 @@ DEPTH = 4
 #: The probability that the trees, and again that the sketches, miss a pair at the threshold.
 MISS = 1e-6
 MOST_HASHES = 4096
-#: Nodes up to this size become pairs; larger ones go to block tasks.
-SMALL_NODE = 24
+#: Nodes up to this size become pairs, above the last level and at it; larger ones branch on, and at the last level go to block tasks.
+EARLY_NODE, SMALL_NODE = 4, 24
+#: Members of each component of a block that are compared with those of the others.
+PIVOTS = 4
 #: Members of a block: of sketches, of full sets.
 BLOCK, FAMILY_BLOCK = 1024, 256
 _rng = np.random.default_rng(20240229)
@@ -46,10 +52,13 @@ def recall(similarity: float, trees: int, depth: int = DEPTH) -> float:
 
 
 def trees_for(similarity: float, miss: float = MISS, depth: int = DEPTH) -> int:
-    """Trees that miss a pair of this similarity with at most this probability."""
+    """Trees that miss a pair of this similarity with at most this probability. Refused where that takes over ``MOST_HASHES`` hashes."""
     if similarity >= 1:
         return 1
-    return min(MOST_HASHES // depth, max(1, ceil(log(miss) / log(1 - similarity**depth))))
+    trees = max(1, ceil(log(miss) / log(1 - similarity**depth))) if similarity > 0 else MOST_HASHES
+    if trees * depth > MOST_HASHES:
+        raise ValueError(f"a similarity of {similarity} needs {trees} trees of {depth} levels: over {MOST_HASHES} hashes for each document")
+    return trees
 
 
 def least_alike(similarity: float, hashes: int, miss: float = MISS) -> int:
@@ -188,21 +197,22 @@ def shingle_table(df: DataFrame, key: str, text: str, hashes: int) -> DataFrame:
     return df.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "key long, n long, c1 long, c2 long, sketch binary")
 
 
-def _paths(reps: DataFrame, trees: int) -> DataFrame:
-    """(node, rep): the node of each tree that a representative ends in."""
+def _branches(rows: DataFrame, hashes: int, level: int) -> DataFrame:
+    """(node, tree, rep): where representatives (rep, sketch, trees: those that they still go down) stand at a level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            sk = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(-1, trees, DEPTH).astype(np.uint64)
+        for batch in (b.slice(k, 1 << 13) for b in batches for k in range(0, b.num_rows, 1 << 13)):
+            sk = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(-1, hashes // DEPTH, DEPTH)
+            trees = batch.column("trees")
+            row, tree = np.repeat(np.arange(batch.num_rows), np.asarray(trees.value_lengths())), np.asarray(trees.flatten()).astype(np.int64)
+            token = sk[row, tree].astype(np.uint64)
             with np.errstate(over="ignore"):
-                node = np.broadcast_to(np.arange(1, trees + 1, dtype=np.uint64), sk.shape[:2])
-                for level in range(DEPTH):
-                    node = _mix(node * _P + sk[:, :, level])
-            yield pa.RecordBatch.from_arrays([pa.array(node.astype(np.int64).ravel()), pa.array(np.repeat(np.asarray(batch.column("rep")), trees))], ["node", "rep"])
+                node = tree.astype(np.uint64) + np.uint64(1)
+                for k in range(level):
+                    node = _mix(node * _P + token[:, k])
+            yield pa.RecordBatch.from_arrays([pa.array(node.astype(np.int64)), pa.array(tree.astype(np.int32)), batch.column("rep").take(pa.array(row))], ["node", "tree", "rep"])
 
-    return reps.select("rep", "sketch").mapInArrow(run, "node long, rep long")
+    return rows.select("rep", "sketch", "trees").mapInArrow(run, "node long, tree int, rep long")
 
 
 def _blocks(df: DataFrame, size: Column, block: int, member: str) -> DataFrame:
@@ -213,16 +223,118 @@ def _blocks(df: DataFrame, size: Column, block: int, member: str) -> DataFrame:
     return df.withColumn("own", own).withColumn("cell", F.explode(cells)).select("*", F.col("cell.x").alias("x"), F.col("cell.y").alias("y"), (F.col("own") != F.col("cell.x")).cast("int").alias("side")).drop("cell", "own")
 
 
+def _spanning(members: DataFrame, data: DataFrame, make: Callable[[], Find], block: int, most_rows: int) -> DataFrame:
+    """(a, b): edges that join, within each group, all members that chains of links join. Never a link that ``Find`` doesn't see.
+
+    ``members``: family, rep, size (of its family). ``data``: rep, data. Each member's data go to one task with their block of the family
+    at first. For families of several blocks up to ``PIVOTS`` members of each component of a block follow, to all blocks of such
+    members. Components that are still apart then are compared in full: a small one meets every other block, two blocks of one
+    component don't meet. So a family of many near copies costs its size, and only one that falls into many parts costs its square.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = make()
+        for table in _rows(batches, 3, most_rows):
+            found: list[np.ndarray] = []
+            for lo, hi in _runs(table, 3):
+                part = table.slice(lo, hi - lo)
+                apart = part.column("x")[0].as_py() != part.column("y")[0].as_py()
+                edges = find(part.column("data").to_pylist(), part.column("side").to_numpy() if apart else None, part.column("comp").to_numpy())
+                reps, family = part.column("rep").to_numpy(), part.column("family")[0].as_py()
+                forest = _Forest(hi - lo)
+                for i, j in edges.tolist():
+                    forest.join(i, j)
+                # all but roots have an edge; where more is to come, a root is its own
+                rows = [(family, reps[i], reps[r]) for i in range(hi - lo) if (r := forest.root(i)) != i or part.column("more")[i].as_py()]
+                found.append(np.array(rows, np.int64).reshape(-1, 3))
+            out = np.concatenate(found)
+            if len(out):
+                yield pa.RecordBatch.from_arrays([pa.array(out[:, k]) for k in range(3)], ["family", "rep", "root"])
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        rows = rows.join(data, "rep").select("family", "x", "y", "rep", "side", "comp", "more", "data")
+        return rows.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(compare, "family long, rep long, root long")
+
+    def edges(found: DataFrame) -> DataFrame:
+        return found.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))
+
+    own = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / block)).cast("int")
+    first = members.select("family", "rep", own.alias("x"), own.alias("y"), F.lit(0).alias("side"), F.col("rep").alias("comp"), (F.col("size") > block).alias("more"))
+    found = stored(dealt(first), "spanning")
+    large = members.where(F.col("size") > block)
+    if not large.limit(1).count():
+        return edges(found)
+    of_large = found.join(large.select("family").distinct(), "family", "left_semi")
+    one = Window.partitionBy("family", "root")  # within a block
+    ranked = of_large.withColumn("n", F.count("*").over(one)).withColumn("r", F.row_number().over(one.orderBy(F.col("rep") != F.col("root"), F.xxhash64("rep"))))
+    pivots = ranked.where((F.col("n") > 1) & (F.col("r") <= PIVOTS)).select("family", "rep", F.col("root").alias("comp"))
+    pivots = pivots.join(pivots.groupBy("family").agg(F.count("*").alias("size")), "family").withColumn("more", F.lit(False))
+    joined = stored(edges(found).unionByName(edges(dealt(_blocks(pivots, F.col("size"), block, "rep")))), "spanning")
+    label = components(joined)
+    named = large.join(label, large.rep == label.node, "left").select("family", "rep", F.coalesce("component", "rep").alias("comp"))
+    sizes = stored(named.groupBy("family", "comp").agg(F.count("*").alias("n")), "parts")
+    split = sizes.groupBy("family").agg(F.count("*").alias("parts"), F.sum(F.when(F.col("n") <= block / 2, F.col("n")).otherwise(0)).alias("few")).where("parts > 1")
+    # blocks of a family: those of each large component, and shared ones of the small components
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(n / block).cast("int") - 1)).alias("k")
+    whole = sizes.where(F.col("n") > block / 2).join(split.select("family"), "family", "left_semi").select("family", F.lit(False).alias("s"), F.col("comp").alias("c"), spread(F.col("n")))
+    shared = split.where("few > 0").select("family", F.lit(True).alias("s"), F.lit(0).cast("long").alias("c"), spread(F.col("few")))
+    blocks = whole.unionByName(shared).groupBy("family").agg(F.sort_array(F.collect_list(F.struct("s", "c", "k"))).alias("blocks"))
+    rest = named.join(sizes, ["family", "comp"]).join(split.select("family", "few"), "family").join(blocks, "family")
+    rest = rest.withColumn("s", F.col("n") <= block / 2).withColumn("c", F.when(F.col("s"), 0).otherwise(F.col("comp")).cast("long"))
+    at = F.pmod(F.xxhash64(F.when(F.col("s"), F.col("comp")).otherwise(F.col("rep"))), F.ceil(F.when(F.col("s"), F.col("few")).otherwise(F.col("n")) / block)).cast("int")
+    rest = rest.withColumn("own", F.array_position("blocks", F.struct("s", "c", at.alias("k"))).cast("int"))
+    others = F.filter(F.sequence(F.lit(1), F.size("blocks")), lambda i: F.col("s") | F.element_at("blocks", i)["s"] | (F.element_at("blocks", i)["c"] != F.col("c")))
+    cells = rest.select("family", "rep", "comp", "own", F.explode(others).alias("i"))
+    last = cells.select("family", "rep", F.least("own", "i").alias("x"), F.greatest("own", "i").alias("y"), (F.col("own") > F.col("i")).cast("int").alias("side"), "comp", F.lit(False).alias("more"))
+    return joined.unionByName(edges(dealt(last)))
+
+
+#: A spanning forest of what is linked, as pairs of places: of data, sides (None: all pairs; else only across) and components (only across).
+Find = Callable[[list, np.ndarray | None, np.ndarray], np.ndarray]
+
+
+def alike(hashes: int, least: int) -> Find:
+    """Sketches that share ``least`` hashes."""
+
+    def find(data: list, side: np.ndarray | None, comp: np.ndarray) -> np.ndarray:
+        sk, forest, out = np.frombuffer(b"".join(data), np.uint32).reshape(-1, hashes), _Forest(len(data)), []
+        for i in range(len(data) - 1):
+            near = (sk[i + 1 :] == sk[i]).sum(1) >= least
+            near &= comp[i + 1 :] != comp[i]
+            if side is not None:
+                near &= side[i + 1 :] != side[i]
+            out += [(i, j) for j in (np.flatnonzero(near) + i + 1).tolist() if forest.join(i, j)]
+        return np.array(out, np.int64).reshape(-1, 2)
+
+    return find
+
+
+def linked(percent: int) -> Find:
+    """Texts whose full sets pass the threshold."""
+    shingler = Shingler()
+    return lambda data, side, comp: link_sets(shingler.sets(data), percent, side, comp)
+
+
 def _candidates(reps: DataFrame, trees: int, alike_least: int) -> DataFrame:
     """(a, b): edges between representatives whose sketches are alike; a spanning forest of each node's."""
     hashes = trees * DEPTH
-    member = stored(_paths(reps, trees), "paths")
-    nodes = stored(member.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "nodes")
-    small = member.join(nodes.where(F.col("size") <= SMALL_NODE), "node").groupBy("node").agg(F.sort_array(F.collect_set("rep")).alias("m")).select("m").distinct()
-    pairs = small.select(F.posexplode("m").alias("i", "a"), "m").select("a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b")).distinct()
+    going = reps.select("rep", "sketch", F.sequence(F.lit(0), F.lit(trees - 1)).alias("trees"))
+    small = []
+    for level in range(1, DEPTH + 1):
+        most = SMALL_NODE if level == DEPTH else EARLY_NODE
+        member = stored(_branches(going, hashes, level), "branches")
+        nodes = stored(member.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "nodes")
+        small.append(member.join(nodes.where(F.col("size") <= most), "node").groupBy("node").agg(F.sort_array(F.collect_set("rep")).alias("m")).select("m"))
+        large = member.join(nodes.where(F.col("size") > most), "node")
+        if level < DEPTH:
+            going = large.groupBy("rep").agg(F.collect_list("tree").alias("trees")).join(reps, "rep").select("rep", "sketch", "trees")
+    sets = small[0]
+    for more in small[1:]:
+        sets = sets.unionByName(more)
+    pairs = sets.distinct().select(F.posexplode("m").alias("i", "a"), "m").select("a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b")).distinct()
     a, b = (reps.select(F.col("rep").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
 
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -230,56 +342,20 @@ def _candidates(reps: DataFrame, trees: int, alike_least: int) -> DataFrame:
             keep = pa.array((x == y).sum(1) >= alike_least)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
-    of_small = pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _rows(batches, 3):
-            reps_, side = table.column("rep").to_numpy(), table.column("side").to_numpy()
-            sk = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint32).reshape(-1, hashes)
-            found: list[tuple[int, int]] = []
-            for lo, hi in _runs(table, 3):
-                forest = _Forest(hi - lo)
-                apart = table.column("x")[lo].as_py() != table.column("y")[lo].as_py()
-                for i in range(lo, hi - 1):
-                    alike_ = (sk[i + 1 : hi] == sk[i]).sum(1) >= alike_least
-                    if apart:
-                        alike_ &= side[i + 1 : hi] != side[i]
-                    found += [(reps_[i], reps_[j]) for j in (np.flatnonzero(alike_) + i + 1).tolist() if forest.join(i - lo, j - lo)]
-            if found:
-                e = np.array(found, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
-
-    large = member.join(nodes.where(F.col("size") > SMALL_NODE), "node").join(reps.select("rep", "sketch"), "rep")
-    dealt = _blocks(large, F.col("size"), BLOCK, "rep").select("node", "x", "y", "rep", "side", "sketch")
-    of_large = dealt.repartition("node", "x", "y").sortWithinPartitions("node", "x", "y").mapInArrow(compare, "a long, b long")
+    of_small = pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long")
+    of_large = _spanning(large.select(F.col("node").alias("family"), "rep", "size"), reps.select("rep", F.col("sketch").alias("data")), lambda: alike(hashes, alike_least), BLOCK, 1 << 14)
     return of_small.unionByName(of_large)
 
 
 def _links(df: DataFrame, families: DataFrame, key: str, text: str, percent: int) -> DataFrame:
-    """(a, b): links by full sets within families; a spanning forest of each block's."""
-    sizes = families.groupBy("family").agg(F.count("*").alias("size"))
-    member = families.join(sizes, "family")
-    texts = df.select(F.col(f"`{key}`").cast("long").alias("rep"), F.col(f"`{text}`").alias("text")).join(member, "rep").dropDuplicates(["rep"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
-        for table in _rows(batches, 3, 64):
-            for lo, hi in _runs(table, 3):
-                rows = table.slice(lo, hi - lo)
-                sets = shingler.sets(rows.column("text").to_pylist())
-                side = rows.column("side").to_numpy()
-                apart = rows.column("x")[0].as_py() != rows.column("y")[0].as_py()
-                e = link_sets(sets, percent, side if apart else None)
-                if len(e):
-                    ids = rows.column("rep").to_numpy()
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[e[:, 0]]), pa.array(ids[e[:, 1]])], ["a", "b"])
-
-    dealt = _blocks(texts, F.col("size"), FAMILY_BLOCK, "rep").select("family", "x", "y", "rep", "side", "text")
-    return dealt.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(run, "a long, b long")
+    """(a, b): edges that join what links by full sets within families."""
+    members = families.join(families.groupBy("family").agg(F.count("*").alias("size")), "family")
+    texts = df.select(F.col(f"`{key}`").cast("long").alias("rep"), F.col(f"`{text}`").alias("data"))
+    return _spanning(members, texts, lambda: linked(percent), FAMILY_BLOCK, 64)
 
 
-def link_sets(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> np.ndarray:
-    """A spanning forest of the links 100 * |intersection| >= percent * |union|, as rows of places; only across sides if given."""
+def link_sets(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None, comp: np.ndarray | None = None) -> np.ndarray:
+    """A spanning forest of the links 100 * |intersection| >= percent * |union|, as rows of places; only across sides and components if given."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     forest, out = _Forest(n), []
@@ -294,8 +370,9 @@ def link_sets(sets: list[np.ndarray], percent: int, side: np.ndarray | None = No
         shared = np.bincount(ragged(posting, starts[mine], starts[mine + 1] - starts[mine]), minlength=n)
         linked = 100 * shared >= percent * (sizes + sizes[i] - shared)
         linked[: i + 1] = False
-        if side is not None:
-            linked &= side != side[i]
+        for of in (side, comp):
+            if of is not None:
+                linked &= of != of[i]
         out += [(i, j) for j in np.flatnonzero(linked & (sizes > 0)).tolist() if forest.join(i, j)]
     return np.array(out, np.int64).reshape(-1, 2)
 
@@ -305,15 +382,15 @@ def near_duplicates(df: DataFrame, percent: int = 80, key: str = "doc_id", text:
 
     Two documents link when 100 * |intersection| >= ``percent`` * |union| of their sets of five-word shingles (A-Z lower-cased; a text with
     one to four words is one shingle). Texts without words, null ones too, have an empty set and link with nothing. A null id
-    takes no part: its component is null, and it is kept. Rows that repeat an id are one document to links; each gives a row. Extra
-    columns are left out. An empty table gives an empty one. Copies are never expanded into pairs: classes of equal sets have one
+    takes no part: its component is null, and it is kept. Rows that repeat an id each give a row, with the links of its own text; where
+    several of an id's texts are the first of their kind, the id stands for all of them. Extra columns are left out. An empty table gives an empty one. Copies are never expanded into pairs: classes of equal sets have one
     representative each.
     """
     trees = trees_for(percent / 100)
     base = stored(shingle_table(df, key, text, trees * DEPTH), "shingles")
     full = base.where("n > 0 and key is not null")
     reps = stored(full.groupBy("c1", "c2").agg(F.min("key").alias("rep"), F.min("sketch").alias("sketch")), "classes")
-    candidates = stored(_candidates(reps.dropDuplicates(["rep"]), trees, least_alike(percent / 100, trees * DEPTH)), "candidates")
+    candidates = stored(_candidates(reps, trees, least_alike(percent / 100, trees * DEPTH)), "candidates")
     found = components(candidates)
     families = found.select(F.col("node").alias("rep"), F.col("component").alias("family")).unionByName(found.select(F.col("component").alias("rep"), F.col("component").alias("family")).distinct())
     links = components(stored(_links(df, stored(families, "families"), key, text, percent), "links"))
