@@ -45,6 +45,8 @@ class PieceModel:
         if (self.byte_ids < 0).any():
             raise ValueError("the model has no byte fallback")
         normal = {p.piece: i for i, p in enumerate(model.pieces) if p.type == 1}
+        if any(MARK in p.lstrip(MARK) or "\n" in p and p != "\n" for p in normal):
+            raise ValueError("pieces with a mark behind other characters, or with a line feed, join words: words can't be encoded apart")
         order = sorted({-p.score for p in model.pieces if p.type == 1})
         rank = {s: i for i, s in enumerate(order)}
         self.char_symbol = np.full(0x110000, -1, np.int32)
