@@ -30,11 +30,24 @@ def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def _mapped(fs: pafs.FileSystem, path: str, kind: np.dtype) -> np.ndarray:
-    if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
-    with fs.open_input_file(path) as f:
-        return np.frombuffer(f.read(), kind)
+class _Numbers:
+    """Runs of a file's numbers: mapped into memory where the folder is a mounted one, else read range by range."""
+
+    def __init__(self, fs: pafs.FileSystem, path: str, kind: np.dtype):
+        self.kind = kind
+        if isinstance(fs, pafs.LocalFileSystem):
+            self.file, self.map = None, np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
+        else:
+            self.file, self.map = fs.open_input_file(path), None
+
+    def run(self, start: int, stop: int) -> np.ndarray:
+        if self.map is not None:
+            return np.asarray(self.map[start:stop])
+        size = self.kind.itemsize
+        return np.frombuffer(self.file.read_at((stop - start) * size, start * size), self.kind)
+
+    def all(self) -> np.ndarray:
+        return self.run(0, len(self.map) if self.map is not None else self.file.size() // self.kind.itemsize)
 
 
 def write(df: DataFrame, path: str, model_path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -100,15 +113,15 @@ def read(spark: SparkSession, path: str, key_type: str = "bigint", key: str = "d
         fs = _fs(path)[0]
         for batch in batches:
             for r in batch.to_pylist():
-                tokens = _mapped(fs, f"{root}/tokens-{r['part']:06d}.bin", np.dtype(f"<u{r['width']}"))
-                offs = _mapped(fs, f"{root}/offsets-{r['part']:06d}.bin", np.dtype("<u8")).astype(np.int64)
+                tokens = _Numbers(fs, f"{root}/tokens-{r['part']:06d}.bin", np.dtype(f"<u{r['width']}"))
+                offs = _Numbers(fs, f"{root}/offsets-{r['part']:06d}.bin", np.dtype("<u8")).all().astype(np.int64)
                 with pa.memory_map(f"{root}/keys-{r['part']:06d}.arrow") if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(f"{root}/keys-{r['part']:06d}.arrow") as f:
                     keys = pa.ipc.open_file(f).read_all().column("key").combine_chunks()
                     group = offs[:-1] // READ_TOKENS
                     cuts = [*np.flatnonzero(np.diff(group, prepend=-1)).tolist(), len(keys)]
                     for a, b in zip(cuts, cuts[1:]):
                         lengths = np.diff(offs[a : b + 1])
-                        ids = np.asarray(tokens[offs[a] : offs[b]]).astype("<u4")
+                        ids = tokens.run(int(offs[a]), int(offs[b])).astype("<u4")
                         yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array(offs[a:b] + r["first_token"]), pa.array(lengths), binary_array(ids, lengths)], [key, "start", "n_tokens", "ids"])
 
     manifest = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest")

@@ -19,7 +19,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm._shared import stored
+from tidewake.llm._shared import stored, text_slices
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -72,8 +72,10 @@ def _members(stream, size: int = 1 << 20) -> Iterator[bytes]:
 def write(df: DataFrame, path: str, key: str = "page_id", url: str = "url", body: str = "html", least: int = LEAST) -> None:
     """Archives and the ``headers`` table under ``path``.
 
-    Roles come from one small aggregation (digest, least key) that is joined back on the digest: its build side has a row for each
-    digest, and a digest with very many rows is split by the join's skew handling. Each task attempt writes files of its own name;
+    Roles come from one small aggregation (digest, least key) that is joined back on the digest. Its side is hashed within each
+    partition, which spares sorting payloads: a partition of it has some hundred bytes for each distinct digest beside the payloads
+    of those digests themselves, so it is bounded by its share of the other side; a digest with very many rows is split by the
+    join's skew handling. Each task attempt writes files of its own name;
     those that no committed header names are removed at the end. A null body is an empty payload, a null URL leaves its field out, a
     null key never is the smallest; rows equal in key and payload are all responses; extra columns are left out; an empty table gives
     an empty archive.
@@ -93,7 +95,7 @@ def write(df: DataFrame, path: str, key: str = "page_id", url: str = "url", body
         fs.create_dir(f"{root}/archives", recursive=True)
         out, name, at = None, "", 0
         try:
-            for batch in batches:
+            for batch in (part for whole in batches for part in text_slices(whole, "payload")):
                 found = []
                 for r in batch.to_pylist():
                     if out is None or at >= ARCHIVE_BYTES:
