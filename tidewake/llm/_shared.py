@@ -24,9 +24,11 @@ SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder that all machines share: ``spark.checkpoint.dir``; a temporary one only where that is unset and one machine does all."""
     set_to = spark.conf.get("spark.checkpoint.dir", None)
     if not set_to:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         set_to = "file://" + tempfile.mkdtemp(prefix="tidewake-")
         spark.conf.set("spark.checkpoint.dir", set_to)
     return set_to.rstrip("/")
