@@ -62,6 +62,23 @@ def test_classifier(spark, odd, none):
     assert quality_classifier.train(odd, labels.limit(0)) is None
     assert {r.score for r in quality_classifier.classify(odd, None).collect()} == {0.5}
     assert quality_classifier.classify(none, model).count() == 0
+    kept = quality_classifier.classify(odd.withColumn("score", F.lit("clash")).withColumn("c0", F.lit("clash")), model, keep=("score", "text", "c0", "score_", "doc_id"))
+    assert kept.columns == ["doc_id", "text", "c0", "score_", *quality_classifier.ADDED] and {r.score_ for r in kept.select("score_", "score").collect()} == {"clash"}
+
+
+def test_classifier_of_repeated_ids(spark):
+    """More rows than the bound: those of the lowest id hashes stay, long texts as well as short ones."""
+    texts = [" ".join(["good words run on"] * (5 if k < 8 else 400)) + "." if k % 2 else "BUY!! | NOW!! | " * (5 if k < 8 else 400) for k in range(16)]
+    docs = spark.createDataFrame([(i % 4 + 100, texts[i]) for i in range(16)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i + 100, i % 2) for i in range(4)], "doc_id long, quality int")
+    seen = []
+    real = quality_classifier.fit
+    try:
+        quality_classifier.fit = lambda x, y: seen.append(x) or real(x, y)
+        quality_classifier.train(docs, labels, most=8)
+    finally:
+        quality_classifier.fit = real
+    assert len(seen[0]) <= 8 and seen[0][:, 0].max() > 7 > seen[0][:, 0].min()
 
 
 def test_rules(odd, none):
@@ -70,6 +87,8 @@ def test_rules(odd, none):
     assert rows[6, 220_000].base_failed and rows[6, 220_000].n_repeat_words == 220_000
     assert rows[8, 1].word_chars == 50_000
     assert quality_rules.apply_rules(none).count() == 0
+    kept = quality_rules.apply_rules(odd.withColumn("c0", F.lit("clash")), keep=("kept", "n_words", "c0", "text"))
+    assert kept.columns[:3] == ["doc_id", "c0", "text"] and len(set(kept.columns)) == len(kept.columns) and kept.where("kept").count() <= len(ROWS)
 
 
 def test_warc(spark, none):
@@ -92,12 +111,13 @@ def test_warc(spark, none):
 
 def test_token_files(spark, odd, none):
     ref = Tokenizer.from_file(WORD_MODEL)
-    rows = token_files.round_trip(odd, scratch(spark, "tokens"), WORD_MODEL, 1).orderBy("start").collect()
+    rows = token_files.round_trip(odd, scratch(spark, "tokens"), WORD_MODEL, 1).withColumn("crc", F.crc32("ids")).orderBy("start").collect()
     ids = {(i, t): ref.encode(t or "", add_special_tokens=False).ids + [1] for i, t, *_ in ROWS}
     order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0))
     at = 0
     for r, (i, t, *_) in zip(rows, order):
         assert (r.doc_id, r.start, r.n_tokens) == (i, at, len(ids[i, t])) and np.frombuffer(r.ids, "<u4").tolist() == ids[i, t]
+        assert r.crc == zlib.crc32(np.array(ids[i, t], "<u4").tobytes())
         at += r.n_tokens
     assert len(rows) == len(ROWS)
     assert token_files.round_trip(none, scratch(spark, "tokens"), WORD_MODEL, 1).count() == 0
@@ -140,6 +160,13 @@ def test_near_duplicates(odd, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_of_a_repeated_id(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(80)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " x"), (4, "y " + b)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=80).collect()
+    assert len(got) == 5 and {r.component_id for r in got} == {1}
+
+
 def test_line_dedup(odd, none):
     rows = line_dedup.dedup_lines(odd)
     assert rows.columns == [*odd.columns, *line_dedup.ADDED]

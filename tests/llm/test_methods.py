@@ -1,13 +1,17 @@
 """Operators against libraries, brute force, exact round trips and held-out accuracy."""
 
 import random
+import time
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tests.conftest import DATA
 from tidewake.llm import html_extract, line_dedup, near_dedup, packing, quality_classifier, quality_rules, sentencepiece_bpe, topk_search, word_bpe
@@ -20,7 +24,6 @@ from tidewake.llm.queries import PIECE_MODEL, WORD_MODEL, queries, table
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("abeinst ▁\n\té日0'.,<>|"), st.characters(exclude_categories=["Cs"])), max_size=80), max_size=8))
 def test_encoders_equal_their_libraries(texts):
     import sentencepiece
-    from tokenizers import Tokenizer
 
     pieces = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
     flat, lengths = sentencepiece_bpe.encoder(PIECE_MODEL).encode(texts)
@@ -83,6 +86,64 @@ def test_schedule_fills_every_window(sizes, own):
     assert (seen[: s.total] == 1).all() and not seen[s.total :].any()
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 120), min_size=1, max_size=6).filter(any), st.booleans())
+def test_schedule_is_deficit_round_robin(sizes, own):
+    """One place after the other, with a counter for each queue that is carried from window to window."""
+    weights = [k * 7 % 5 + 1 for k in range(len(sizes))] if own else sizes
+    s = packing.Schedule(sizes, weights if own else None, window=16)
+    deficit, sent, share = [Fraction(0)] * len(sizes), [0] * len(sizes), [Fraction(w, sum(weights)) for w in weights]
+    for place in range(sum(sizes)):
+        if place % 16 == 0:
+            assert s.sent(place // 16)[0].tolist() == sent
+        deficit = [d + w for d, w in zip(deficit, share)]
+        q = max((q for q in range(len(sizes)) if sent[q] < sizes[q]), key=lambda q: ((deficit[q] - Fraction(1, 2)) / share[q], -q))
+        deficit[q], sent[q] = deficit[q] - 1, sent[q] + 1
+    assert s.sent(s.windows)[0].tolist() == sent == sizes
+
+
+def test_a_schedule_of_many_queues_takes_bounded_time_and_memory():
+    rng = random.Random(2)
+    sizes = [rng.randint(1, 10**9) for _ in range(packing.MOST_QUEUES)]
+    for weights in (None, [rng.randint(1, 1 << 48) for _ in sizes]):
+        s, began = packing.Schedule(sizes, weights), time.time()
+        for k in range(0, s.windows, s.windows // 20):
+            assert s.sent(k)[0].sum() == k * packing.WINDOW
+        assert time.time() - began < 5 and s.sent.cache_info().maxsize * 16 * len(sizes) <= packing.REMEMBERED
+
+
+@pytest.mark.parametrize("most", [4096, 3])
+def test_packing_at_targets(spark, monkeypatch, most):
+    """Windows hold sources at their targets; also where sources outnumber the queues."""
+    monkeypatch.setattr(packing, "MOST_QUEUES", most)
+    ref = Tokenizer.from_file(WORD_MODEL)
+    rng = random.Random(most)
+    docs = [(i, " ".join(rng.choice(["harbour", "fog", "slept", "thin", "cover", "1917", "été"]) for _ in range(rng.randint(0, 60))), "abcdefgh"[i % 8]) for i in range(240)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3)
+    targets = {"a": 0.5, "b": 0.25}
+    rows = packing.pack(df, WORD_MODEL, 2, targets=targets, window=64).collect()
+    ids = {i: [*ref.encode(t, add_special_tokens=False).ids, 2] for i, t, _ in docs}
+    got = defaultdict(list)
+    mix = defaultdict(lambda: defaultdict(int))
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
+        assert r.start == len(got[r.doc_id]) and r.doc_tokens == len(ids[r.doc_id])
+        got[r.doc_id] += np.frombuffer(r.ids, "<u4").tolist()
+        assert len(r.ids) == 4 * r.length and r.offset + r.length <= 64
+        mix[r.sequence_id][docs[r.doc_id][2]] += r.length
+    assert dict(got) == ids
+    total = {x: sum(len(ids[i]) for i, _, s in docs if s == x) for x in "abcdefgh"}
+    share = {x: targets.get(x, total[x] / sum(total.values())) for x in total}
+    ends = min(total[x] / share[x] for x in total) * sum(share.values()) / 64  # until the first queue is empty
+    sent = defaultdict(int)
+    for k in range(int(ends) - 1):
+        for x in mix[k]:
+            sent[x] += mix[k][x]
+        for x in targets:
+            assert abs(sent[x] - 64 * (k + 1) * share[x] / sum(share.values())) < 8
+    with pytest.raises(ValueError, match="at most"):
+        packing.pack(df, WORD_MODEL, 2, targets={str(k): 1.0 for k in range(most + 1)})
+
+
 def test_classifier_on_held_out_rows(spark):
     docs, labels = table(spark, DATA.replace("0.001", "0.01"), "documents"), table(spark, DATA.replace("0.001", "0.01"), "labels")
     rows = quality_classifier.classify(docs, quality_classifier.train(docs, labels)).join(labels, "doc_id").where("held_out").toPandas()
@@ -122,8 +183,9 @@ def _family(rng, words, n, edits):
 
 @pytest.mark.parametrize("small", [24, 3])
 def test_near_duplicates_by_brute_force(spark, monkeypatch, small):
-    """Also with small nodes and blocks, so that block tasks and families in several blocks are met."""
+    """Also with small nodes and blocks, so that block tasks, pivots and families that stay in parts are met."""
     if small < 24:
+        monkeypatch.setattr(near_dedup, "EARLY_NODE", 2)
         monkeypatch.setattr(near_dedup, "SMALL_NODE", small)
         monkeypatch.setattr(near_dedup, "BLOCK", 16)
         monkeypatch.setattr(near_dedup, "FAMILY_BLOCK", 8)
@@ -154,6 +216,8 @@ def test_recall_of_trees():
     for s in (0.8, 0.85, 0.95):
         n = near_dedup.trees_for(s)
         assert near_dedup.recall(s, n) >= 1 - near_dedup.MISS > near_dedup.recall(s, n - 1) and near_dedup.recall(0.3, n) < 0.25
+    with pytest.raises(ValueError, match="trees"):
+        near_dedup.trees_for(0.2)
     assert near_dedup.least_alike(0.85, 76) < 0.85 * 76 < near_dedup.least_alike(0.999, 76)
 
 
@@ -163,25 +227,82 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(1, 61)}, **{k: 100 for k in range(101, 140)}, 201: 200, 202: 200}
 
 
+def runs_of_20_words(lines):
+    """By brute force: (start, stop) of runs of 20 words and more that are one line longer than a run of fewer, at either end."""
+    words = [len(x.encode().split()) for x in lines]
+    out = set()
+    for i in range(len(lines)):
+        j, n = i, 0
+        while j < len(lines) and n < 20:
+            n, j = n + words[j], j + 1
+        if n >= 20:
+            out.add((i, j))
+        j, n = i + 1, 0
+        while j > 0 and n < 20:
+            n, j = n + words[j - 1], j - 1
+        if n >= 20:
+            out.add((j, i + 1))
+    return out
+
+
+def assert_lines_are_deduplicated(docs, lost):
+    """Against all earlier documents, not owners only: of each run of 20 words that one of them has a line goes, and nothing else goes."""
+    seen = set()
+    for i, t in sorted(docs):
+        lines = [x.strip(" \t\x0b\x0c\r") for x in (t or "").split("\n") if x.strip(" \t\x0b\x0c\r")]
+        gone, may = set(lost.get(i, ())), set()
+        runs = runs_of_20_words(lines)
+        for a, b in runs:
+            if tuple(lines[a:b]) in seen:
+                may |= set(range(a, b))
+                assert gone & set(range(a, b)), (i, a, b)
+        assert gone <= may, i
+        seen |= {tuple(lines[a:b]) for a, b in runs}
+
+
+def lost_lines(spark, docs, **how):
+    return {r.doc_id: r.lines for r in line_dedup.deletions(spark.createDataFrame(docs, "doc_id long, text string"), **how).collect()}
+
+
 def test_line_dedup_by_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in table(spark, DATA.replace("0.001", "0.01"), "documents").select("doc_id", "text").collect()]
-    lines = {i: line_dedup.lines_of(t) for i, t in docs}
-    holders, most = defaultdict(set), {}
-    for i, (_, hashes, words) in lines.items():
-        for h, w in zip(hashes, words):
-            holders[h].add(i)
-            most[h] = max(most.get(h, 0), w)
-    owner = {h: min(s) for h, s in holders.items() if len(s) > 1 and (len(s) <= line_dedup.RARE or most[h] >= line_dedup.LONG)}
+    lost = lost_lines(spark, docs)
+    assert_lines_are_deduplicated(docs, lost)
+    assert sum(map(len, lost.values())) > 100
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     for i, t in docs:
-        places, hashes, words = lines[i]
-        gone = {g for p in {owner[h] for h in hashes if h in owner} - {i} for g in line_dedup.common_blocks(lines[p][1], hashes, words)}
-        assert got[i] == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in {places[g] for g in gone})
-    left = defaultdict(int)
-    for t in got.values():
-        for x in set(t.split("\n")):
-            left[x] += len(x.split()) > 50
-    assert max(left.values()) == 1  # of every long passage one holder is left
+        full = [k for k, x in enumerate(t.split("\n")) if x.strip(" \t\x0b\x0c\r")]
+        assert got[i] == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in {full[g] for g in lost.get(i, ())})
+
+
+@pytest.mark.parametrize("section", [24, 256])
+def test_line_dedup_in_sections(spark, section):
+    """Few kinds of lines, so that blocks overlap, repeat, move and lie over the borders of sections."""
+    rng = random.Random(section)
+    kinds = [" ".join(f"k{k}w{i}" for i in range(rng.choice([1, 2, 5, 9, 19, 20, 30]))) for k in range(40)]
+    passages = [[rng.choice(kinds) for _ in range(rng.randint(2, 60))] for _ in range(6)]
+    docs = []
+    for i in range(60):
+        lines = []
+        for _ in range(rng.randint(1, 8)):
+            x = rng.choice(passages)
+            a = rng.randrange(len(x))
+            lines += x[a : a + rng.randint(1, 50)] + [f"own {i} {rng.randint(0, 99)}"] * rng.randint(0, 2)
+        docs.append((i, "\n".join(lines)))
+    assert_lines_are_deduplicated(docs, lost_lines(spark, docs, section=section))
+
+
+def test_copies_whose_lines_have_other_owners(spark):
+    lines = [f"a{k} b{k} c{k} d{k} e{k}" for k in range(5)]
+    docs = [*((k + 1, lines[k]) for k in range(5)), (10, "\n".join(lines)), (11, "\n".join(lines))]
+    assert lost_lines(spark, docs) == {11: [0, 1, 2, 3, 4]}
+
+
+def test_a_long_document_in_reverse_order(spark):
+    lines = [" ".join(f"x{k}y{i}" for i in range(21)) for k in range(40_000)]
+    began = time.time()
+    assert lost_lines(spark, [(1, "\n".join(lines)), (2, "\n".join(lines[::-1]))]) == {2: list(range(40_000))}
+    assert time.time() - began < 60
 
 
 def test_frequent_short_lines_are_anchored_by_their_runs(spark):
@@ -203,8 +324,8 @@ def test_runs_cover_every_line_of_a_block(words):
     """Whatever stands around a block, each of its lines is in a run that lies in it."""
     hashes = list(range(len(words)))
     assert bool(line_dedup.runs_of(hashes, words) or max(words) >= 20) == (sum(words) >= 20)
-    inside = line_dedup.runs_of(hashes, words)
-    around = line_dedup.runs_of([-1, -2, *hashes, -3, -4], [3, 15, *words, 7, 19])
+    inside = {h for _, h in line_dedup.runs_of(hashes, words)}
+    around = {h for _, h in line_dedup.runs_of([-1, -2, *hashes, -3, -4], [3, 15, *words, 7, 19])}
     assert inside <= around
 
 
@@ -262,6 +383,28 @@ def test_topk_by_brute_force(n, width, k, seed):
         assert sorted(got[a]) == want
 
 
+def test_topk_over_many_blocks(spark, monkeypatch):
+    """Blocks pass each query's floor on; one id has two vectors."""
+    monkeypatch.setattr(topk_search, "ROWS", 40)
+    monkeypatch.setattr(topk_search, "QUERIES", 7)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.integers(-40, 41, 6) / 64]) for i in range(400)] + [(399, [0.5] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk_search.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
+    want = []
+    for q, v in rows[:400:20]:
+        best = sorted((-round(sum(64 * a * 64 * b for a, b in zip(v, w))), i) for i, w in rows if i != q)[:20]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == want
+
+
+def test_topk_carries_a_floor():
+    """A query with a floor that nothing in the block reaches closes after the first step, and hands back nothing."""
+    rows = np.random.default_rng(3).integers(0, 50, (3000, 4)).astype(float)
+    q, _, _ = topk_search.block_topk(np.arange(3000), rows, np.array([5000, 5001]), np.ones((2, 4)), 20, [500, None])
+    assert q.tolist() == [1] * 20
+
+
 def test_topk_stops_early():
     """Rows in order of one long dimension: the threshold closes the query after a few steps."""
     rows = np.zeros((4000, 2))
@@ -293,6 +436,23 @@ def test_html_generated_pages_and_a_new_layout():
     assert html_extract.extract_texts([source], trees) == ["A quiet & long day\n\nThe first paragraph of the story runs over some words, and then, at last, it ends.\n\nA second one says a little more, as second ones do.\n\nfirst thing to know about the day\n\nsecond thing to know about the day"]
 
 
+@pytest.mark.parametrize(
+    "source", ["<object>" * 125_000, "<div>" * 50_000 + "</span>" * 50_000, "<div><b></i>" * 60_000, "<a " * 300_000, '<a ">" ' * 140_000, "<!" * 400_000, "<div>" * 50_000 + "<li></li>" * 50_000, "<td><div>" * 80_000, "<" + "a" * 10**6 + '"'],
+    ids=lambda x: x[:12],
+)
+def test_pages_of_a_megabyte_of_unclosed_or_stray_tags(source):
+    began = time.time()
+    html_extract.Page(source)
+    assert time.time() - began < 15
+
+
+def test_boxed_and_raw_elements():
+    text = lambda source: [t for _, t in html_extract.Page(source).pieces]
+    assert text("<p>a<object>x<b>y</object>b<svg/>c<svg>z</svg>d</p>") == ["abcd"]
+    assert text("<p>a<object>x") == ["ax"] and text("<p>a<script>x") == ["a"] and text("<p>a<!-- x > y") == ["a"] and text("<p>a<title>x>y") == ["a"]
+    assert text("<p>a</p><p>b <x") == ["a", "b <x"]
+
+
 def test_hierarchy_has_no_kept_node_under_a_dropped_one():
     rng = np.random.default_rng(2)
     page = html_extract.Page("<div>a<div>b<p>c</p></div><div><p>d</p></div></div><div>e</div>")
@@ -328,11 +488,36 @@ def test_pipeline(spark):
     scored, ruled, lined, near, packed = states
     assert len(good - set(scored.doc_id)) <= 0.03 * len(good)
     assert set(ruled.doc_id) == {r.doc_id for r in scored.itertuples() if quality_rules.judge(r.text)[6]}
-    assert set(near.doc_id) <= set(lined.doc_id) <= set(ruled.doc_id) <= set(before)
     assert (lined.n_chars == lined.text.str.len()).all()
-    assert packed.groupby("doc_id").length.sum().equals(packed.groupby("doc_id").doc_tokens.first()) and set(packed.doc_id) == set(near.doc_id)
+    # line dedup: each text is its predecessor's without some lines, and those are what brute force allows and asks for
+    full = lambda t: [x for x in t.split("\n") if x.strip(" \t\x0b\x0c\r")]
+    lost, after = lost_lines(spark, list(zip(ruled.doc_id, ruled.text))), dict(zip(lined.doc_id, lined.text))
+    assert_lines_are_deduplicated(list(zip(ruled.doc_id, ruled.text)), lost)
+    for r in ruled.itertuples():
+        stays = [x for k, x in enumerate(full(r.text)) if k not in set(lost.get(r.doc_id, ()))]
+        assert (r.doc_id in after) == (bool(stays) or not full(r.text)) and full(after.get(r.doc_id, "")) == stays
+    # near-duplicates: the least document of each component, all pairs compared
+    sets = {r.doc_id: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()) for r in lined.itertuples() for w in [r.text.encode().lower().split()]}
+    up = {i: i for i in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    assert set(near.doc_id) == {i for i in sets if root(i) == i} <= set(before)
+    assert dict(zip(near.doc_id, near.text)) == {i: after[i] for i in near.doc_id}
+    # packing: every id of every text in one piece
+    ref = Tokenizer.from_file(WORD_MODEL)
+    tokens = {r.doc_id: len(ref.encode(r.text, add_special_tokens=False).ids) + 1 for r in near.itertuples()}
+    assert packed.groupby("doc_id").length.sum().to_dict() == packed.groupby("doc_id").doc_tokens.first().to_dict() == tokens
     whole = pipeline.run(spark, DATA).toPandas()
-    assert len(whole.doc_id.unique()) == len(near)
+    assert set(whole.doc_id) == set(near.doc_id)
 
 
 def test_every_operator_has_a_query():
