@@ -14,12 +14,19 @@ def entropy(df: DataFrame, key: str, value: str) -> DataFrame:
     return per.select(key, F.greatest(F.lit(0.0), F.log2("n") - F.col("s") / F.col("n")).alias("h"), "k", "n")
 
 
-def pair_overlap(items: DataFrame, a: str, b: str, group: tuple[str, ...], item: str, member: str) -> DataFrame:
-    """(group, a, b, shared, size_a, size_b) of members a < b that share an item; sizes are of distinct items."""
+def pair_overlap(items: DataFrame, a: str, b: str, group: tuple[str, ...], item: str, member: str, spread: int = 2000) -> DataFrame:
+    """(group, a, b, shared, size_a, size_b) of members a < b that share an item; sizes are of distinct items.
+
+    An item of over ``spread`` members has one side dealt into as many parts and the other repeated for each: many tasks share its pairs.
+    """
     one = items.select(*group, member, item).distinct()
     sizes = one.groupBy(*group, member).agg(F.count("*").alias("size"))
-    left, right = one.withColumnRenamed(member, a), one.withColumnRenamed(member, b)
-    shared = left.join(right, [*group, item]).where(F.col(a) < F.col(b)).groupBy(*group, a, b).agg(F.count("*").alias("shared"))
+    keys = [*group, item]
+    hot = one.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > spread).select(*keys, F.ceil(F.col("n") / spread).cast("int").alias("parts"))
+    dealt, parts = one.join(hot, keys, "left"), F.coalesce("parts", F.lit(1))
+    left = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts").withColumnRenamed(member, a)
+    right = dealt.withColumn("part", F.pmod(F.xxhash64(member), parts).cast("int")).drop("parts").withColumnRenamed(member, b)
+    shared = left.join(right, [*keys, "part"]).where(F.col(a) < F.col(b)).groupBy(*group, a, b).agg(F.count("*").alias("shared"))
     for side in (a, b):
         shared = shared.join(sizes.withColumnRenamed(member, side).withColumnRenamed("size", f"size_{side}"), [*group, side])
     return shared

@@ -41,24 +41,37 @@ def coordination(gap_stats: DataFrame) -> DataFrame:
 
 def batch_cadence(gap_stats: DataFrame, feed_share: Column, period: float = 900.0) -> DataFrame:
     """Whether posts come in a feed's batches: gaps near a multiple of ``period``, or very even ones."""
-    cov = F.col("gap_std") / F.col("gap_mean")
-    rest = F.pmod(F.col("gap_mean"), F.lit(period))
+    return gap_stats.withColumn("batch_artifact", batch_artifact(F.col("n"), F.col("gap_mean"), F.col("gap_std"), feed_share, period))
+
+
+def batch_artifact(n: Column, gap_mean: Column, gap_std: Column, feed_share: Column, period: float = 900.0) -> Column:
+    cov = gap_std / gap_mean
+    rest = F.pmod(gap_mean, F.lit(period))
     near = F.least(rest, F.lit(period) - rest) < 60
     all_feed = (feed_share >= 1) & ((cov < 0.15) | (near & (cov < 0.25)))
     mostly = (feed_share >= 0.80) & ((cov < 0.20) | (near & (cov < 0.30)))
-    return gap_stats.withColumn("batch_artifact", F.coalesce((F.col("n") >= 5) & (F.col("gap_mean") >= 1) & (all_feed | mostly), F.lit(False)))
+    return F.coalesce((n >= 5) & (gap_mean >= 1) & (all_feed | mostly), F.lit(False))
+
+
+#: Rows of a join key that one task takes; the rows of keys with more are dealt to several.
+SPREAD = 20_000
 
 
-def interval_join(events: DataFrame, source: str, ts: str, width: int, by: tuple[str, ...] = ()) -> DataFrame:
+def interval_join(events: DataFrame, source: str, ts: str, width: int, by: tuple[str, ...] = (), spread: int = SPREAD) -> DataFrame:
     """(by, src, dst, weight): pairs of events of different sources, the later within ``width`` seconds after the earlier.
 
     Time is cut into buckets of ``width``: an event can only be followed by events of its own bucket or the next, so the left side goes to
-    two buckets and the range condition becomes an equi-join, which deals by (keys, bucket).
+    two buckets and the range condition becomes an equi-join, which deals by (keys, bucket). A bucket of over ``spread`` events has its
+    right side dealt into as many parts, and its left side repeated for each, so a burst is shared by many tasks.
     """
     e = events.where(F.col(ts).isNotNull()).select(*by, F.col(source).alias("s"), seconds(F.col(ts)).alias("t")).withColumn("bucket", F.floor(F.col("t") / width))
+    keys = [*by, "bucket"]
+    hot = e.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > spread).select(*keys, F.ceil(F.col("n") / spread).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
     left = e.select(*by, F.col("s").alias("src"), F.col("t").alias("ta"), F.explode(F.array("bucket", F.col("bucket") + 1)).alias("bucket"))
-    right = e.select(*by, F.col("s").alias("dst"), F.col("t").alias("tb"), "bucket")
-    hit = left.join(right, [*by, "bucket"]).where(f"src <> dst and tb > ta and tb <= ta + {width}")
+    left = left.join(hot, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    right = e.join(hot, keys, "left").select(*keys, F.col("s").alias("dst"), F.col("t").alias("tb"), F.pmod(F.xxhash64("s", "t"), parts).cast("int").alias("part"))
+    hit = left.join(right, [*keys, "part"]).where(f"src <> dst and tb > ta and tb <= ta + {width}")
     return hit.groupBy(*by, "src", "dst").agg(F.count("*").alias("weight"))
 
 
@@ -70,9 +83,60 @@ def derivatives(series: DataFrame, key: str, ts: str, value: str) -> DataFrame:
     return out.withColumn("d2", F.col("d1") - F.lag("d1").over(w)).withColumn("newest", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(ts))))
 
 
+def aligned_series(series: DataFrame, key: str, at: str, value: str, least: int = 3, block: int = 512) -> DataFrame:
+    """(a, b, points, r, sa, sb) of keys a < b with at least ``least`` common points: count, correlation and deviations over those.
+
+    Keys are dealt into blocks by hash; each pair of blocks is one task that multiplies matrices of values and of what is present. So no
+    point in time that many keys share is a join key, and only pairs with enough points leave a task.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    kind = series.schema[key].dataType.simpleString()
+    s = series.where(F.col(key).isNotNull() & F.col(at).isNotNull()).groupBy(F.col(key).alias("k"), F.col(at).alias("at")).agg(F.avg(value).alias("v"))
+    rows = s.groupBy("k").agg(F.collect_list(F.struct(F.unix_micros(F.col("at").cast("timestamp")).alias("at"), F.coalesce("v", F.lit(float("nan"))).alias("v"))).alias("p"))
+    rows = rows.select("k", F.transform("p", lambda x: x["at"]).alias("at"), F.transform("p", lambda x: x["v"].cast("double")).alias("v"))
+    blocks = max(1, -(-series.select(key).distinct().count() // block))
+    own = F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.struct(F.least(i, own).alias("x"), F.greatest(i, own).alias("y")))
+    dealt = rows.withColumn("own", own).withColumn("cell", F.explode(cells)).select("k", "at", "v", "own", F.col("cell.x").alias("x"), F.col("cell.y").alias("y"))
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        keys, own_ = group.column("k"), group.column("own").to_numpy()
+        x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
+        lists = group.column("at").combine_chunks()
+        flat, lengths = np.asarray(lists.flatten()), np.asarray(lists.value_lengths())
+        times, place = np.unique(flat, return_inverse=True)
+        v = np.full((len(keys), len(times)), np.nan)
+        v[np.repeat(np.arange(len(keys)), lengths), place] = np.asarray(group.column("v").combine_chunks().flatten())
+        order = np.argsort(np.array(keys.to_pylist(), object), kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        there = np.isfinite(v)
+        centre = np.where(there.any(1), np.nansum(np.where(there, v, 0), 1) / np.maximum(1, there.sum(1)), 0)  # moments about a near point keep their digits
+        z = np.where(there, v - centre[:, None], 0.0)
+        i_, j_ = np.flatnonzero(own_ == x), np.flatnonzero(own_ == y)
+        m, w = there.astype(float), z * z
+        n = m[i_] @ m[j_].T
+        i, j = np.nonzero((n >= least) & (rank[i_][:, None] < rank[j_][None, :] if x == y else np.ones(n.shape, bool)))
+        n = n[i, j]
+        pick = lambda p, q: (p[i_] @ q[j_].T)[i, j]
+        sx, sy, sxx, syy, sxy = pick(z, m), pick(m, z), pick(w, m), pick(m, w), pick(z, z)
+        va, vb, cov = sxx / n - (sx / n) ** 2, syy / n - (sy / n) ** 2, sxy / n - sx * sy / n**2
+        sa, sb = np.sqrt(np.maximum(0, va)), np.sqrt(np.maximum(0, vb))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = np.where((sa > 0) & (sb > 0), cov / (sa * sb), np.nan)
+        first, second = i_[i], j_[j]
+        swap = rank[first] > rank[second]
+        a, b = np.where(swap, second, first), np.where(swap, first, second)
+        out = [keys.take(pa.array(a)), keys.take(pa.array(b)), pa.array(n.astype(np.int64)), pa.array(r), pa.array(np.where(swap, sb, sa)), pa.array(np.where(swap, sa, sb))]
+        return pa.table(out, ["a", "b", "points", "r", "sa", "sb"])
+
+    return dealt.groupBy("x", "y").applyInArrow(run, f"a {kind}, b {kind}, points long, r double, sa double, sb double")
+
+
 def correlated_series(series: DataFrame, key: str, at: str, value: str, least: int = 3, above: float = 0.7) -> DataFrame:
     """(a, b, points, r) of keys whose values at common points correlate by over ``above``."""
-    s = series.groupBy(key, at).agg(F.avg(value).alias("v"))
-    a, b = s.select(F.col(key).alias("a"), at, F.col("v").alias("va")), s.select(F.col(key).alias("b"), at, F.col("v").alias("vb"))
-    pairs = a.join(b, at).where("a < b").groupBy("a", "b").agg(F.count("*").alias("points"), F.corr("va", "vb").alias("r"), F.stddev_pop("va").alias("sa"), F.stddev_pop("vb").alias("sb"))
-    return pairs.where((F.col("points") >= least) & (F.col("sa") >= 0.01) & (F.col("sb") >= 0.01) & (F.col("r") > above)).select("a", "b", "points", "r")
+    pairs = aligned_series(series, key, at, value, least)
+    return pairs.where((F.col("sa") >= 0.01) & (F.col("sb") >= 0.01) & ~F.isnan("r") & (F.col("r") > above)).select("a", "b", "points", "r")
