@@ -348,9 +348,12 @@ NOISE_TITLE = (
 #: Taxonomy codes that never stand in a label.
 TAXONOMY_CODE = r"^(wb|ungp|crisislex|fncact|epu|armedconflict|govt)[a-z_0-9]*$|^(tax|eth|env|econ|edu|natural)(_[a-z_0-9]+)?$"
 
+#: Sources that are feeds of batches.
+FEEDS = ("gdelt_gkg", "gdelt_doc")
+
 #: Verdict of the first rule that fired.
 RULE_VERDICTS = {
-    "batch_artifact": "BATCH_ARTIFACT", "insufficient_evidence": "INSUFFICIENT_EVIDENCE", "single_source_cluster": "SINGLE_SOURCE_CLUSTER",
+    "gdelt_batch_artifact": "GDELT_BATCH_ARTIFACT", "insufficient_evidence": "INSUFFICIENT_EVIDENCE", "single_source_cluster": "SINGLE_SOURCE_CLUSTER",
     "wire_service": "WIRE_SERVICE_SYNDICATION", "dna_match": "NO_DNA_MATCH_FOUND", "ensemble_uncertainty": "ENSEMBLE_UNCERTAIN",
     "entity_concentration": "TOPIC_CLUSTER", "narrative_coherence": "INCOHERENT_NARRATIVE", "organic_viral_spread": "ORGANIC_VIRAL_SPREAD",
     "normal_news_cycle": "NORMAL_NEWS_CYCLE", "confidence_threshold": "LOW_CONFIDENCE",

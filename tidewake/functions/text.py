@@ -36,12 +36,12 @@ def _bare(url: Column) -> Column:
     return F.regexp_replace(F.lower(netloc(url)), r"^www\.", "")
 
 
-def domain_of_feed(url: Column, source: Column, feeds: tuple[str, ...] = ("gdelt_gkg", "gdelt_doc")) -> Column:
+def domain_of_feed(url: Column, source: Column, feeds: tuple[str, ...] = fixed.FEEDS) -> Column:
     """The publisher's domain for rows of article feeds if it is longer than 3, else the source."""
     return F.when(source.isin(*feeds) & (F.length(_bare(url)) > 3), _bare(url)).otherwise(source)
 
 
-def domain_or_unknown(url: Column, source: Column, feeds: tuple[str, ...] = ("gdelt_gkg", "gdelt_doc")) -> Column:
+def domain_or_unknown(url: Column, source: Column, feeds: tuple[str, ...] = fixed.FEEDS) -> Column:
     return F.when(source.isin(*feeds), F.coalesce(F.nullif(_bare(url), F.lit("")), F.lit("unknown"))).otherwise(source)
 
 

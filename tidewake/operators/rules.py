@@ -35,7 +35,7 @@ class Rule:
 
 #: In order. The expressions are the same in Spark SQL and other dialects, but for the D of double literals.
 RULES = [
-    Rule("batch_artifact", "terminal", "batch_artifact"),
+    Rule("gdelt_batch_artifact", "terminal", "batch_artifact"),
     Rule("content_noise", "suppress", "content_noise"),
     Rule("insufficient_evidence", "cap", "post_count < 10", cap="CASE WHEN post_count >= 5 THEN 70D ELSE 40D END"),
     Rule("single_source_cluster", "cap", "unique_domain_count <= 1 OR source_diversity < 0.20D", cap="15D"),
@@ -115,3 +115,16 @@ def final_score(ruled: DataFrame, raw: str = "raw_score") -> DataFrame:
     score = F.when(F.col("zero"), 0.0).otherwise(F.round(F.greatest(F.least(F.col(raw), F.col("cap")), F.col("floor")), 2))
     level: Column = F.when(F.col("suppressed"), "normal").when(F.col("forced_level").isNotNull(), F.col("forced_level")).when(F.col("score") >= 80, "critical").when(F.col("score") >= 60, "elevated").otherwise("normal")
     return settled(settled(ruled, score=score), alert_level=level)
+
+
+def refreshed_matches(snapshots: DataFrame, live: DataFrame, key: str) -> DataFrame:
+    """Snapshots with the match counts of today: where the stamped count differs, the match rule is decided again.
+
+    ``live``: key, live. Adds dna_evidence_strong (five matches or more); rules_fired and dna_match_count are replaced, all else stays.
+    """
+    j = snapshots.join(live, key, "left")
+    changed = F.coalesce(F.col("live") != F.col("dna_match_count"), F.lit(False))
+    fired = F.when(F.col("live") == -1, F.col("post_count") >= 10).otherwise((F.col("live") == 0) & (F.col("post_count") < 20))
+    kept = F.filter(F.array(*(F.lit(r.name) for r in RULES)), lambda n: F.when(n == "dna_match", fired).otherwise(F.array_contains("rules_fired", n)))
+    j = j.withColumn("rules_fired", F.when(changed, kept).otherwise(F.col("rules_fired"))).withColumn("dna_match_count", F.coalesce("live", "dna_match_count"))
+    return j.withColumn("dna_evidence_strong", F.col("dna_match_count") >= 5).drop("live")

@@ -133,29 +133,52 @@ def coherence(posts: DataFrame, tokens: DataFrame, entities: DataFrame, key: str
     joined = n.join(covered, key, "left").join(c, key, "left").join(j.select(key, "jaccard"), key, "left")
     value = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.70 * F.col("continuity") + 0.30 * F.coalesce("jaccard", F.lit(0.0))))
     enough = (F.col("n") >= 3) & (F.coalesce("_covered", F.lit(0)) >= 0.30 * F.col("n"))
-    return joined.select(key, F.when(enough, value).otherwise(0.5).alias("narrative_coherence"))
+    return joined.select(key, F.when(enough, value).otherwise(0.5).alias("narrative_coherence"), F.coalesce("jaccard", F.lit(0.0)).alias("title_jaccard"))
+
+
+def sources(posts: DataFrame, key: str, feed: str, source: str) -> DataFrame:
+    """(key, post_count, feed_fraction, source_share): posts, the share of batch feeds, and of the commonest source."""
+    counts = posts.groupBy(key, feed, source).agg(F.count("*").alias("c"))
+    by_source = counts.groupBy(key, source).agg(F.sum("c").alias("c"), F.sum(F.when(F.col(feed).isin(*fixed.FEEDS), F.col("c")).otherwise(0)).alias("fed"))
+    per = by_source.groupBy(key).agg(F.sum("c").alias("post_count"), F.sum("fed").alias("fed"), F.max("c").alias("most"))
+    return per.select(key, "post_count", (F.col("fed") / F.col("post_count")).alias("feed_fraction"), (F.col("most") / F.col("post_count")).alias("source_share"))
+
+
+def languages(posts: DataFrame, key: str, language: str) -> DataFrame:
+    """(key, language_count, translated): kinds of language, unknown and translated ones too, and whether any post is a translation."""
+    l = F.coalesce(F.col(language), F.lit("unknown"))  # noqa: E741
+    return posts.groupBy(key).agg(F.count_distinct(l).alias("language_count"), F.max(l == "translated").alias("translated"))
 
 
 def score_groups(posts: DataFrame, tokens: DataFrame, entities: DataFrame, matches: DataFrame | None = None, key: str = "cluster_id") -> DataFrame:
     """All features, the rules and the final score of every group, in one job.
 
-    ``posts``: key, post_id, domain, path, language, title, content, published_at, vector, polarity, tone, themes. ``tokens`` and ``entities``:
-    (key, post_id, token) and (key, post_id, entity). ``matches``: key, dna_match_count, strong_match_count, cross_topic.
+    ``posts``: key, post_id, source, feed, domain, path, language, title, content, published_at, vector, polarity, tone, tone_parts (as
+    ``parse_tone`` gives), themes; each of the parts below reads them, so hand in a stored table. ``tokens`` and ``entities``: (key, post_id,
+    token) and (key, post_id, entity). ``matches``: key, dna_match_count, strong_match_count, cross_topic. A batch artifact
+    takes the coordination multiplier back; a bag of unrelated titles from many sources has no coherence; groups under three posts
+    are insufficient: their score is zero.
     """
-    s = spread(posts, key, "domain", "language").withColumn("source_diversity", F.least(F.lit(1.0), F.col("domain_entropy") / 4))
-    g = temporal.gaps(posts, key, "published_at")
+    s = spread(posts, key, "domain", "language").drop("post_count", "language_count").withColumn("source_diversity", F.least(F.lit(1.0), F.col("domain_entropy") / 4))
+    g, from_ = temporal.gaps(posts, key, "published_at"), sources(posts, key, "feed", "source")
     parts = [
-        temporal.burst(posts, key, "published_at").select(key, "burst"), vectors.mutation(posts, key, "vector").withColumnRenamed("similarity", "embedding_similarity_mean"), tone_uniformity(posts, key, "polarity", "tone"),
-        temporal.coordination(g).select(key, F.col("gap_mean").alias("inter_arrival_mean"), F.col("gap_std").alias("inter_arrival_std"), "coordination"), temporal.batch_cadence(g, F.lit(0.0)).select(key, "batch_artifact"),
+        from_, languages(posts, key, "language"), temporal.burst(posts, key, "published_at").select(key, "burst"), vectors.mutation(posts, key, "vector").withColumnRenamed("similarity", "embedding_similarity_mean"), tone_uniformity(posts, key, "polarity", "tone"),
+        temporal.coordination(g).select(key, F.col("n").alias("stamped"), F.col("gap_mean").alias("inter_arrival_mean"), F.col("gap_std").alias("inter_arrival_std"), "coordination"),
         hash_ratio(posts, key, "content"), shared_path(posts, key, "domain", "path"), wire_share(posts, key, "domain"),
         sets.concentration(posts, entities, key, "post_id", "entity").select(key, F.col("concentration").alias("entity_concentration"), F.col("shared").alias("shared_entity_count")),
         coherence(posts, tokens, entities, key, "post_id", "token", "entity"),
-        flags(posts, key, "published_at", "title", "language", "themes", F.struct(F.lit(0.0).alias("activity_density"), F.lit(0.0).alias("negative"), F.lit(0.0).alias("self_reference")), s.select(key, "source_diversity")),
+        flags(posts, key, "published_at", "title", "language", "themes", F.col("tone_parts"), s.select(key, "source_diversity")),
     ]
-    out = s
+    out = from_.select(key).join(s, key, "left")  # a group without any domain has no entropy, but a score
     for p in [*parts, *([matches] if matches is not None else [])]:
         out = out.join(p, key, "left")
+    cadence = temporal.batch_artifact(F.col("stamped"), F.col("inter_arrival_mean"), F.col("inter_arrival_std"), F.col("feed_fraction"))
+    out = out.withColumn("batch_artifact", cadence).withColumn("coordination", F.when(F.col("batch_artifact"), 1.0).otherwise(F.col("coordination")))
+    bag = (F.col("post_count") >= 15) & (F.col("source_share") <= 0.15) & (F.col("title_jaccard") < 0.12)
+    out = out.withColumn("narrative_coherence", F.when(bag, 0.0).otherwise(F.col("narrative_coherence"))).withColumn("unique_domain_count", F.coalesce("unique_domain_count", F.lit(0)))
     out = out.withColumn("wire_known", wire_known(F.col("post_count"), F.col("path_domains"), F.col("path_coverage"), F.col("mutation"), F.col("wire_share"), F.col("wire_domains")))
-    out = out.withColumn("wire_hash", wire_hash(F.col("post_count"), F.col("embedding_similarity_mean"), F.col("unique_hash_ratio"), F.col("source_diversity"))).withColumn("translated", F.lit(False))
-    scored = confidence(raw_velocity(rules.with_defaults(out)))
-    return rules.final_score(rules.apply_rules(scored))
+    out = out.withColumn("wire_hash", wire_hash(F.col("post_count"), F.col("embedding_similarity_mean"), F.col("unique_hash_ratio"), F.col("source_diversity")))
+    scored = confidence(raw_velocity(rules.with_defaults(out).withColumn("domain_entropy", F.coalesce("domain_entropy", F.lit(0.0)))))
+    final = rules.final_score(rules.apply_rules(scored)).withColumn("insufficient_data", F.col("post_count") < 3)
+    short = lambda c, value: F.when(F.col("insufficient_data"), value).otherwise(F.col(c)).alias(c)
+    return final.select(*(short(c, {"score": 0.0, "alert_level": "normal"}[c]) if c in ("score", "alert_level") else F.col(c) for c in final.columns))

@@ -19,9 +19,11 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, v = t("pages").select(F.col("page_id").alias("doc_id"), "url"), t("events").withColumnRenamed("event_id", "doc_id")
     url = F.col("url")
     return d.join(e, "doc_id", "left").join(p, "doc_id", "left").join(v, "doc_id", "left").select(
-        F.col("doc_id").alias("post_id"), F.col("label").alias("cluster_id"), "source", "url", F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("content"), F.col("lang").alias("language"), F.col("ts").alias("published_at"),
+        F.col("doc_id").alias("post_id"), F.col("label").alias("cluster_id"), "source", "url", F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("content"), F.when((F.col("label") % 5 == 4) & (F.col("doc_id") % 7 == 0), "translated").otherwise(F.col("lang")).alias("language"), F.col("ts").alias("published_at"),
         "value", "event_type", "user_id", F.col("embedding").alias("vector"), F.coalesce(F.nullif(tx.domain_at_least(url, 1), F.lit("")), F.col("source")).alias("domain"), tx.url_path(F.coalesce(url, F.lit(""))).alias("path"), F.col("value").alias("polarity"), (F.col("value") / 2).alias("tone"),
-        F.array(F.upper(F.coalesce("event_type", F.lit("")))).alias("themes"), "n_chars",
+        F.array(F.when((F.col("label") % 4 == 1) & (F.col("event_type") == "click"), "PROPAGANDA").otherwise(F.upper(F.coalesce("event_type", F.lit(""))))).alias("themes"), "n_chars",
+        F.when((F.col("label") % 2 == 0) | (F.col("doc_id") % 4 != 0), fixed.FEEDS[0]).otherwise(F.col("source")).alias("feed"),
+        F.struct((F.col("value") * 8).alias("activity_density"), (F.col("value") * 3).alias("negative"), (F.col("value") / 40).alias("self_reference")).alias("tone_parts"),
     )
 
 
@@ -56,8 +58,8 @@ def bare_sql(url: str) -> str:
 
 #: Named parts of oracle SQL, each built on earlier ones.
 CTES: dict[str, str] = {
-    "posts": rf"""SELECT d.doc_id AS post_id, e.label AS cluster_id, d.source, p.url, split_part(d.text, chr(10), 1) AS title, d.text AS content, d.lang AS language, v.ts AS published_at, v.value, v.event_type, v.user_id, e.embedding AS vector,
-  coalesce(nullif({bare_sql("p.url")}, ''), d.source) AS domain, rtrim(coalesce(regexp_extract(p.url, '^[a-zA-Z][a-zA-Z0-9_+.\-]*://[^/?#]*([^?#]*)', 1), ''), '/') AS path, v.value AS polarity, v.value / 2 AS tone, upper(coalesce(v.event_type, '')) AS theme, d.n_chars
+    "posts": rf"""SELECT d.doc_id AS post_id, e.label AS cluster_id, d.source, p.url, split_part(d.text, chr(10), 1) AS title, d.text AS content, CASE WHEN e.label % 5 = 4 AND d.doc_id % 7 = 0 THEN 'translated' ELSE d.lang END AS language, v.ts AS published_at, v.value, v.event_type, v.user_id, e.embedding AS vector,
+  coalesce(nullif({bare_sql("p.url")}, ''), d.source) AS domain, rtrim(coalesce(regexp_extract(p.url, '^[a-zA-Z][a-zA-Z0-9_+.\-]*://[^/?#]*([^?#]*)', 1), ''), '/') AS path, v.value AS polarity, v.value / 2 AS tone, CASE WHEN e.label % 4 = 1 AND v.event_type = 'click' THEN 'PROPAGANDA' ELSE upper(coalesce(v.event_type, '')) END AS theme, d.n_chars, CASE WHEN e.label % 2 = 0 OR d.doc_id % 4 <> 0 THEN 'gdelt_gkg' ELSE d.source END AS feed
   FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id LEFT JOIN pages p ON p.page_id = d.doc_id LEFT JOIN events v ON v.event_id = d.doc_id""",
     "cl": "SELECT * FROM posts WHERE cluster_id IS NOT NULL",
     "tok": rf"""SELECT DISTINCT cluster_id, post_id, token FROM (SELECT cluster_id, post_id, unnest(regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_''\-]+')) AS token FROM cl) WHERE length(token) > 2 AND token NOT IN {quoted(fixed.TITLE_STOPWORDS)}""",
