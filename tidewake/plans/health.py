@@ -9,7 +9,7 @@ import time
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def observed(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, Observation]:
@@ -44,3 +44,23 @@ def with_retry(call: Callable[[], object], retries: int = 3, base: float = 2.0,
                 raise
             sleep(min(most, base * 2**k) * (1 + random.random() / 10))
     return None
+
+
+#: Free space under which ingest pauses, in GB.
+LEAST_FREE_GB = 1.0
+
+
+def disk_state(spark: SparkSession, path: str, least_free_gb: float = LEAST_FREE_GB) -> dict:
+    """path, free_gb, total_gb, used_percent and paused (under ``least_free_gb`` are free) of the file system that holds ``path``.
+
+    Asked through Spark's file systems, so it tells of the store that all machines write to, not of the driver's disk.
+    """
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    status = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getStatus(where)
+    free, total, used = (x / 1024**3 for x in (status.getRemaining(), status.getCapacity(), status.getUsed()))
+    return {"path": path, "free_gb": round(free, 2), "total_gb": round(total, 2), "used_percent": round(100 * used / max(total, 1e-9), 1), "paused": free < least_free_gb}
+
+
+def should_pause_ingest(spark: SparkSession, path: str, least_free_gb: float = LEAST_FREE_GB) -> bool:
+    return disk_state(spark, path, least_free_gb)["paused"]
