@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewake.functions import fixed_values as fixed
@@ -92,32 +91,35 @@ def precision(reviews: DataFrame, predicted: Column, actual: Column) -> DataFram
     return c.select("tp", "fp", "fn", "tn", F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(F.try_divide(2 * p * r, p + r), 4).alias("f1"))
 
 
-def distinct_labels(ranked: DataFrame, label: str, order: str, limit: int = 20, most: int = 2000) -> DataFrame:
+def distinct_labels(ranked: DataFrame, label: str, order: str, limit: int = 20) -> DataFrame:
     """The first ``limit`` labels in order that repeat no earlier one: not the same, nor 65 % of the same long words.
 
-    Each choice depends on all before, so the ``most`` best rows go to one task: a report of fixed size.
+    Of equal labels the first is found in parallel. Each further choice depends on all before, so one task reads the rest in order: batch
+    by batch, until it has ``limit`` labels, which are all that it holds. Equal ranks go by label.
     """
     schema = ranked.schema
+    low = F.lower(F.trim(F.coalesce(F.col(label), F.lit(""))))
+    first = ranked.withColumn("_low", low).withColumn("_rank", F.row_number().over(Window.partitionBy("_low").orderBy(order, label))).where("_rank = 1").drop("_rank", "_low")
 
     def run(batches):
-        rows = pd.concat(list(batches) or [pd.DataFrame(columns=schema.names)]).sort_values(order)
-        exact, seen, out = set(), [], []
-        for i, text in enumerate(rows[label].fillna("")):
-            low = text.strip().lower()
-            if low in exact:
-                continue
-            exact.add(low)
-            words = frozenset(w for w in text.lower().split() if len(w) > 3)
-            if len(words) > 4:
-                if any(len(words & s) / len(words | s) >= 0.65 for s in seen):
-                    continue
-                seen.append(words)
-            out.append(i)
-            if len(out) == limit:
-                break
-        yield rows.iloc[out]
-
-    return ranked.orderBy(order).limit(most).coalesce(1).mapInPandas(run, schema)
+        seen, taken = [], 0
+        for rows in batches:
+            out = []
+            for i, text in enumerate(rows[label].fillna("")):
+                if taken == limit:
+                    break
+                words = frozenset(w for w in text.lower().split() if len(w) > 3)
+                if len(words) > 4:
+                    if any(len(words & s) / len(words | s) >= 0.65 for s in seen):
+                        continue
+                    seen.append(words)
+                out.append(i)
+                taken += 1
+            yield rows.iloc[out]
+            if taken == limit:
+                return
+
+    return first.orderBy(order, label).coalesce(1).mapInPandas(run, schema)
 
 
 def evidence_packs(df: DataFrame, key: str, version: str = "1") -> DataFrame:

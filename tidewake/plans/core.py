@@ -282,10 +282,10 @@ CTES["sim"] = "SELECT p.cluster_id, p.post_id, list_inner_product(p.vector::DOUB
 CTES["mut"] = "SELECT cluster_id, CASE WHEN count(*) < 2 THEN 0.5 ELSE least(1.0, 10 * var_pop(s)) END AS mutation, CASE WHEN count(*) < 2 THEN 0 ELSE avg(s) END AS similarity FROM sim GROUP BY cluster_id"
 
 
-@query(with_parts("SELECT vec_id, cluster_id::INT AS cluster_id, round(s, 4) AS score FROM (SELECT e.vec_id, k.cluster_id, s, row_number() OVER (PARTITION BY e.vec_id ORDER BY round(s, 6) DESC, k.cluster_id) AS r FROM embeddings e JOIN cen k ON true, LATERAL (SELECT list_inner_product(e.embedding::DOUBLE[], k.c) / ((sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) + 1e-8) * (sqrt(list_inner_product(k.c, k.c)) + 1e-8)) AS s)) WHERE r = 1 AND s >= 0.5", "cen"))
+@query(with_parts("SELECT vec_id, cluster_id::INT AS cluster_id, round(s, 4) AS score FROM (SELECT e.vec_id, k.cluster_id, s, row_number() OVER (PARTITION BY e.vec_id ORDER BY round(s, 6) DESC, k.cluster_id) AS r FROM embeddings e JOIN cen k ON true, LATERAL (SELECT list_inner_product(e.embedding::DOUBLE[], k.c) / ((sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) + 1e-8) * (sqrt(list_inner_product(k.c, k.c)) + 1e-8)) AS s)) WHERE r = 1 AND round(s, 6) >= 0.3", "cen"))
 def c14_nearest_centroid(spark: SparkSession, d: str) -> DataFrame:
     c = vectors.centroids(clustered(spark, d), "cluster_id", "vector")
-    return vectors.nearest_centroid(table(spark, d, "embeddings"), "vec_id", "embedding", c, "cluster_id", 0.5).select("vec_id", "cluster_id", r4("score"))
+    return vectors.nearest_centroid(table(spark, d, "embeddings"), "vec_id", "embedding", c, "cluster_id", 0.3).select("vec_id", "cluster_id", r4("score"))
 
 
 _MEM = "SELECT vec_id, 3 AS rank, 'a' || label AS cluster FROM embeddings UNION ALL SELECT vec_id, 5, 'b' || (label // 2) FROM embeddings UNION ALL SELECT vec_id, 10, 'c' || (label // 5) FROM embeddings WHERE label < 8"
@@ -461,14 +461,8 @@ def e04_derivatives(spark: SparkSession, d: str) -> DataFrame:
     return temporal.derivatives(table(spark, d, "events"), "user_id", "ts", "value").select("event_id", r4("d1"), r4("d2"))
 
 
-@query("WITH s AS (SELECT user_id, date_trunc('day', ts) AS at, avg(value) AS v FROM events WHERE user_id < 60 GROUP BY ALL) SELECT a, b, points, round(r, 4) AS r FROM (SELECT x.user_id AS a, y.user_id AS b, count(*) AS points, corr(x.v, y.v) AS r, stddev_pop(x.v) AS sa, stddev_pop(y.v) AS sb FROM s x JOIN s y ON x.at = y.at AND x.user_id < y.user_id GROUP BY ALL) WHERE points >= 3 AND sa >= 0.01 AND sb >= 0.01 AND r > 0.7")
+@query("WITH s AS (SELECT user_id, date_trunc('day', ts) AS at, avg(value) AS v FROM events GROUP BY ALL) SELECT a, b, points, round(r, 4) AS r FROM (SELECT x.user_id AS a, y.user_id AS b, count(*) AS points, corr(x.v, y.v) AS r, stddev_pop(x.v) AS sa, stddev_pop(y.v) AS sb FROM s x JOIN s y ON x.at = y.at AND x.user_id < y.user_id GROUP BY ALL) WHERE points >= 3 AND sa >= 0.01 AND sb >= 0.01 AND r > 0.7")
 def e07_series_correlation(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("user_id < 60").withColumn("at", F.date_trunc("day", "ts"))
-    return temporal.correlated_series(e, "user_id", "at", "value").select("a", "b", "points", r4("r"))
-
-
-@query()
-def e07_series_correlation_whole(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumn("at", F.date_trunc("day", "ts"))
     return temporal.correlated_series(e, "user_id", "at", "value").select("a", "b", "points", r4("r"))
 

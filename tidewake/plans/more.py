@@ -10,32 +10,23 @@ from pyspark.sql import functions as F
 
 from tidewake.functions import fixed_values as fixed
 from tidewake.functions import text as tx
-from tidewake.operators import clustering, credibility, fingerprint, graph, lifecycle, relational, report, retention, sets, signals, temporal, vectors
-from tidewake.plans import storage
+from tidewake.operators import clustering, credibility, fingerprint, graph, lifecycle, relational, report, retention, rules, sets, signals, temporal, vectors
+from tidewake.plans import health, storage
 from tidewake.plans.core import _PAIRS, ALIKE, _domains, r4
 from tidewake.plans.cycle import run_cycle
 from tidewake.plans.registry import query
-from tidewake.plans.scoring import _LEVEL, _edges, _scored, _whole_edges, as_of
+from tidewake.plans.scoring import _LEVEL, _edges, _scored, as_of
 from tidewake.plans.views import clustered, entities, posts, table, title_words, with_parts
 from tidewake.sources import landing
 
 
-@query("SELECT doc_id::VARCHAR AS record_id, source FROM documents WHERE doc_id % 3 = 0")
+@query("SELECT doc_id::VARCHAR AS record_id, source FROM documents")
 def a02_zipped_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Gzipped tab-separated files are landed and read as lines."""
-    return _zipped_rows(spark, table(spark, d, "documents").where("doc_id % 3 = 0"))
-
-
-@query()
-def a02_zipped_rows_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _zipped_rows(spark, table(spark, d, "documents"))
-
-
-def _zipped_rows(spark: SparkSession, documents: DataFrame) -> DataFrame:
+    """Zipped tab-separated files that a pointer file names."""
     path = f"{storage.shared_dir(spark)}/landed-{uuid.uuid4().hex}"
     f = [F.col("doc_id").cast("string"), F.lit("20240102030405"), F.lit(""), F.col("source"), *[F.lit("")] * 16]
-    documents.select(F.concat_ws("\t", *f).alias("value")).write.option("compression", "gzip").text(path)
-    return landing.knowledge_rows(landing.read_lines(spark, path)).select("record_id", "source")
+    landing.write_zips(table(spark, d, "documents").select(F.concat_ws("\t", *f).alias("value")), path, "gkg")
+    return landing.knowledge_rows(landing.read_zips(spark, landing.pointed(spark, f"{path}/lastupdate.txt", "gkg"))).select("record_id", "source")
 
 
 @query("SELECT count(*) AS received, count(*) FILTER (WHERE length(text) >= 10) AS texts, count(*) FILTER (WHERE length(text) >= 30 AND (contains(lower(text), 'false flag') OR (contains(lower(text), 'leaked') AND contains(lower(text), 'propaganda')))) AS matched FROM (SELECT CASE WHEN conv_id % 4 = 0 THEN text || ' propaganda leaked' ELSE text END AS text FROM conversations)")
@@ -77,20 +68,9 @@ def c05_pairs(spark: SparkSession, d: str) -> DataFrame:
     return sets.pair_overlap(p, "a", "b", ("_",), "domain", "cluster_id").select("a", "b", "shared")
 
 
-@query("WITH s AS (SELECT user_id, date_trunc('hour', ts) AS at, avg(value) AS v FROM events WHERE user_id < 20 GROUP BY ALL) SELECT x.user_id AS a, y.user_id AS b, count(*) AS points FROM s x JOIN s y ON x.at = y.at AND x.user_id < y.user_id GROUP BY ALL HAVING count(*) >= 3")
+@query("WITH s AS (SELECT DISTINCT user_id, date_trunc('hour', ts) AS at FROM events) SELECT x.user_id AS a, y.user_id AS b, count(*) AS points FROM s x JOIN s y ON x.at = y.at AND x.user_id < y.user_id GROUP BY ALL HAVING count(*) >= 3")
 def c13_aligned_series(spark: SparkSession, d: str) -> DataFrame:
-    return _aligned(table(spark, d, "events").where("user_id < 20"))
-
-
-@query()
-def c13_aligned_series_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _aligned(table(spark, d, "events"))
-
-
-def _aligned(events: DataFrame) -> DataFrame:
-    s = events.groupBy("user_id", F.date_trunc("hour", "ts").alias("at")).agg(F.avg("value").alias("v"))
-    a, b = s.select(F.col("user_id").alias("a"), "at"), s.select(F.col("user_id").alias("b"), "at")
-    return a.join(b, "at").where("a < b").groupBy("a", "b").agg(F.count("*").alias("points")).where("points >= 3")
+    return temporal.aligned_series(table(spark, d, "events").withColumn("at", F.date_trunc("hour", "ts")), "user_id", "at", "value", 3).select("a", "b", "points")
 
 
 @query(with_parts("SELECT c.page_id, coalesce(s.score, c.score) AS score FROM cred c LEFT JOIN (SELECT 'www.smart.com' AS domain, 0.9 AS score) s USING (domain)", "cred"))
@@ -131,10 +111,13 @@ def i06_entity_concentration(spark: SparkSession, d: str) -> DataFrame:
     return c.select("cluster_id", r4("concentration", "entity_concentration"), F.col("shared").cast("long").alias("shared_entity_count"), (F.col("shared") <= 1).alias("gated"))
 
 
-@query(with_parts("SELECT k, list_contains(rules_fired, 'dna_match') AS fired FROM fin", "fin"))
+@query(with_parts(f"SELECT k, coalesce(m.c, f.dna_match_count) AS dna_match_count, coalesce(m.c, f.dna_match_count) >= 5 AS strong, CASE WHEN m.c IS NULL OR m.c = f.dna_match_count THEN list_contains(f.rules_fired, 'dna_match') ELSE (m.c = -1 AND post_count >= 10) OR (m.c = 0 AND post_count < 20) END AS fired FROM fin f LEFT JOIN (SELECT v.vec_id, CASE WHEN v.vec_id % 10 = 9 THEN -1 ELSE count(e.n) END AS c FROM embeddings v LEFT JOIN (SELECT a AS n FROM ({_PAIRS}) UNION ALL SELECT b FROM ({_PAIRS})) e ON e.n = v.vec_id GROUP BY v.vec_id) m ON m.vec_id = f.k", "fin"))
 def i18_refreshed_match_rule(spark: SparkSession, d: str) -> DataFrame:
-    """The match rule is a function of current counts, so refreshing it is scoring again."""
-    return _scored(spark, d).select("k", F.array_contains("rules_fired", "dna_match").alias("fired"))
+    """Snapshots whose stamped match count differs from the live one get a new decision; the others stay as they are."""
+    e = table(spark, d, "embeddings")
+    pairs = relational.other_endpoint(vectors.similar_pairs(e, "vec_id", "embedding", ALIKE), "a", "b").groupBy(F.col("node").alias("vec_id")).agg(F.count("*").alias("c"))
+    live = e.select("vec_id").join(pairs, "vec_id", "left").select(F.col("vec_id").alias("k"), F.when(F.col("vec_id") % 10 == 9, -1).otherwise(F.coalesce("c", F.lit(0))).alias("live"))
+    return rules.refreshed_matches(_scored(spark, d), live, "k").select("k", "dna_match_count", F.col("dna_evidence_strong").alias("strong"), F.array_contains("rules_fired", "dna_match").alias("fired"))
 
 
 @query(with_parts("SELECT DISTINCT token FROM tok WHERE cluster_id = 0 AND length(token) > 8", "tok"))
@@ -142,14 +125,8 @@ def b11_group_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     return title_words(clustered(spark, d)).where("cluster_id = 0 AND length(token) > 8").select("token").distinct()
 
 
-@query(with_parts("SELECT vec_id, cluster_id::INT AS cluster_id FROM (SELECT e.vec_id, k.cluster_id, s, row_number() OVER (PARTITION BY e.vec_id ORDER BY round(s, 6) DESC, k.cluster_id) AS r FROM embeddings e JOIN cen k ON true, LATERAL (SELECT list_inner_product(e.embedding::DOUBLE[], k.c) / ((sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) + 1e-8) * (sqrt(list_inner_product(k.c, k.c)) + 1e-8)) AS s) WHERE e.vec_id % 2 = 1) WHERE r = 1 AND round(s, 6) >= 0.3", "cen"))
+@query(with_parts("SELECT vec_id, cluster_id::INT AS cluster_id FROM (SELECT e.vec_id, k.cluster_id, s, row_number() OVER (PARTITION BY e.vec_id ORDER BY round(s, 6) DESC, k.cluster_id) AS r FROM embeddings e JOIN cen k ON true, LATERAL (SELECT list_inner_product(e.embedding::DOUBLE[], k.c) / ((sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) + 1e-8) * (sqrt(list_inner_product(k.c, k.c)) + 1e-8)) AS s)) WHERE r = 1 AND round(s, 6) >= 0.3", "cen"))
 def j06_incremental_assign(spark: SparkSession, d: str) -> DataFrame:
-    c = vectors.centroids(clustered(spark, d), "cluster_id", "vector")
-    return vectors.nearest_centroid(table(spark, d, "embeddings").where("vec_id % 2 = 1"), "vec_id", "embedding", c, "cluster_id", 0.3).select("vec_id", "cluster_id")
-
-
-@query()
-def j06_incremental_assign_whole(spark: SparkSession, d: str) -> DataFrame:
     c = vectors.centroids(clustered(spark, d), "cluster_id", "vector")
     return vectors.nearest_centroid(table(spark, d, "embeddings"), "vec_id", "embedding", c, "cluster_id", 0.3).select("vec_id", "cluster_id")
 
@@ -162,10 +139,10 @@ def k08_match_search(spark: SparkSession, d: str) -> DataFrame:
     return s.where("score >= 0.2").orderBy(F.desc("score"), "vec_id").limit(10)
 
 
-@query("SELECT doc_id, 84::BIGINT AS width, round(1.0, 4)::DOUBLE AS norm FROM documents WHERE n_chars > 0")
+@query("SELECT doc_id, 84::BIGINT AS width, round(n_chars / sqrt(32.0 * n_chars * n_chars + 16 * 25), 6) AS style, round(5 / sqrt(32.0 * n_chars * n_chars + 16 * 25), 6) AS cadence, 0.0::DOUBLE AS network FROM documents WHERE n_chars > 0")
 def k05_combined_width(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents").where("n_chars > 0").select("doc_id", F.array_repeat(F.col("n_chars").cast("double"), 32).alias("style"), F.array_repeat(F.lit(0.5), 16).alias("cadence"))
-    return fingerprint.combined(t).select("doc_id", F.size("fingerprint").cast("long").alias("width"), F.round(vectors.norm(F.col("fingerprint")), 4).alias("norm"))
+    t = table(spark, d, "documents").where("n_chars > 0").select("doc_id", F.array_repeat(F.col("n_chars").cast("double"), 32).alias("style"), F.array_repeat(F.lit(5.0), 16).alias("cadence"))
+    return fingerprint.combined(t).select("doc_id", F.size("fingerprint").cast("long").alias("width"), *(F.round(F.element_at("fingerprint", k), 6).alias(n) for k, n in ((32, "style"), (33, "cadence"), (49, "network"))))
 
 
 @query("SELECT doc_id, CASE WHEN h < 6 AND n < 15 THEN 'emergence' WHEN n > 30 THEN 'growth' ELSE 'emergence' END AS phase FROM (SELECT doc_id, doc_id % 12 AS h, n_chars % 60 AS n FROM documents)")
@@ -212,25 +189,10 @@ def o15_graph_status(spark: SparkSession, d: str) -> DataFrame:
     return c.agg(F.count("*").alias("nodes"), F.floor(F.sum("degree") / 2).alias("links"), F.max("degree").alias("most"))
 
 
-@query()
-def o15_graph_status_whole(spark: SparkSession, d: str) -> DataFrame:
-    c = graph.clustering(_whole_edges(spark, d))
-    return c.agg(F.count("*").alias("nodes"), F.floor(F.sum("degree") / 2).alias("links"), F.max("degree").alias("most"))
-
-
-@query("SELECT user_id, coalesce(arg_max(value, event_id), 0) AS score, coalesce(arg_max(event_type, event_id), 'none') AS kind, max(event_id) IS NULL AS defaulted FROM (SELECT c_custkey AS user_id FROM customer WHERE c_custkey < 300) LEFT JOIN events USING (user_id) GROUP BY user_id")
+@query("SELECT user_id, coalesce(arg_max(value, event_id), 0) AS score, coalesce(arg_max(event_type, event_id), 'none') AS kind, max(event_id) IS NULL AS defaulted FROM (SELECT c_custkey AS user_id FROM customer) LEFT JOIN events USING (user_id) GROUP BY user_id")
 def p02_defaults(spark: SparkSession, d: str) -> DataFrame:
-    return _defaults(spark, d, table(spark, d, "customer").where("c_custkey < 300"))
-
-
-@query()
-def p02_defaults_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _defaults(spark, d, table(spark, d, "customer"))
-
-
-def _defaults(spark: SparkSession, d: str, customers: DataFrame) -> DataFrame:
     latest = relational.latest(table(spark, d, "events"), "user_id", F.desc("event_id"))
-    c = customers.select(F.col("c_custkey").alias("user_id")).join(latest, "user_id", "left")
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id")).join(latest, "user_id", "left")
     return c.select("user_id", F.coalesce("value", F.lit(0.0)).alias("score"), F.coalesce("event_type", F.lit("none")).alias("kind"), F.col("event_id").isNull().alias("defaulted"))
 
 
@@ -239,10 +201,10 @@ def p01_newest_row(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").orderBy(F.desc("event_id")).limit(1).select("event_id", "user_id")
 
 
-@query("SELECT vec_id, round(1.0, 4)::DOUBLE AS norm FROM embeddings")
+@query("SELECT vec_id, round(embedding[1]::DOUBLE / n, 4) AS first, 0.0::DOUBLE AS second, round(embedding[3]::DOUBLE / n, 4) AS third FROM (SELECT *, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) - embedding[2]::DOUBLE * embedding[2]::DOUBLE) AS n FROM embeddings)")
 def p05_clean_matrix(spark: SparkSession, d: str) -> DataFrame:
     broken = F.transform("embedding", lambda x, i: F.when(i == F.lit(1), F.lit(float("nan")).cast("float")).otherwise(x))
-    return table(spark, d, "embeddings").select("vec_id", F.round(vectors.norm(vectors.cleaned_unit(broken)), 4).alias("norm"))
+    return table(spark, d, "embeddings").withColumn("u", vectors.cleaned_unit(broken)).select("vec_id", *(r4(F.element_at("u", k + 1), n) for k, n in enumerate(("first", "second", "third"))))
 
 
 @query("SELECT reason, count(*) AS n FROM (SELECT CASE WHEN doc_id % 5 = 0 THEN 'empty_title' WHEN doc_id % 7 = 0 THEN 'thin_content' ELSE 'accepted' END AS reason FROM documents) GROUP BY reason")
@@ -255,19 +217,20 @@ def p11_reject_counts(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def p12_whole_cycle(spark: SparkSession, d: str) -> DataFrame:
     """Every stage, one after the other; rows of each table."""
-    p = posts(spark, d).select("post_id", "source", "url", "title", "content", "language", "published_at", "polarity", "tone", "themes", "vector")
+    p = posts(spark, d).select("post_id", "source", "url", "title", "content", "language", "published_at", "polarity", "tone", "themes", "vector", "feed", "tone_parts")
     done = run_cycle(p, f"{storage.shared_dir(spark)}/cycle-{uuid.uuid4().hex}", F.lit("2024-01-20 00:00:00").cast("timestamp"), least=0.35)
     out = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("stage"), "n") for name, df in done.items()]
     return relational.union_feeds(*out)
 
 
-@query("SELECT event_id AS k, 'rebuilt' AS generation FROM events WHERE event_id % 3 = 0")
+@query("SELECT event_id AS k, CASE WHEN ts < TIMESTAMP '2024-01-15 00:00:00' THEN 'archived' ELSE 'rebuilt' END AS generation FROM events")
 def s05_rebuild(spark: SparkSession, d: str) -> DataFrame:
     """A rebuild writes a new generation and readers switch to it; the old one is left for those who still read it."""
     root = f"{storage.shared_dir(spark)}/rebuild-{uuid.uuid4().hex}"
-    e = table(spark, d, "events").select(F.col("event_id").alias("k"))
-    storage.swapped(e.withColumn("generation", F.lit("old")), root)
-    return spark.read.parquet(storage.swapped(e.where("k % 3 = 0").withColumn("generation", F.lit("rebuilt")), root))
+    e = table(spark, d, "events").select(F.col("event_id").alias("k"), F.col("ts").cast("timestamp").alias("ts"))
+    old = spark.read.parquet(storage.swapped(e.withColumn("generation", F.lit("active")), root))
+    gone = F.col("ts") < F.lit("2024-01-15 00:00:00").cast("timestamp")
+    return spark.read.parquet(storage.swapped(old.withColumn("generation", F.when(gone, "archived").otherwise("rebuilt")), root)).select("k", "generation")
 
 
 @query("SELECT a, b, n FROM (SELECT a % 50 AS a, b % 50 AS b, count(*) AS n FROM (SELECT vec_id AS a, vec_id * 7 + 3 AS b FROM embeddings) GROUP BY ALL)")
@@ -281,10 +244,10 @@ def e09_pace(spark: SparkSession, d: str) -> DataFrame:
     return g.select("cluster_id", r4("gap_mean", "mean_gap"), F.when(F.col("gap_mean").isNull(), "unknown").when(F.col("gap_mean") < 3600, "fast").otherwise("slow").alias("pace"))
 
 
-@query("SELECT lang, approx_n BETWEEN 0.9 * n AND 1.1 * n AS close FROM (SELECT lang, count(DISTINCT text) AS n, count(DISTINCT text) AS approx_n FROM documents GROUP BY lang)")
+@query("SELECT lang, count(DISTINCT text) AS n, true AS close FROM documents GROUP BY lang")
 def d02_approximate_distinct(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents").groupBy("lang").agg(F.count_distinct("text").alias("n"), F.approx_count_distinct("text", 0.02).alias("a"))
-    return t.select("lang", F.col("a").between(F.col("n") * 0.9, F.col("n") * 1.1).alias("close"))
+    return t.select("lang", "n", F.col("a").between(F.col("n") * 0.9, F.col("n") * 1.1).alias("close"))
 
 
 @query(with_parts("SELECT cluster_id, list(term ORDER BY rank) AS words FROM kw8 WHERE rank <= 3 GROUP BY cluster_id", "kw8"))
@@ -293,18 +256,17 @@ def j09_leading_words(spark: SparkSession, d: str) -> DataFrame:
     return k.groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("l")).select("cluster_id", F.transform("l", lambda s: s["term"]).alias("words"))
 
 
-@query(with_parts("SELECT k, adequacy FROM (SELECT k, CASE WHEN post_count >= 50 AND domain_entropy >= 0.4 THEN 'sufficient' WHEN post_count >= 15 THEN 'moderate' WHEN post_count >= 5 THEN 'marginal' ELSE 'insufficient' END AS adequacy, n FROM (SELECT *, len(list_filter([mutation < 0.15, coordination > 1.3, burst > 10 AND spread > 0.3, spread < 0.2], lambda x: x)) AS n FROM fin)) WHERE n >= 2", "fin"))
+@query(with_parts("SELECT k, CASE WHEN len(l) = 0 THEN ['normal_activity'] ELSE l END AS alternatives FROM (SELECT k, list_filter([CASE WHEN mutation < 0.15 THEN 'wire_distribution' END, CASE WHEN coordination > 1.3 THEN 'editorial_scheduling' END, CASE WHEN burst > 10 AND spread > 0.3 THEN 'breaking_news' END, CASE WHEN spread < 0.2 THEN 'niche_topic' END, CASE WHEN score >= 70 AND mutation > 0.25 THEN 'independent_coverage' END, CASE WHEN burst > 5 AND burst < 15 THEN 'news_cycle' END], lambda x: x IS NOT NULL) AS l FROM fin)", "fin"))
 def o02_alternatives(spark: SparkSession, d: str) -> DataFrame:
-    i = report.interpretation(_scored(spark, d))
-    first_four = F.array(*map(F.lit, ("wire_distribution", "editorial_scheduling", "breaking_news", "niche_topic")))
-    return i.where(F.size(F.array_intersect("alternatives", first_four)) >= 2).select("k", "adequacy")
+    return report.interpretation(_scored(spark, d)).select("k", "alternatives")
 
 
-@query("SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-02-15 00:00:00' - INTERVAL 30 DAYS AND event_id % 10 = 0")
-def s07_archived_sample(spark: SparkSession, d: str) -> DataFrame:
-    return retention.archived(table(spark, d, "events"), "ts", as_of()).where("archived AND event_id % 10 = 0").select("event_id")
+@query("SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-02-05 00:00:00' - INTERVAL 30 DAYS")
+def s07_archived_rows(spark: SparkSession, d: str) -> DataFrame:
+    return retention.archived(table(spark, d, "events"), "ts", F.lit("2024-02-05 00:00:00").cast("timestamp")).where("archived").select("event_id")
 
 
 @query()
-def s07_archived_sample_whole(spark: SparkSession, d: str) -> DataFrame:
-    return retention.archived(table(spark, d, "events"), "ts", as_of()).where("archived").select("event_id")
+def s07_disk_watchdog(spark: SparkSession, d: str) -> DataFrame:
+    """Free space where tables are written, and whether ingest should pause."""
+    return spark.createDataFrame([health.disk_state(spark, storage.shared_dir(spark))], "path string, free_gb double, total_gb double, used_percent double, paused boolean")

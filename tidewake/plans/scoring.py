@@ -12,9 +12,10 @@ from tidewake.functions import fixed_values as fixed
 from tidewake.operators import campaigns, clustering, credibility, fingerprint, graph, lifecycle, relational, report, retention, rules, signals, temporal, vectors
 from tidewake.operators.components import components
 from tidewake.plans.core import _PAIRS, ALIKE, _domains, r4
+from tidewake.plans import scenarios
 from tidewake.plans.registry import query
-from tidewake.plans.storage import shared_dir
-from tidewake.plans.views import CTES, clustered, entities, posts, table, title_words, with_parts
+from tidewake.plans.storage import kept, shared_dir
+from tidewake.plans.views import CTES, clustered, entities, posts, quoted, table, title_words, with_parts
 
 AS_OF = "2024-02-15 00:00:00"
 
@@ -105,15 +106,14 @@ def j07_topic_bags(spark: SparkSession, d: str) -> DataFrame:
 
 
 _NOISE = fixed.NOISE_TITLE.replace("'", "''")
-CTES["flg"] = f"SELECT p.cluster_id, p.n >= 5 AND off >= greatest(3, n * 0.4) AS circadian_anomaly, noise >= greatest(1, floor(n * 0.5)) AS content_noise, langs >= 3 AND least(1.0, dh / 4) > 0.3 AS cross_language_anomaly FROM (SELECT cluster_id, count(*) AS n, count(*) FILTER (WHERE hour(published_at) BETWEEN 1 AND 5) AS off, count(*) FILTER (WHERE length(coalesce(title, '')) < 20 OR regexp_matches(coalesce(title, ''), '(?i){_NOISE}')) AS noise, count(DISTINCT language) AS langs FROM cl GROUP BY cluster_id) p JOIN (SELECT cluster_id, dh FROM spr) USING (cluster_id)"
+CTES["flg"] = f"SELECT p.cluster_id, p.n >= 5 AND off >= greatest(3, n * 0.4) AS circadian_anomaly, p.n >= 5 AND outliers >= greatest(2, n * 0.3) AS content_anomaly, noise >= greatest(1, floor(n * 0.5)) AS content_noise, langs >= 3 AND least(1.0, dh / 4) > 0.3 AS cross_language_anomaly, p.n >= 5 AND manipulation >= greatest(3, n * 0.3) AND least(1.0, dh / 4) > 0.3 AS high_signal_topic FROM (SELECT cluster_id, count(*) AS n, count(*) FILTER (WHERE hour(published_at) BETWEEN 1 AND 5) AS off, count(*) FILTER (WHERE value * 8 > 35 AND value * 3 > 12 AND value / 40 < 0.3) AS outliers, count(*) FILTER (WHERE theme IN {quoted(fixed.MANIPULATION_THEMES)}) AS manipulation, count(*) FILTER (WHERE length(coalesce(title, '')) < 20 OR regexp_matches(coalesce(title, ''), '(?i){_NOISE}')) AS noise, count(DISTINCT language) FILTER (WHERE language NOT IN ('translated', 'unknown', '')) AS langs FROM cl GROUP BY cluster_id) p JOIN (SELECT cluster_id, dh FROM spr) USING (cluster_id)"
 
 
 @query(with_parts("SELECT * FROM flg", "flg"))
 def i11_flags(spark: SparkSession, d: str) -> DataFrame:
     p = clustered(spark, d)
     s = signals.spread(p, "cluster_id", "domain", "language").select("cluster_id", F.least(F.lit(1.0), F.col("domain_entropy") / 4).alias("source_diversity"))
-    tone = F.struct(F.lit(0.0).alias("activity_density"), F.lit(0.0).alias("negative"), F.lit(0.0).alias("self_reference"))
-    return signals.flags(p, "cluster_id", "published_at", "title", "language", "themes", tone, s).select("cluster_id", "circadian_anomaly", "content_noise", "cross_language_anomaly")
+    return signals.flags(p, "cluster_id", "published_at", "title", "language", "themes", F.col("tone_parts"), s)
 
 
 # a table of features that reaches every rule --------------------------------------------------------------------------------------
@@ -197,9 +197,26 @@ def i17_rule_signals(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).select(F.explode("rules_fired").alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-@query()
+CTES["gsrc"] = f"SELECT cluster_id, sum(c) AS n, sum(fed) / sum(c) AS fed, max(c) / sum(c) AS share FROM (SELECT cluster_id, source, count(*) AS c, count(*) FILTER (WHERE feed IN {quoted(fixed.FEEDS)}) AS fed FROM cl GROUP BY ALL) GROUP BY cluster_id"
+CTES["glng"] = "SELECT cluster_id, count(DISTINCT coalesce(language, 'unknown')) AS lc, bool_or(coalesce(language, 'unknown') = 'translated') AS tr FROM cl GROUP BY cluster_id"
+CTES["gbur"] = "SELECT cluster_id, CASE WHEN epoch(l) - epoch(f) < 60 OR buckets < 2 OR s < 0.01 THEN 0 ELSE greatest(-10, least(10, (newest - m) / s)) END AS burst FROM (SELECT cluster_id, count(*) AS buckets, avg(c) AS m, stddev_pop(c) AS s, arg_max(c, b) AS newest, min(f) AS f, max(l) AS l FROM (SELECT cluster_id, time_bucket(INTERVAL 15 MINUTES, published_at) AS b, count(*) AS c, min(published_at) AS f, max(published_at) AS l FROM cl WHERE published_at IS NOT NULL GROUP BY ALL) GROUP BY cluster_id)"
+_CADENCE = "coalesce(a.n >= 5 AND a.m >= 1 AND ((g.fed >= 1 AND (a.s / a.m < 0.15 OR (least(a.m % 900, 900 - a.m % 900) < 60 AND a.s / a.m < 0.25))) OR (g.fed >= 0.8 AND (a.s / a.m < 0.20 OR (least(a.m % 900, 900 - a.m % 900) < 60 AND a.s / a.m < 0.30)))), false)"
+_KNOWN = "coalesce(g.n >= 5 AND ((pt.path_domains >= 3 AND pt.path_coverage >= 0.6 AND mu.mutation < 0.4) OR (mu.mutation < 0.25 AND wi.wire_domains >= 3 AND wi.wire_share >= 0.8)), false)"
+_HASHED = "coalesce(g.n >= 7 AND mu.similarity > 0.55 AND ((ha.ratio > 0.9 AND least(1.0, sp.dh / 4) > 0.65) OR (ha.ratio > 0.85 AND least(1.0, sp.dh / 4) > 0.4)), false)"
+CTES["gft"] = (
+    f"SELECT g.cluster_id AS k, g.n AS post_count, coalesce(bu.burst, 0) AS burst, coalesce(sp.spread, 0) AS spread, coalesce(mu.mutation, 0.5) AS mutation, CASE WHEN {_CADENCE} THEN 1.0 ELSE coalesce(a.coord, 1.0) END AS coordination, coalesce(t.tone_uniformity, 0) AS tone_uniformity, co.shared AS shared_entity_count, "
+    f"coalesce(least(1.0, sp.dh / 4), 0) AS source_diversity, {_CADENCE} AS batch_artifact, {_KNOWN} AS wire_known, {_HASHED} AS wire_hash, -1 AS dna_match_count, CASE WHEN g.n >= 15 AND g.share <= 0.15 AND coalesce(j.jaccard, 0) < 0.12 THEN 0 ELSE ch.coherence END AS narrative_coherence, coalesce(sp.ud, 0) AS unique_domain_count, "
+    "lg.lc AS language_count, 0 AS strong_match_count, false AS cross_topic, fl.circadian_anomaly, fl.content_anomaly, fl.content_noise, fl.cross_language_anomaly, false AS geographic_spread, fl.high_signal_topic, coalesce(sp.dh, 0) AS domain_entropy, lg.tr AS translated "
+    f"FROM gsrc g JOIN glng lg USING (cluster_id) LEFT JOIN gbur bu USING (cluster_id) LEFT JOIN spr sp USING (cluster_id) LEFT JOIN mut mu USING (cluster_id) LEFT JOIN (SELECT *, {_COORD} AS coord FROM gapc) a USING (cluster_id) LEFT JOIN ton t USING (cluster_id) LEFT JOIN con co USING (cluster_id) "
+    "LEFT JOIN hash ha USING (cluster_id) LEFT JOIN path pt USING (cluster_id) LEFT JOIN wire wi USING (cluster_id) LEFT JOIN coh ch USING (cluster_id) LEFT JOIN jac j USING (cluster_id) LEFT JOIN flg fl USING (cluster_id)"
+)
+for _name, _from in (("raw", "ft"), ("cf", "raw"), ("fired", "cf"), ("fin", "fired")):
+    CTES[f"g{_name}"] = CTES[_name].replace(f"FROM {_from}", f"FROM g{_from}")
+
+
+@query(with_parts(f"SELECT k AS cluster_id, post_count::BIGINT AS post_count, round(spread, 4) AS spread, round(mutation, 4) AS mutation, round(burst, 4) AS burst, raw_score, confidence, rules_fired, score, {_LEVEL} AS alert_level, suppressed FROM gfin", "gfin"))
 def i19_score_groups(spark: SparkSession, d: str) -> DataFrame:
-    p = clustered(spark, d)
+    p = kept(clustered(spark, d), "clustered")
     return signals.score_groups(p, title_words(p), entities(p)).select("cluster_id", "post_count", r4("spread"), r4("mutation"), r4("burst"), "raw_score", "confidence", "rules_fired", "score", "alert_level", "suppressed")
 
 
@@ -285,6 +302,23 @@ def p09_fixture_check(spark: SparkSession, d: str) -> DataFrame:
     return report.fixture_check(fixtures, s, "k")
 
 
+_LITERAL = lambda v: str(v).lower() if isinstance(v, bool) else f"'{v}'" if isinstance(v, str) else str(v)
+_QUIET = {"strong_match_count": 0, "cross_topic": False, "circadian_anomaly": False, "content_anomaly": False, "content_noise": False, "cross_language_anomaly": False, "geographic_spread": False, "high_signal_topic": False}
+CTES["scen"] = "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_LITERAL, (name, "[" + ",".join(sorted(want)) + "]", down, cap, alert, *(scenarios.BASE | _QUIET | new).values()))) + ")" for name, new, want, down, cap, alert in scenarios.SCENARIOS) + ") t(name, want, down, most_cap, must_alert, " + ", ".join(scenarios.BASE | _QUIET) + ")"
+CTES["scenf"] = CTES["fired"].replace("(SELECT *, round(conf, 3) AS confidence FROM cf)", "scen")
+CTES["scenr"] = "SELECT name, list_sort(string_split(nullif(trim(want, '[]'), ''), ',')) AS want, list_sort(list_filter(f, lambda x: x IS NOT NULL)) AS got, down, batch_artifact OR content_noise OR confidence < 0.65 AS stopped, CASE WHEN batch_artifact THEN 0 ELSE coalesce(cap, 100) END AS cap, most_cap, must_alert FROM scenf"
+
+
+@query(with_parts("SELECT name, got AS actual_rules, stopped AS actual_suppressed, cap::DOUBLE AS actual_cap, CASE WHEN must_alert THEN NOT stopped AND cap >= 50 AND len(got) = 0 ELSE list_has_all(got, coalesce(want, [])) AND stopped = down AND cap <= most_cap + 0.01 END AS passed FROM scenr", "scenr"))
+def p10_scenarios(spark: SparkSession, d: str) -> DataFrame:
+    return scenarios.evaluate(scenarios.scenario_table(spark)).select("name", "actual_rules", "actual_suppressed", "actual_cap", "passed")
+
+
+@query(with_parts("SELECT rule, count(*) FILTER (WHERE list_contains(got, rule) AND list_contains(coalesce(want, []), rule)) AS tp, count(*) FILTER (WHERE list_contains(got, rule) AND NOT list_contains(coalesce(want, []), rule)) AS fp, count(*) FILTER (WHERE NOT list_contains(got, rule) AND list_contains(coalesce(want, []), rule)) AS fn FROM scenr, (SELECT unnest([" + ", ".join(f"'{r.name}'" for r in rules.RULES) + "]) AS rule) GROUP BY rule", "scenr"))
+def p10_rule_counts(spark: SparkSession, d: str) -> DataFrame:
+    return scenarios.by_rule(scenarios.evaluate(scenarios.scenario_table(spark))).select("rule", "tp", "fp", "fn")
+
+
 # credibility and life cycle ---------------------------------------------------------------------------------------------------------
 
 
@@ -319,18 +353,19 @@ def n01_lifecycle(spark: SparkSession, d: str) -> DataFrame:
 
 # graph and campaigns ---------------------------------------------------------------------------------------------------------------
 
-CTES["eg"] = "SELECT a.user_id AS src, b.user_id AS dst, count(*) AS weight FROM events a JOIN events b ON a.user_id <> b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 600 SECONDS WHERE a.user_id < 60 AND b.user_id < 60 GROUP BY ALL"
+CTES["eg"] = "SELECT a.user_id AS src, b.user_id AS dst, count(*) AS weight FROM events a JOIN events b ON a.user_id <> b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 600 SECONDS GROUP BY ALL"
 CTES["un"] = "SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM eg"
 CTES["nb"] = "SELECT u AS n, v AS m FROM un UNION ALL SELECT v, u FROM un"
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    return graph.amplification_edges(table(spark, d, "events").where("user_id < 60"), "user_id", "ts", 600)
+    """All edges, as in the SQL: only l01's are cut to a node's heaviest."""
+    return temporal.interval_join(table(spark, d, "events"), "user_id", "ts", 600)
 
 
 @query(with_parts("SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM eg) WHERE r <= 100", "eg"))
 def l01_amplification_edges(spark: SparkSession, d: str) -> DataFrame:
-    return _edges(spark, d)
+    return graph.amplification_edges(table(spark, d, "events"), "user_id", "ts", 600)
 
 
 @query(with_parts("SELECT d.n AS node, d.degree, coalesce(t.t, 0) AS triangles, round(CASE WHEN d.degree < 2 THEN 0 ELSE 2 * coalesce(t.t, 0) / (d.degree * (d.degree - 1)) END, 4) AS coefficient FROM (SELECT n, count(*) AS degree FROM nb GROUP BY n) d LEFT JOIN (SELECT a.n, count(*) // 2 AS t FROM nb a JOIN nb b ON a.n = b.n AND a.m <> b.m JOIN nb c ON c.n = a.m AND c.m = b.m GROUP BY a.n) t USING (n)", "nb"))
@@ -343,28 +378,6 @@ def l06_degree_metrics(spark: SparkSession, d: str) -> DataFrame:
     return graph.degree_metrics(_edges(spark, d)).select("nodes", "edges", r4("density"), r4("reciprocity"), r4("mean"), r4("std"), "median")
 
 
-# The queries above and their SQL take the users under 60; these take all, and no node's edges are cut but those of l01, as in its SQL.
-
-
-def _whole_edges(spark: SparkSession, d: str) -> DataFrame:
-    return temporal.interval_join(table(spark, d, "events"), "user_id", "ts", 600, ())
-
-
-@query()
-def l01_amplification_edges_whole(spark: SparkSession, d: str) -> DataFrame:
-    return graph.amplification_edges(table(spark, d, "events"), "user_id", "ts", 600)
-
-
-@query()
-def l03_clustering_coeff_whole(spark: SparkSession, d: str) -> DataFrame:
-    return graph.clustering(_whole_edges(spark, d)).select("node", "degree", "triangles", r4("coefficient"))
-
-
-@query()
-def l06_degree_metrics_whole(spark: SparkSession, d: str) -> DataFrame:
-    return graph.degree_metrics(_whole_edges(spark, d)).select("nodes", "edges", r4("density"), r4("reciprocity"), r4("mean"), r4("std"), "median")
-
-
 @query()
 def l04_paths_l05_small_world_l08_centrality(spark: SparkSession, d: str) -> DataFrame:
     p = clustered(spark, d).where("published_at is not null")
@@ -455,10 +468,10 @@ def k04_entity_bias(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    p = clustered(spark, d)
+    p = kept(clustered(spark, d), "clustered")
     s, c = fingerprint.style(p, "cluster_id", "content", "post_id"), fingerprint.cadence(p, "cluster_id", "published_at")
     n, e = fingerprint.network(graph.amplification_edges(p, "source", "published_at", 7200, by=("cluster_id",)), "cluster_id"), fingerprint.entity_bias(entities(p), "cluster_id", "post_id", "entity")
-    return fingerprint.combined(p.select("cluster_id").distinct().join(s, "cluster_id", "left").join(c, "cluster_id", "left").join(n, "cluster_id", "left").join(e, "cluster_id", "left"))
+    return kept(fingerprint.combined(p.select("cluster_id").distinct().join(s, "cluster_id", "left").join(c, "cluster_id", "left").join(n, "cluster_id", "left").join(e, "cluster_id", "left")), "fingerprints")
 
 
 @query()
@@ -469,9 +482,12 @@ def k07_fingerprint_matches(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def k06_pair_scores(spark: SparkSession, d: str) -> DataFrame:
-    f = _fingerprints(spark, d).select("cluster_id", F.struct(*fingerprint.PARTS).alias("p"))
-    a, b = f.select(F.col("cluster_id").alias("a"), F.col("p").alias("pa")), f.select(F.col("cluster_id").alias("b"), F.col("p").alias("pb"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", fingerprint.pair_score("pa", "pb").alias("m")).select("a", "b", "m.*")
+    """The parts' weighted score of every pair whose fingerprints are alike at all."""
+    f = _fingerprints(spark, d)
+    parts = f.select("cluster_id", F.struct(*fingerprint.PARTS).alias("p"))
+    a, b = parts.select(F.col("cluster_id").alias("a"), F.col("p").alias("pa")), parts.select(F.col("cluster_id").alias("b"), F.col("p").alias("pb"))
+    pairs = vectors.similar_pairs(f, "cluster_id", "fingerprint", 0.01).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", fingerprint.pair_score("pa", "pb").alias("m")).select("a", "b", "m.*")
 
 
 @query(f"WITH p AS ({_PAIRS}), e AS (SELECT a AS n, score, (a + b) % 3 AS z FROM p UNION ALL SELECT b, score, (a + b) % 3 FROM p) SELECT v.vec_id, CASE WHEN v.vec_id % 10 = 9 THEN -1 ELSE count(e.n) FILTER (WHERE e.score >= 0.75) END AS dna_match_count, count(e.n) FILTER (WHERE e.score >= 0.9) AS strong_match_count, count(e.n) FILTER (WHERE e.z = 1) >= 2 AS cross_topic FROM embeddings v LEFT JOIN e ON e.n = v.vec_id GROUP BY v.vec_id")
@@ -505,9 +521,11 @@ def s01_archive(spark: SparkSession, d: str) -> DataFrame:
     return retention.archived(table(spark, d, "events"), "ts", as_of()).select("event_id", "archived")
 
 
-@query("SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-02-15 00:00:00' - INTERVAL 30 DAYS)")
+@query("SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 30 DAYS + (event_id % 40) * INTERVAL 1 DAY)")
 def s02_prune_vectors(spark: SparkSession, d: str) -> DataFrame:
-    p = retention.archived(table(spark, d, "events"), "ts", as_of())
+    """Stamps are shifted so that some posts are archived and others aren't."""
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp") - F.make_dt_interval(days=F.col("event_id") % 40))
+    p = retention.archived(e, "ts", F.lit("2024-01-20 00:00:00").cast("timestamp"))
     return retention.prune(table(spark, d, "embeddings"), p, "vec_id", "event_id").select("vec_id")
 
 

@@ -24,3 +24,10 @@ def swapped(df: DataFrame, table: str) -> str:
     path = f"{table.rstrip('/')}/generation={uuid.uuid4().hex}"
     df.write.parquet(path)
     return path
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: what several branches of a job read is computed once, and survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
