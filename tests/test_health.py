@@ -35,7 +35,7 @@ def test_retries():
 
 
 def test_whole_cycle(spark):
-    p = posts(spark, DATA).select("post_id", "source", "url", "title", "content", "language", "published_at", "polarity", "tone", "themes", "vector")
+    p = posts(spark, DATA).select("post_id", "source", "url", "title", "content", "language", "published_at", "polarity", "tone", "themes", "vector", "feed", "tone_parts")
     done = cycle.run_cycle(p, f"{storage.shared_dir(spark)}/cycle", F.lit("2024-01-20 00:00:00").cast("timestamp"), least=0.35)
     assert done["posts"].count() == done["vectors"].count() > 0
     n = done["members"].select("cluster_id").distinct().count()

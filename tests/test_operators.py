@@ -269,3 +269,137 @@ def test_swapped_tables_keep_their_old_generation(spark, tmp_path):
     a = storage.swapped(spark.range(3), str(tmp_path / "t"))
     b = storage.swapped(spark.read.parquet(a).where("id > 0"), str(tmp_path / "t"))
     assert spark.read.parquet(a).count() == 3 and spark.read.parquet(b).count() == 2
+
+
+def test_batch_artifact_end_to_end(spark):
+    """Posts of a feed every 900 seconds are zeroed by the terminal rule; the same posts at odd times, or from elsewhere, aren't."""
+    from tidewake.operators import signals
+
+    odd = [0, 900, 1700, 5000, 5100, 9000, 14000, 14100, 20000, 30000, 30500, 47000]
+    rows = []
+    for c, feed, even in ((1, "gdelt_gkg", True), (2, "gdelt_gkg", False), (3, "blog", True)):
+        for k in range(12):
+            rows.append((c, 100 * c + k, f"src{k}", feed, f"d{k}.org", f"/path/{c}/{k}", "translated" if c == 2 and k == 0 else "en", f"A long enough headline number {k} about harbours", f"content {c} {k}", 1704067200 + (900 * k if even else odd[k]), [1.0, 0.1 * k], 1.0, 0.5, 40.0 if c == 3 else 1.0, 13.0, 0.1, ["PROTEST"]))
+    p = spark.createDataFrame(rows, "cluster_id long, post_id long, source string, feed string, domain string, path string, language string, title string, content string, at long, vector array<double>, polarity double, tone double, ad double, neg double, self double, themes array<string>")
+    p = p.withColumn("published_at", F.timestamp_seconds("at")).withColumn("tone_parts", F.struct(F.col("ad").alias("activity_density"), F.col("neg").alias("negative"), F.col("self").alias("self_reference")))
+    tokens = p.select("cluster_id", "post_id", F.explode(tx.title_tokens(F.col("title"))).alias("token"))
+    got = {r.cluster_id: r for r in signals.score_groups(p, tokens, tokens.withColumnRenamed("token", "entity")).collect()}
+    assert got[1].batch_artifact and got[1].rules_fired[0] == "gdelt_batch_artifact" and got[1].score == 0 and got[1].alert_level == "normal" and got[1].suppressed and got[1].coordination == 1.0
+    assert not got[2].batch_artifact and got[2].translated and got[2].language_count == 2 and got[2].feed_fraction == 1.0
+    assert not got[3].batch_artifact and got[3].coordination > 1.5 and "content_anomaly" in got[3].rules_fired and "content_anomaly" not in got[2].rules_fired
+    few = signals.score_groups(p.where("post_id % 100 < 2"), tokens, tokens.withColumnRenamed("token", "entity")).collect()
+    assert all(r.insufficient_data and r.score == 0 and r.alert_level == "normal" for r in few)
+
+
+def test_refreshed_matches(spark):
+    from tidewake.operators import rules
+
+    rows = [(1, -1, 12, ["dna_match", "confidence_threshold"]), (2, -1, 5, ["insufficient_evidence"]), (3, 4, 30, []), (4, 0, 8, ["insufficient_evidence", "dna_match"]), (5, 7, 30, ["wire_service", "confidence_threshold"])]
+    snaps = spark.createDataFrame(rows, "k int, dna_match_count long, post_count long, rules_fired array<string>")
+    live = spark.createDataFrame([(1, 6), (2, 0), (3, 4), (4, 3), (5, -1)], "k int, live long")
+    got = {r.k: (r.dna_match_count, r.rules_fired, r.dna_evidence_strong) for r in rules.refreshed_matches(snaps, live, "k").collect()}
+    assert got == {1: (6, ["confidence_threshold"], True), 2: (0, ["insufficient_evidence", "dna_match"], False), 3: (4, [], False), 4: (3, ["insufficient_evidence"], False), 5: (-1, ["wire_service", "dna_match", "confidence_threshold"], False)}
+
+
+def test_zips_and_pointers(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.gkg.csv.zip", "w") as z:
+        z.writestr("one.csv", "a\tb\r\nc\u2028d\n".encode() + b"\xff bad\n")
+        z.writestr("two.csv", "last line without an end")
+    (tmp_path / "broken.zip").write_bytes(b"no archive")
+    (tmp_path / "lastupdate.txt").write_text(f"12 ab http://x.org/none.export.zip\n13 cd file://{tmp_path}/a.gkg.csv.zip\n14 ef http://x.org/b.GKG.zip\n")
+    names = landing.pointed(spark, f"file://{tmp_path}/lastupdate.txt", "GKG")
+    assert names == [f"file://{tmp_path}/a.gkg.csv.zip"] and landing.pointed(spark, f"file://{tmp_path}/lastupdate.txt", "mentions") == []
+    assert sorted(r.value for r in landing.read_zips(spark, names, lines=2).collect()) == sorted(["a\tb", "c\u2028d", "\ufffd bad", "last line without an end"])
+    assert landing.read_zips(spark, [f"file://{tmp_path}/broken.zip"]).count() == 0 == landing.read_zips(spark, []).count()
+
+
+def test_rules_as_a_table_function(spark):
+    from tidewake.operators import rules
+
+    register.register(spark)
+    spark.createDataFrame([(1, 6, False), (2, 40, True), (3, 40, False)], "k int, n long, b boolean").createOrReplaceTempView("groups_of_posts")
+    got = spark.sql("SELECT k, collect_list(rule) AS fired FROM (SELECT g.k, t.rule FROM groups_of_posts g, LATERAL rule_trace(post_count => g.n, batch_artifact => g.b, source_diversity => 0.5D, shared_entity_count => 4, confidence => 0.9D, dna_match_count => 3) t WHERE t.fired ORDER BY g.k, t.place) GROUP BY k").collect()
+    df = spark.table("groups_of_posts").select("k", F.col("n").alias("post_count"), F.col("b").alias("batch_artifact"), F.lit(0.5).alias("source_diversity"), F.lit(4).alias("shared_entity_count"), F.lit(0.9).alias("confidence"), F.lit(3).alias("dna_match_count"))
+    want = {r.k: set(r.rules_fired) for r in rules.apply_rules(df).collect() if r.rules_fired}
+    assert {r.k: set(r.fired) for r in got} == want and 2 in want
+    assert spark.sql("SELECT * FROM rule_trace()").count() == len(rules.RULES)
+
+
+def test_scenarios(spark):
+    from tidewake.plans import scenarios
+
+    done = scenarios.evaluate(scenarios.scenario_table(spark))
+    results, per_rule = done.collect(), scenarios.by_rule(done).collect()
+    assert {r.name for r in results if not r.passed} == {"insufficient_evidence"}  # its cap is 70, not 40, from five posts on
+    assert len(per_rule) == 18 and {r.rule: (r.tp, r.fn) for r in per_rule}["wire_service"] == (2, 0)
+    text = scenarios.report(results, per_rule)
+    assert text.startswith("# Scenarios: 9 of 10") and text.count("\n") == 34 and "FAIL" in text
+
+
+@pytest.mark.parametrize("spread", [1, 3, 10_000])
+def test_hot_keys_are_spread(spark, spread):
+    rng = np.random.default_rng(spread)
+    rows = [(int(a), int(b)) for a, b in zip(rng.integers(0, 6, 60), rng.integers(0, 9000, 60))]
+    df = spark.createDataFrame(rows, "s int, t int").select("s", F.timestamp_seconds("t").alias("ts"))
+    want = {}
+    for s, t in rows:
+        for r, u in rows:
+            if s != r and 0 < u - t <= 3000:
+                want[s, r] = want.get((s, r), 0) + 1
+    assert {(r.src, r.dst): r.weight for r in temporal.interval_join(df, "s", "ts", 3000, (), spread).collect()} == want
+    items = {m: {int(x) for x in rng.integers(0, 4, 3)} for m in range(12)}
+    df = spark.createDataFrame([(0, m, x) for m, s in items.items() for x in s] * 2, "g int, m int, x int")
+    got = {(r.a, r.b): (r.shared, r.size_a, r.size_b) for r in sets.pair_overlap(df, "a", "b", ("g",), "x", "m", spread).collect()}
+    assert got == {(a, b): (len(items[a] & items[b]), len(items[a]), len(items[b])) for a in items for b in items if a < b and items[a] & items[b]}
+
+
+def test_aligned_series_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    v = {f"k{k}": {int(t): float(x) for t, x in zip(rng.integers(0, 20, 12), rng.normal(1000, 3, 12))} for k in range(9)} | {"flat": dict.fromkeys(range(20), 7.0), "lone": {99: 1.0}}
+    df = spark.createDataFrame([(k, t, x) for k, s in v.items() for t, x in s.items()] + [("k0", None, 1.0), (None, 3, 1.0)], "k string, t int, v double").withColumn("at", F.timestamp_seconds("t"))
+    want = {}
+    for a in v:
+        for b in v:
+            both = sorted(set(v[a]) & set(v[b]))
+            if a < b and len(both) >= 3:
+                x, y = np.array([v[a][t] for t in both]), np.array([v[b][t] for t in both])
+                want[a, b] = (len(both), x.std(), y.std(), np.corrcoef(x, y)[0, 1] if x.std() > 1e-9 and y.std() > 1e-9 else np.nan)
+    for block in (2, 1000):
+        got = {(r.a, r.b): (r.points, r.sa, r.sb, r.r) for r in temporal.aligned_series(df, "k", "at", "v", 3, block).collect()}
+        assert set(got) == set(want) and all(np.allclose(got[p], want[p], atol=1e-6, equal_nan=True) for p in want)
+
+
+def test_labels_beyond_many_repeats(spark):
+    """Thousands of repeats in front: the labels behind them are found."""
+    rows = [(i, f"{' ' * (i % 3)}The SAME label of some seven words" if i % 2 else "the same label of some seven words again") for i in range(5000)] + [(5000 + i, f"quite another thing {i}") for i in range(3)]
+    got = report.distinct_labels(spark.createDataFrame(rows, "place int, label string"), "label", "place", 4).collect()
+    assert [r.place for r in got] == [0, 5000, 5001, 5002]
+
+
+def test_sparse_graph_measures_equal_dense_ones():
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        n = int(rng.integers(3, 15))
+        a, b = rng.integers(0, n, 25), rng.integers(0, n, 25)
+        m = np.zeros((n, n))
+        m[a, b] = m[b, a] = 1
+        np.fill_diagonal(m, 0)
+        d = m.sum(0)
+        near = graph.neighbours(n, a, b)
+        assert [sorted(x) for x in near] == [np.flatnonzero(r).tolist() for r in m]
+        assert abs(graph.mean_clustering(near) - np.mean(np.where(d > 1, np.einsum("ij,jk,ki->i", m, m, m) / np.maximum(1, d * (d - 1)), 0))) < 1e-9
+        v = np.full(n, n**-0.5)
+        for _ in range(100):
+            v = m @ v + v
+            v /= np.linalg.norm(v)
+        assert np.allclose(graph.leading_vector(near), v)
+    two = [{1, 2}, {0, 2}, {0, 1}, {4, 5}, {3, 5}, {3, 4}]
+    assert graph.modularity_groups(two) == 2 and graph.modularity_groups([set(), set()]) == 2 and graph.modularity_groups([{1, 2, 3}, {0, 2, 3}, {0, 1, 3}, {0, 1, 2}]) == 1
+
+
+def test_disk_state(spark, tmp_path):
+    from tidewake.plans import health
+
+    assert health.should_pause_ingest(spark, f"file://{tmp_path}", 1e9) and not health.should_pause_ingest(spark, f"file://{tmp_path}", 0)

@@ -14,7 +14,7 @@ BASE = {
     "confidence": 0.75, "cross_topic": False, "strong_match_count": 0, "content_noise": False, "circadian_anomaly": False,
 }
 CASES = {
-    "batch": ({"post_count": 5, "batch_artifact": True, "coordination": 1.0}, {"batch_artifact"}, True, 0.0),
+    "batch": ({"post_count": 5, "batch_artifact": True, "coordination": 1.0}, {"gdelt_batch_artifact"}, True, 0.0),
     "few posts": ({"post_count": 6, "unique_domain_count": 4, "source_diversity": 0.4, "confidence": 0.55}, {"confidence_threshold", "insufficient_evidence"}, True, 70.0),
     "single source": ({"post_count": 21, "unique_domain_count": 1, "source_diversity": 0.0, "mutation": 0.03, "narrative_coherence": 0.22, "dna_match_count": -1, "confidence": 0.4}, {"confidence_threshold", "single_source_cluster"}, True, 15.0),
     "known wire": ({"post_count": 30, "unique_domain_count": 25, "source_diversity": 0.85, "mutation": 0.05, "wire_known": True, "dna_match_count": 0}, {"wire_service"}, False, 25.0),
@@ -24,7 +24,7 @@ CASES = {
     "small and single": ({"post_count": 5, "unique_domain_count": 1, "source_diversity": 0.0, "coordination": 1.02}, {"insufficient_evidence", "single_source_cluster"}, False, 15.0),
     "true coordination": ({"post_count": 25, "unique_domain_count": 12, "source_diversity": 0.7, "burst": 4.5, "mutation": 0.08, "coordination": 1.4, "narrative_coherence": 0.78, "shared_entity_count": 8, "dna_match_count": 4, "confidence": 0.85}, set(), False, 100.0),
     "organic": ({"post_count": 100, "unique_domain_count": 50, "source_diversity": 0.7, "burst": 2.0, "mutation": 0.25, "narrative_coherence": 0.45, "dna_match_count": 1}, set(), False, 100.0),
-    "terminal beats all": ({"post_count": 10, "batch_artifact": True, "burst": 30.0, "mutation": 0.5, "coordination": 5.0, "wire_hash": True, "source_diversity": 0.7}, {"batch_artifact"}, True, 0.0),
+    "terminal beats all": ({"post_count": 10, "batch_artifact": True, "burst": 30.0, "mutation": 0.5, "coordination": 5.0, "wire_hash": True, "source_diversity": 0.7}, {"gdelt_batch_artifact"}, True, 0.0),
     "low activity": ({"post_count": 6, "coordination": 1.02, "burst": 1.0}, {"insufficient_evidence", "normal_news_cycle"}, False, 35.0),
     "boundary 9": ({"post_count": 9}, {"insufficient_evidence"}, False, 70.0),
     "boundary 4": ({"post_count": 4}, {"insufficient_evidence"}, False, 40.0),
