@@ -1,8 +1,8 @@
 """Near-duplicate documents by a chosen-path set similarity join over word shingles.
 
 1. Each document's set of five-word shingles is hashed; documents with the same set are one class, represented by its least id.
-2. Independent trees branch the representatives recursively: a document goes down a tree by the tree's minwise tokens, one a level. A node
-   of one document ends there; a small one is compared at once; a larger one branches on, to ``DEPTH`` levels at most. Two sets of
+2. Independent trees branch the representatives recursively: a document goes down a tree by the tree's minwise tokens, two a step. A node
+   of one document ends there; a small one is compared at once; a larger one branches on, to ``DEPTH`` tokens at most. Two sets of
    similarity J stay together at least with probability J^4 in each tree. Nineteen trees miss a pair of similarity 0.85 with a
    probability of 1e-6 (``recall``).
 3. Nodes are compared exhaustively on sketches of 76 minwise hashes: small nodes as pairs, larger ones by vectorised tasks. Pairs that
@@ -17,6 +17,7 @@ of each block's components with each other. What is still apart after that, and
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from math import ceil, comb, log
 
 import numpy as np
@@ -30,6 +31,8 @@ from tidewake.llm.components import components
 
 SHINGLE = 5
 DEPTH = 4
+#: Tokens that a path has where nodes are looked at: above the last step they may end early.
+STEPS = (2, DEPTH)
 #: The probability that the trees, and again that the sketches, miss a pair at the threshold.
 MISS = 1e-6
 MOST_HASHES = 4096
@@ -241,7 +244,9 @@ def _spanning(members: DataFrame, data: DataFrame, make: Callable[[], Find], blo
                 apart = part.column("x")[0].as_py() != part.column("y")[0].as_py()
                 edges = find(part.column("data").to_pylist(), part.column("side").to_numpy() if apart else None, part.column("comp").to_numpy())
                 reps, family = part.column("rep").to_numpy(), part.column("family")[0].as_py()
-                forest = _Forest(hi - lo)
+                forest, known = _Forest(hi - lo), {}
+                for i, c in enumerate(part.column("comp").to_pylist()):  # what is known to hang together
+                    forest.join(known.setdefault(c, i), i)
                 for i, j in edges.tolist():
                     forest.join(i, j)
                 # all but roots have an edge; where more is to come, a root is its own
@@ -252,7 +257,8 @@ def _spanning(members: DataFrame, data: DataFrame, make: Callable[[], Find], blo
                 yield pa.RecordBatch.from_arrays([pa.array(out[:, k]) for k in range(3)], ["family", "rep", "root"])
 
     def dealt(rows: DataFrame) -> DataFrame:
-        rows = rows.join(data, "rep").select("family", "x", "y", "rep", "side", "comp", "more", "data")
+        # stored, so that the size of what is looked for is known when the join with the data is planned
+        rows = stored(rows, "cells").join(data, "rep").select("family", "x", "y", "rep", "side", "comp", "more", "data")
         return rows.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(compare, "family long, rep long, root long")
 
     def edges(found: DataFrame) -> DataFrame:
@@ -268,10 +274,13 @@ def _spanning(members: DataFrame, data: DataFrame, make: Callable[[], Find], blo
     one = Window.partitionBy("family", "root")  # within a block
     ranked = of_large.withColumn("n", F.count("*").over(one)).withColumn("r", F.row_number().over(one.orderBy(F.col("rep") != F.col("root"), F.xxhash64("rep"))))
     pivots = ranked.where((F.col("n") > 1) & (F.col("r") <= PIVOTS)).select("family", "rep", F.col("root").alias("comp"))
-    pivots = pivots.join(pivots.groupBy("family").agg(F.count("*").alias("size")), "family").withColumn("more", F.lit(False))
-    joined = stored(edges(found).unionByName(edges(dealt(_blocks(pivots, F.col("size"), block, "rep")))), "spanning")
-    label = components(joined)
-    named = large.join(label, large.rep == label.node, "left").select("family", "rep", F.coalesce("component", "rep").alias("comp"))
+    pivots = pivots.join(pivots.groupBy("family").agg(F.count("*").alias("size")), "family").withColumn("more", F.lit(True))
+    met = stored(dealt(_blocks(pivots, F.col("size"), block, "rep")), "spanning")
+    joined = edges(found).unionByName(edges(met))
+    # names of what is known to hang together: where pivots fill several blocks it may have several names, which only costs comparisons
+    label = met.groupBy("family", F.col("rep").alias("root")).agg(F.min("root").alias("label"))
+    named = of_large.join(label, ["family", "root"], "left").select("family", "rep", F.coalesce("label", "root").alias("comp"))
+    named = stored(named, "named")
     sizes = stored(named.groupBy("family", "comp").agg(F.count("*").alias("n")), "parts")
     split = sizes.groupBy("family").agg(F.count("*").alias("parts"), F.sum(F.when(F.col("n") <= block / 2, F.col("n")).otherwise(0)).alias("few")).where("parts > 1")
     # blocks of a family: those of each large component, and shared ones of the small components
@@ -319,19 +328,22 @@ def _candidates(reps: DataFrame, trees: int, alike_least: int) -> DataFrame:
     """(a, b): edges between representatives whose sketches are alike; a spanning forest of each node's."""
     hashes = trees * DEPTH
     going = reps.select("rep", "sketch", F.sequence(F.lit(0), F.lit(trees - 1)).alias("trees"))
-    small = []
-    for level in range(1, DEPTH + 1):
-        most = SMALL_NODE if level == DEPTH else EARLY_NODE
-        member = stored(_branches(going, hashes, level), "branches")
-        nodes = stored(member.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "nodes")
-        small.append(member.join(nodes.where(F.col("size") <= most), "node").groupBy("node").agg(F.sort_array(F.collect_set("rep")).alias("m")).select("m"))
-        large = member.join(nodes.where(F.col("size") > most), "node")
-        if level < DEPTH:
-            going = large.groupBy("rep").agg(F.collect_list("tree").alias("trees")).join(reps, "rep").select("rep", "sketch", "trees")
-    sets = small[0]
-    for more in small[1:]:
-        sets = sets.unionByName(more)
-    pairs = sets.distinct().select(F.posexplode("m").alias("i", "a"), "m").select("a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b")).distinct()
+    two, few = [], []
+    for tokens in STEPS:
+        last = tokens == DEPTH
+        most = SMALL_NODE if last else EARLY_NODE
+        member = stored(_branches(going, hashes, tokens), "branches")
+        nodes = stored(member.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("a"), F.max("rep").alias("b")).where("size > 1"), "nodes")
+        two.append(nodes.where("size = 2 and a < b").select("a", "b"))
+        some, large = (stored(nodes.where(c).select("node", "size"), "nodes") for c in ((F.col("size") > 2) & (F.col("size") <= most), F.col("size") > most))
+        rows = member.join(large, "node", "left_anti").join(some.select("node"), "node")  # no large node is a key of the second join
+        few.append(rows.groupBy("node").agg(F.sort_array(F.collect_set("rep")).alias("m")).select("m"))
+        large = member.join(large, "node")
+        if not last:
+            going = stored(large.groupBy("rep").agg(F.collect_list("tree").alias("trees")), "going").join(reps, "rep").select("rep", "sketch", "trees")
+    sets = reduce(DataFrame.unionByName, few).distinct()
+    of_sets = sets.select(F.posexplode("m").alias("i", "a"), "m").select("a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b"))
+    pairs = reduce(DataFrame.unionByName, [*two, of_sets]).distinct()
     a, b = (reps.select(F.col("rep").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,6 +363,8 @@ def _links(df: DataFrame, families: DataFrame, key: str, text: str, percent: int
     """(a, b): edges that join what links by full sets within families."""
     members = families.join(families.groupBy("family").agg(F.count("*").alias("size")), "family")
     texts = df.select(F.col(f"`{key}`").cast("long").alias("rep"), F.col(f"`{text}`").alias("data"))
+    # the texts that are looked at, once: all passes read these only
+    texts = stored(texts.join(families.select("rep").distinct(), "rep", "left_semi"), "texts")
     return _spanning(members, texts, lambda: linked(percent), FAMILY_BLOCK, 64)
 
 
