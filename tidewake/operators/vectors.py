@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -79,11 +80,37 @@ def similar_pairs(df: DataFrame, key: str, vector: str, least: float, block: int
     return dealt.groupBy("x", "y").applyInArrow(run, "a long, b long, score double")
 
 
-def nearest_centroid(df: DataFrame, key: str, vector: str, centroids_: DataFrame, group: str, least: float = 0.65) -> DataFrame:
+def nearest_centroid(df: DataFrame, key: str, vector: str, centroids_: DataFrame, group: str, least: float = 0.65, block: int = 4096) -> DataFrame:
     """(key, group, score) of the most similar centroid of at least ``least``, ties to the smaller group.
 
-    Centroids are one row a group; they are broadcast by Spark only while their measured size is under its threshold.
+    Rows and centroids are dealt into blocks by hash; each pair of blocks is one task that multiplies two matrices and hands back one
+    candidate a row, so no pair of row and centroid leaves a task.
     """
-    scored = df.where(F.col(vector).isNotNull()).select(key, vector).crossJoin(centroids_.select(group, "centroid")).select(key, group, cosine_soft(F.col(vector), F.col("centroid")).alias("score"))
-    best = scored.groupBy(key).agg(F.max(F.struct(F.round("score", 6).alias("score"), (-F.col(group)).alias("g"))).alias("best"))
-    return best.where(F.col("best.score") >= least).select(key, (-F.col("best.g")).alias(group), F.col("best.score").alias("score"))
+    import numpy as np
+    import pyarrow as pa
+
+    kinds = [df.schema[key].dataType.simpleString(), centroids_.schema[group].dataType.simpleString()]
+    whole = lambda c: F.transform(c, lambda x: x.cast("double"))
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), whole(vector).alias("v"))
+    cents = centroids_.where(F.col("centroid").isNotNull()).select(F.col(group).alias("g"), whole("centroid").alias("c"))
+    row_blocks, cent_blocks = (max(1, -(-d.count() // block)) for d in (rows, cents))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.select("k", "v", own("k", row_blocks).alias("x")).withColumn("y", each(cent_blocks))
+    right = cents.select("g", "c", own("g", cent_blocks).alias("y")).withColumn("x", each(row_blocks))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"k": pa.array([], types[0]), "g": pa.array([], types[1]), "score": pa.array([], pa.float64())})
+        b = b.sort_by("g")
+        v, c = (np.array(t.column(n).to_pylist(), float) for t, n in ((a, "v"), (b, "c")))
+        s = np.round(v @ c.T / ((np.linalg.norm(v, axis=1)[:, None] + 1e-8) * (np.linalg.norm(c, axis=1) + 1e-8)), 6)
+        best = s.argmax(1)
+        score = s[np.arange(len(v)), best]
+        keep = np.flatnonzero(score >= least)
+        return pa.table({"k": a.column("k").take(pa.array(keep)), "g": b.column("g").take(pa.array(best[keep])), "score": score[keep]})
+
+    types = [to_arrow_type(rows.schema["k"].dataType), to_arrow_type(cents.schema["g"].dataType)]
+    found = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(run, f"k {kinds[0]}, g {kinds[1]}, score double")
+    best = found.groupBy("k").agg(F.max("score").alias("score"), F.min_by("g", F.struct(-F.col("score"), F.col("g"))).alias("g"))
+    return best.select(F.col("k").alias(key), F.col("g").alias(group), "score")
