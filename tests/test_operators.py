@@ -135,19 +135,31 @@ def test_components_and_campaigns(spark):
     assert got == {1: ([1, 2, 3], "L3"), 10: ([10, 11, 12], "L12")}
 
 
-def test_density_clusters_of_large_shards(spark, monkeypatch):
-    """In blocks as with the whole matrix; and over 10,000 rows by default."""
+@pytest.mark.parametrize("edges", [8, 2])
+def test_density_clusters_in_blocks_equal_those_of_the_whole(spark, monkeypatch, edges):
+    """Several shards and block sizes, equal rows, ties; with few edges a row forests are thinned in rounds."""
+    monkeypatch.setattr(clustering, "EDGES", edges)
     rng = np.random.default_rng(3)
-    x = np.concatenate([c + rng.normal(scale=0.2, size=(100, 4)) for c in np.eye(4) * 4])
-    whole = clustering.density_labels(x, 10)
-    monkeypatch.setattr(clustering, "HELD", 7 * len(x))
-    assert (clustering.density_labels(x, 10) == whole).all() and len(set(whole) - {-1}) >= 3
-    monkeypatch.undo()
-    y = [[*v] for c in np.eye(3) * 4 for v in (c + rng.normal(scale=0.1, size=(3400, 3))).tolist()]
-    got = clustering.density_clusters(spark.createDataFrame(list(enumerate(y)), "k long, v array<double>"), "k", "v", sizes=(2000,)).collect()
-    found = {r.k // 3400: set() for r in got}
+    x = {s: np.concatenate([np.round(c + rng.normal(scale=0.2, size=(n, 4)), 1) for c in np.eye(4) * 4]) for s, n in (("a", 30), ("b", 11), ("c", 1))}
+    rows = [(f"{s}{k:03d}", s, v.tolist()) for s, m in x.items() for k, v in enumerate(m)]
+    df = spark.createDataFrame(rows + [("null", "a", None)], "k string, s string, v array<double>")
+    want = {}
+    for s, m in x.items():
+        u = m / np.linalg.norm(m, axis=1)[:, None]
+        for size in (3, 10):
+            want |= {(f"{s}{k:03d}", clustering.RESOLUTIONS[size]): f"{s}/{clustering.RESOLUTIONS[size]}/{c}" for k, c in enumerate(clustering.density_labels(u, size)) if c >= 0}
+    assert len(set(want.values())) > 6
+    for block in (17, 1000):
+        assert {(r.k, r.resolution): r.cluster for r in clustering.density_clusters(df, "k", "v", (3, 10), "s", block).collect()} == want
+
+
+def test_density_clusters_of_a_shard_of_many_blocks(spark):
+    rng = np.random.default_rng(3)
+    y = [[*v] for c in np.eye(3) * 4 for v in (c + rng.normal(scale=0.1, size=(700, 3))).tolist()]
+    got = clustering.density_clusters(spark.createDataFrame(list(enumerate(y)), "k long, v array<double>"), "k", "v", sizes=(300,), block=500).collect()
+    found = {r.k // 700: set() for r in got}
     for r in got:
-        found[r.k // 3400].add(r.cluster)
+        found[r.k // 700].add(r.cluster)
     assert len(found) == 3 and all(len(c) == 1 for c in found.values()) and len(set.union(*found.values())) == 3
 
 
@@ -160,8 +172,8 @@ def test_density_clusters_find_planted_blobs(spark):
     assert len(set(labels) - {-1}) == 3 and (labels >= 0).mean() > 0.8
     assert all(len(set(truth[labels == k])) == 1 for k in set(labels) - {-1})
     assert (clustering.density_labels(x[:5], 10) == -1).all()
-    with pytest.raises(Exception, match="too large"):
-        clustering.density_clusters(spark.createDataFrame([(i, [1.0]) for i in range(5)], "k long, v array<double>"), "k", "v", most=3).collect()
+    assert clustering.density_clusters(spark.createDataFrame([(i, [1.0]) for i in range(5)], "k long, v array<double>"), "k", "v", (3,)).count() == 0
+    assert clustering.density_clusters(spark.createDataFrame([], "k long, v array<double>"), "k", "v").count() == 0
 
 
 def test_cadence_against_direct_formulas():
@@ -403,3 +415,16 @@ def test_disk_state(spark, tmp_path):
     from tidewake.plans import health
 
     assert health.should_pause_ingest(spark, f"file://{tmp_path}", 1e9) and not health.should_pause_ingest(spark, f"file://{tmp_path}", 0)
+
+
+def test_nearest_centroids_in_blocks(spark):
+    rng = np.random.default_rng(6)
+    v, c = rng.normal(size=(50, 5)), rng.normal(size=(9, 5))
+    c[7] = c[2]  # a tie goes to the smaller group
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)] + [(99, None)], "k long, v array<float>")
+    cents = spark.createDataFrame([(g, x.tolist()) for g, x in enumerate(c)], "g int, centroid array<double>")
+    s = v.astype(np.float32).astype(float) @ c.T / (np.linalg.norm(v, axis=1)[:, None] + 1e-8) / (np.linalg.norm(c, axis=1) + 1e-8)
+    want = {k: int(np.round(r, 6).argmax()) for k, r in enumerate(s) if np.round(r, 6).max() >= 0.5}
+    for block in (4, 1000):
+        assert {r.k: r.g for r in vectors.nearest_centroid(df, "k", "v", cents, "g", 0.5, block).collect()} == want
+    assert vectors.nearest_centroid(df, "k", "v", cents.limit(0), "g").count() == 0
