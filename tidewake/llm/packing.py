@@ -28,7 +28,7 @@ WINDOW = 4096
 #: With more sources than this, those without a target share so many queues by hash: a schedule's cost and size stay bounded.
 MOST_QUEUES = 4096
 #: Bytes of windows' states that a worker remembers.
-REMEMBERED = 32 << 20
+REMEMBERED = 8 << 20
 _FRACTION = 80
 
 
@@ -170,20 +170,20 @@ def pack(df: DataFrame, model_path: str, end_id: int, source: str = "source", ke
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schedule = Schedule(counts, weights, window)
-        for batch in batches:
-            for rows in text_slices(batch, "ids", 1 << 20):
-                q, start, n = (rows.column(c).to_pylist() for c in ("q", "start", "n"))
-                which, out = [], []
-                for i in range(len(q)):
-                    for piece in schedule.pieces(q[i], start[i], n[i]):
-                        which.append(i)
-                        out.append(piece)
-                which, out = np.array(which), np.array(out, np.int64).reshape(-1, 4)
-                width = rows.column("width")[0].as_py()
-                ids = np.frombuffer(b"".join(rows.column("ids").to_pylist()), f"<u{width}").astype("<u4")  # pieces lie in the ids' order
-                first = offsets(np.array(n, np.int64))
-                assert len(ids) == first[-1] == out[:, 1].sum()
-                yield pa.RecordBatch.from_arrays([rows.column("key").take(pa.array(which)), pa.array(out[:, 0] - np.array(start)[which]), pa.array(out[:, 1]), pa.array(np.array(n, np.int64)[which]), pa.array(out[:, 2]), pa.array(out[:, 3]), binary_array(ids, out[:, 1])], [key, "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+        for rows in (rows for batch in batches for rows in text_slices(batch, "ids", 1 << 20)):
+            q, start, n = (rows.column(c).to_pylist() for c in ("q", "start", "n"))
+            which, out = [], []
+            for i in range(len(q)):
+                for piece in schedule.pieces(q[i], start[i], n[i]):
+                    which.append(i)
+                    out.append(piece)
+            which, out = np.array(which), np.array(out, np.int64).reshape(-1, 4)
+            width = rows.column("width")[0].as_py()
+            ids = np.frombuffer(b"".join(rows.column("ids").to_pylist()), f"<u{width}").astype("<u4")  # pieces lie in the ids' order
+            first = offsets(np.array(n, np.int64))
+            assert len(ids) == first[-1] == out[:, 1].sum()
+            yield pa.RecordBatch.from_arrays([rows.column("key").take(pa.array(which)), pa.array(out[:, 0] - np.array(start)[which]), pa.array(out[:, 1]), pa.array(np.array(n, np.int64)[which]), pa.array(out[:, 2]), pa.array(out[:, 3]), binary_array(ids, out[:, 1])], [key, "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+        schedule.sent.cache_clear()  # it refers to itself: without this its states would wait for the collector
 
     placed = encoded.join(bases, ["queue", "part"]).select("key", "q", (F.col("base") + F.col("local")).alias("start"), "n", "width", "ids")
     return placed.mapInArrow(cut, f"`{key}` {key_type}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
