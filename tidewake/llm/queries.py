@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import html_extract, line_dedup, near_dedup, packing, quality_classifier, quality_rules, sentencepiece_bpe, token_files, topk_search, warc_store
-from tidewake.llm._shared import scratch
+from tidewake.llm import html_extract, line_dedup, near_dedup, packing, prefix_trie, quality_classifier, quality_rules, sentencepiece_bpe, token_files, topk_search, warc_store
+from tidewake.llm._shared import scratch, stored
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
@@ -66,9 +66,15 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = stored(prefix_trie.numbered_turns(table(spark, sf_dir, "conversations")), "turns")
+    nodes = prefix_trie.trie(prefix_trie.rebuilt(turns))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_classifier, op3_quality_rules, op4_warc, op5_line_dedup, op6_token_files, op7_packing, op8_html_extract, op9_near_dedup, op10_topk_search)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_classifier, op3_quality_rules, op4_warc, op5_line_dedup, op6_token_files, op7_packing, op8_html_extract, op9_near_dedup, op10_topk_search, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality_rules.ORACLE, "op4_warc": warc_store.ORACLE, "op9_near_dedup": near_dedup.ORACLE, "op10_topk_search": topk_search.ORACLE}
+    return {"op3_quality_rules": quality_rules.ORACLE, "op4_warc": warc_store.ORACLE, "op9_near_dedup": near_dedup.ORACLE, "op10_topk_search": topk_search.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE}
