@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import html_extract, line_dedup, near_dedup, packing, prefix_trie, quality_classifier, quality_rules, sentencepiece_bpe, token_files, topk_search, warc_store
+from tidewake.llm import byte_bpe, html_extract, line_dedup, near_dedup, packing, prefix_trie, quality_classifier, quality_rules, sentencepiece_bpe, token_files, topk_search, warc_store
 from tidewake.llm._shared import scratch, stored
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+BYTE_MODEL = public_tokenizers.path("byte_bpe_50k.json")
 WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -66,6 +67,11 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = byte_bpe.encode_decode(table(spark, sf_dir, "documents"), BYTE_MODEL)
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = stored(prefix_trie.numbered_turns(table(spark, sf_dir, "conversations")), "turns")
     nodes = prefix_trie.trie(prefix_trie.rebuilt(turns))
@@ -73,7 +79,7 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_classifier, op3_quality_rules, op4_warc, op5_line_dedup, op6_token_files, op7_packing, op8_html_extract, op9_near_dedup, op10_topk_search, op13_prefix_trie)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_classifier, op3_quality_rules, op4_warc, op5_line_dedup, op6_token_files, op7_packing, op8_html_extract, op9_near_dedup, op10_topk_search, op11_byte_bpe, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
