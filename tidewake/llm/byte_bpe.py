@@ -212,7 +212,7 @@ class Encoder:
 
         def flush() -> None:
             flat, per = self.memory.ids(words)
-            at = np.concatenate([[0], np.cumsum(per)])[np.concatenate([[0], np.cumsum([n for _, n in counts])])]
+            at = offsets(per)[offsets(np.array([n for _, n in counts], np.int64))]
             for (k, _), n in zip(counts, np.diff(at).tolist()):
                 lengths[k] += n
             done.append(flat)

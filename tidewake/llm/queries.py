@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import byte_bpe, html_extract, line_dedup, near_dedup, packing, prefix_trie, quality_classifier, quality_rules, sentencepiece_bpe, token_files, topk_search, warc_store
+from tidewake.llm import byte_bpe, hard_negatives, html_extract, line_dedup, near_dedup, packing, prefix_trie, quality_classifier, quality_rules, sentencepiece_bpe, token_files, topk_search, warc_store
 from tidewake.llm._shared import scratch, stored
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -72,6 +72,11 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = stored(prefix_trie.numbered_turns(table(spark, sf_dir, "conversations")), "turns")
     nodes = prefix_trie.trie(prefix_trie.rebuilt(turns))
@@ -79,8 +84,8 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_classifier, op3_quality_rules, op4_warc, op5_line_dedup, op6_token_files, op7_packing, op8_html_extract, op9_near_dedup, op10_topk_search, op11_byte_bpe, op13_prefix_trie)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_quality_classifier, op3_quality_rules, op4_warc, op5_line_dedup, op6_token_files, op7_packing, op8_html_extract, op9_near_dedup, op10_topk_search, op11_byte_bpe, op12_hard_negatives, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality_rules.ORACLE, "op4_warc": warc_store.ORACLE, "op9_near_dedup": near_dedup.ORACLE, "op10_topk_search": topk_search.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE}
+    return {"op3_quality_rules": quality_rules.ORACLE, "op4_warc": warc_store.ORACLE, "op9_near_dedup": near_dedup.ORACLE, "op10_topk_search": topk_search.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE}
