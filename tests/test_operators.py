@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewake.functions import register
 from tidewake.functions import text as tx
-from tidewake.operators import campaigns, clustering, components, fingerprint, graph, lifecycle, relational, report, retention, sets, temporal, vectors
+from tidewake.operators import campaigns, clustering, components, fingerprint, follows, graph, lifecycle, relational, report, retention, sets, temporal, vectors
 from tidewake.plans import storage
 from tidewake.sources import landing
 from tidewake.streaming import jobs
@@ -76,12 +76,12 @@ def test_interval_join_is_the_plain_join(spark, rows):
         for h, r, u in rows:
             if g == h and s != r and 0 < u - t <= 7200:
                 want[g, s, r] = want.get((g, s, r), 0) + 1
-    assert {(r.g, r.src, r.dst): r.weight for r in temporal.interval_join(df, "s", "ts", 7200, ("g",)).collect()} == want
+    assert {(r.g, r.src, r.dst): r.weight for r in follows.interval_join(df, "s", "ts", 7200, ("g",)).collect()} == want
 
 
 def test_interval_edges(spark):
     df = spark.createDataFrame([("a", 0), ("b", 7200), ("c", 7201)], "s string, t int").select("s", F.timestamp_seconds("t").alias("ts"))
-    assert {(r.src, r.dst) for r in temporal.interval_join(df, "s", "ts", 7200).collect()} == {("a", "b"), ("b", "c")}
+    assert {(r.src, r.dst) for r in follows.interval_join(df, "s", "ts", 7200).collect()} == {("a", "b"), ("b", "c")}
 
 
 def test_burst_edges(spark):
@@ -360,7 +360,7 @@ def test_hot_keys_are_spread(spark, spread):
         for r, u in rows:
             if s != r and 0 < u - t <= 3000:
                 want[s, r] = want.get((s, r), 0) + 1
-    assert {(r.src, r.dst): r.weight for r in temporal.interval_join(df, "s", "ts", 3000, (), spread).collect()} == want
+    assert {(r.src, r.dst): r.weight for r in follows.interval_join(df, "s", "ts", 3000, (), spread).collect()} == want
     items = {m: {int(x) for x in rng.integers(0, 4, 3)} for m in range(12)}
     df = spark.createDataFrame([(0, m, x) for m, s in items.items() for x in s] * 2, "g int, m int, x int")
     got = {(r.a, r.b): (r.shared, r.size_a, r.size_b) for r in sets.pair_overlap(df, "a", "b", ("g",), "x", "m", spread).collect()}

@@ -1,4 +1,4 @@
-"""Time-ordered operators: gaps, bursts, cadence, interval joins, derivatives and correlated series."""
+"""Time-ordered operators: gaps, bursts, cadence, derivatives and correlated series."""
 
 from __future__ import annotations
 
@@ -53,28 +53,6 @@ def batch_artifact(n: Column, gap_mean: Column, gap_std: Column, feed_share: Col
     return F.coalesce((n >= 5) & (gap_mean >= 1) & (all_feed | mostly), F.lit(False))
 
 
-#: Rows of a join key that one task takes; the rows of keys with more are dealt to several.
-SPREAD = 20_000
-
-
-def interval_join(events: DataFrame, source: str, ts: str, width: int, by: tuple[str, ...] = (), spread: int = SPREAD) -> DataFrame:
-    """(by, src, dst, weight): pairs of events of different sources, the later within ``width`` seconds after the earlier.
-
-    Time is cut into buckets of ``width``: an event can only be followed by events of its own bucket or the next, so the left side goes to
-    two buckets and the range condition becomes an equi-join, which deals by (keys, bucket). A bucket of over ``spread`` events has its
-    right side dealt into as many parts, and its left side repeated for each, so a burst is shared by many tasks.
-    """
-    e = events.where(F.col(ts).isNotNull()).select(*by, F.col(source).alias("s"), seconds(F.col(ts)).alias("t")).withColumn("bucket", F.floor(F.col("t") / width))
-    keys = [*by, "bucket"]
-    hot = e.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > spread).select(*keys, F.ceil(F.col("n") / spread).cast("int").alias("parts"))
-    parts = F.coalesce("parts", F.lit(1))
-    left = e.select(*by, F.col("s").alias("src"), F.col("t").alias("ta"), F.explode(F.array("bucket", F.col("bucket") + 1)).alias("bucket"))
-    left = left.join(hot, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-    right = e.join(hot, keys, "left").select(*keys, F.col("s").alias("dst"), F.col("t").alias("tb"), F.pmod(F.xxhash64("s", "t"), parts).cast("int").alias("part"))
-    hit = left.join(right, [*keys, "part"]).where(f"src <> dst and tb > ta and tb <= ta + {width}")
-    return hit.groupBy(*by, "src", "dst").agg(F.count("*").alias("weight"))
-
-
 def derivatives(series: DataFrame, key: str, ts: str, value: str) -> DataFrame:
     """First and second derivative per hour of each key's series, and the rank from the newest."""
     w = Window.partitionBy(key).orderBy(ts)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewake.functions import fixed_values as fixed
 from tidewake.functions import text as tx
-from tidewake.operators import clustering, relational, sets, temporal, vectors
+from tidewake.operators import clustering, follows, relational, sets, temporal, vectors
 from tidewake.plans.registry import query
 from tidewake.plans.views import CTES, bare_sql, clustered, entities, netloc_sql, posts, quoted, table, title_words, with_parts
 from tidewake.sources import landing
@@ -230,7 +230,7 @@ def c04_semi_max_id(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT a.user_id AS src, b.user_id AS dst, count(*) AS weight FROM events a JOIN events b ON a.user_id <> b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 7200 SECONDS GROUP BY ALL")
 def c06_interval_join(spark: SparkSession, d: str) -> DataFrame:
-    return temporal.interval_join(table(spark, d, "events"), "user_id", "ts", 7200)
+    return follows.interval_join(table(spark, d, "events"), "user_id", "ts", 7200)
 
 
 #: The cosine that counts as a match of the driver's vectors, which are less alike than fingerprints.

@@ -185,7 +185,7 @@ def o14_reviews(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_parts("SELECT (SELECT count(DISTINCT n) FROM nb) AS nodes, (SELECT count(*) FROM un) AS links, (SELECT max(c) FROM (SELECT count(*) AS c FROM nb GROUP BY n)) AS most", "un", "nb"))
 def o15_graph_status(spark: SparkSession, d: str) -> DataFrame:
-    c = graph.clustering(_edges(spark, d))
+    c = graph.degrees(graph.undirected(_edges(spark, d)))
     return c.agg(F.count("*").alias("nodes"), F.floor(F.sum("degree") / 2).alias("links"), F.max("degree").alias("most"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.functions import fixed_values as fixed
-from tidewake.operators import campaigns, clustering, credibility, fingerprint, graph, lifecycle, relational, report, retention, rules, signals, temporal, vectors
+from tidewake.operators import campaigns, clustering, credibility, fingerprint, follows, graph, lifecycle, relational, report, retention, rules, signals, temporal, vectors
 from tidewake.operators.components import components
 from tidewake.plans.core import _PAIRS, ALIKE, _domains, r4
 from tidewake.plans import scenarios
@@ -360,7 +360,7 @@ CTES["nb"] = "SELECT u AS n, v AS m FROM un UNION ALL SELECT v, u FROM un"
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
     """All edges, as in the SQL: only l01's are cut to a node's heaviest."""
-    return temporal.interval_join(table(spark, d, "events"), "user_id", "ts", 600)
+    return follows.interval_join(table(spark, d, "events"), "user_id", "ts", 600)
 
 
 @query(with_parts("SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS r FROM eg) WHERE r <= 100", "eg"))
