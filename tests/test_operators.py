@@ -147,7 +147,8 @@ def test_density_clusters_in_blocks_equal_those_of_the_whole(spark, monkeypatch,
     for s, m in x.items():
         u = m / np.linalg.norm(m, axis=1)[:, None]
         for size in (3, 10):
-            want |= {(f"{s}{k:03d}", clustering.RESOLUTIONS[size]): f"{s}/{clustering.RESOLUTIONS[size]}/{c}" for k, c in enumerate(clustering.density_labels(u, size)) if c >= 0}
+            labels = clustering.density_labels(u, size).tolist()
+            want |= {(f"{s}{k:03d}", clustering.RESOLUTIONS[size]): f"{s}/{clustering.RESOLUTIONS[size]}/{s}{labels.index(c):03d}" for k, c in enumerate(labels) if c >= 0}
     assert len(set(want.values())) > 6
     for block in (17, 1000):
         assert {(r.k, r.resolution): r.cluster for r in clustering.density_clusters(df, "k", "v", (3, 10), "s", block).collect()} == want

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tidewake.plans.storage import kept
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -50,26 +56,94 @@ def mutation(df: DataFrame, key: str, vector: str) -> DataFrame:
     return per.select(key, F.when(F.col("n") < 2, 0.5).otherwise(F.least(F.lit(1.0), 10 * F.col("v"))).alias("mutation"), F.when(F.col("n") < 2, 0.0).otherwise(F.col("m")).alias("similarity"))
 
 
+#: Pivots at most, rings of angles around a pivot at most, blocks whose pairs one task weighs.
+PIVOTS, RINGS, GROUP = 1024, 64, 1024
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(np.linalg.norm(v, axis=1), 1e-10)[:, None]
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.array(column.to_pylist(), float).reshape(len(column), -1)
+
+
+def angular_blocks(rows: DataFrame, block: int) -> tuple[DataFrame, np.ndarray]:
+    """``rows`` (k, v) with ``pivot``, ``angle`` (to it) and ``own`` (the block), and the pivots.
+
+    Pivots are rows of the lowest hashes; each row goes to its nearest. A pivot with over ``block`` rows is cut into rings of equal counts, a
+    ring that is still too large (copies) is dealt into parts by hash.
+    """
+    n = rows.count()
+    few = rows.where(norm(F.col("v")) > 0).orderBy(F.xxhash64("k"), "k").limit(max(1, min(PIVOTS, 2 * -(-n // block))))
+    found = few.select("v").toArrow().column("v")
+    pivots = _unit(_matrix(found)) if len(found) else np.zeros((1, 0))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cos = np.clip(_unit(_matrix(batch.column("v"))) @ pivots.T, -1, 1)
+            best = cos.argmax(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best.astype(np.int32)), pa.array(np.arccos(cos[np.arange(len(best)), best]))], [*batch.schema.names, "pivot", "angle"])
+
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    placed = kept(rows.mapInArrow(nearest, f"{kind}, pivot int, angle double"), "placed")
+    steps = [k / RINGS for k in range(1, RINGS)]
+    per = placed.groupBy("pivot").agg(F.least(F.lit(RINGS), F.ceil(F.count("*") / block)).alias("rings"), F.percentile_approx("angle", steps).alias("steps"))
+    ring = F.floor(F.size(F.filter("steps", lambda x: x < F.col("angle"))) * F.col("rings") / RINGS).cast("int")
+    ringed = placed.join(per, "pivot").withColumn("ring", ring).drop("rings", "steps")
+    parts = ringed.groupBy("pivot", "ring").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    own = F.concat_ws("-", "pivot", "ring", F.pmod(F.xxhash64("k"), F.col("parts")))
+    return kept(ringed.join(parts, ["pivot", "ring"]).withColumn("own", own).drop("parts", "ring"), "blocks"), pivots
+
+
+def near_blocks(rows: DataFrame, pivots: np.ndarray, far: float) -> DataFrame:
+    """(x, y), x <= y: pairs of blocks in which two rows can be within the angle ``far``.
+
+    Angles obey the triangle inequality: rows x and y of pivots a and b are at least (a, b) - (x, a) - (y, b) apart, and at least
+    (x, a) - (a, b) - (y, b); each block's least and greatest angle bound these for all its rows.
+    """
+    spans = rows.groupBy("own").agg(F.first("pivot").alias("pivot"), F.min("angle").alias("lo"), F.max("angle").alias("hi"))
+    spans = kept(spans, "spans")
+    groups = max(1, -(-spans.count() // GROUP))
+    part = F.pmod(F.xxhash64("own"), F.lit(groups)).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda i: F.struct(F.least(i, part).alias("i"), F.greatest(i, part).alias("j")))
+    dealt = spans.withColumn("part", part).withColumn("cell", F.explode(cells)).select("own", "pivot", "lo", "hi", "part", "cell.*")
+
+    def run(group: pa.Table) -> pa.Table:
+        own, part_ = np.array(group.column("own").to_pylist(), object), group.column("part").to_numpy()
+        i, j = np.flatnonzero(part_ == group.column("i")[0].as_py()), np.flatnonzero(part_ == group.column("j")[0].as_py())
+        lo, hi, pivot = (group.column(c).to_numpy() for c in ("lo", "hi", "pivot"))
+        between = np.arccos(np.clip(pivots[pivot[i]] @ pivots[pivot[j]].T, -1, 1))
+        between[pivot[i][:, None] == pivot[j]] = 0
+        lo_i, hi_i, lo_j, hi_j = lo[i][:, None], hi[i][:, None], lo[j], hi[j]
+        apart = np.maximum(between - hi_i - hi_j, np.maximum(lo_i - between - hi_j, lo_j - between - hi_i))
+        x, y = np.nonzero(apart <= far)
+        x, y = own[i[x]], own[j[y]]
+        keep = x <= y if i is j or (len(i) == len(j) and (i == j).all()) else np.ones(len(x), bool)
+        x, y = x[keep], y[keep]
+        return pa.table({"x": pa.array(np.minimum(x, y), pa.string()), "y": pa.array(np.maximum(x, y), pa.string())})
+
+    return dealt.groupBy("i", "j").applyInArrow(run, "x string, y string")
+
+
 def similar_pairs(df: DataFrame, key: str, vector: str, least: float, block: int = 2048) -> DataFrame:
     """(a, b, score) of keys a < b whose vectors' cosine is at least ``least``, rounded to six places before the test.
 
-    Keys are dealt to blocks by hash; each pair of blocks is one task that multiplies two bounded matrices, so no side is ever broadcast or
-    held whole, and only pairs over the threshold leave a task. Zero vectors match nothing.
+    Rows are dealt into blocks around pivots; pairs of blocks that the triangle inequality of angles rules out are never shipped
+    (``near_blocks``), each other pair is one task that multiplies two bounded matrices. So no side is broadcast or held whole, and only pairs
+    over the threshold leave a task. Zero vectors match nothing, unless ``least`` is 0 or less, where no pair of blocks is ruled out.
     """
-    import numpy as np
-    import pyarrow as pa
-
-    rows = df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    blocks = max(1, -(-rows.count() // block))
-    own = F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.struct(F.least(i, own).alias("x"), F.greatest(i, own).alias("y")))
-    dealt = rows.withColumn("own", own).withColumn("cell", F.explode(cells)).select("k", "v", "own", F.col("cell.x").alias("x"), F.col("cell.y").alias("y"))
+    rows = kept(df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("k"), F.transform(vector, lambda x: x.cast("double")).alias("v")), "vectors")
+    rows, pivots = angular_blocks(rows, block)
+    far = np.pi if least <= 1e-6 else float(np.arccos(min(1.0, least - 1e-6))) + 1e-6
+    pairs = kept(near_blocks(rows, pivots, far), "pairs-of-blocks")
+    sides = pairs.select(F.col("x").alias("own"), "x", "y").unionByName(pairs.where("x <> y").select(F.col("y").alias("own"), "x", "y"))
+    dealt = rows.select("k", "v", "own").join(sides, "own")
 
     def run(group: pa.Table) -> pa.Table:
-        k, at = group.column("k").to_numpy(), group.column("own").to_numpy()
+        k, at = group.column("k").to_numpy(), np.array(group.column("own").to_pylist(), object)
         x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
-        v = np.array(group.column("v").to_pylist(), float)
-        v = v / np.maximum(np.linalg.norm(v, axis=1), 1e-10)[:, None]
+        v = _unit(_matrix(group.column("v")))
         left, right = np.flatnonzero(at == x), np.flatnonzero(at == y)
         i, j = np.nonzero(np.round(s := v[left] @ v[right].T, 6) >= least)
         score = np.round(s[i, j], 6)
@@ -86,9 +160,6 @@ def nearest_centroid(df: DataFrame, key: str, vector: str, centroids_: DataFrame
     Rows and centroids are dealt into blocks by hash; each pair of blocks is one task that multiplies two matrices and hands back one
     candidate a row, so no pair of row and centroid leaves a task.
     """
-    import numpy as np
-    import pyarrow as pa
-
     kinds = [df.schema[key].dataType.simpleString(), centroids_.schema[group].dataType.simpleString()]
     whole = lambda c: F.transform(c, lambda x: x.cast("double"))
     rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), whole(vector).alias("v"))
