@@ -461,6 +461,26 @@ def test_hierarchy_has_no_kept_node_under_a_dropped_one():
         assert all(kept[page.parent[k]] for k in range(1, len(kept)) if kept[k])
 
 
+@pytest.mark.parametrize("n", [3, 150, 150_000])
+def test_tags_of_many_attributes_leave_no_text(n):
+    page = html_extract.Page("<p>before</p><img " + "".join(f"a{i}='x>y' b=\">\" " for i in range(n)) + "><p>after</p>")
+    assert [t for _, t in page.pieces] == ["before", "after"]
+
+
+@pytest.mark.parametrize("source", ["<a '>' " * 150_000 + ">", '<a "' * 250_000 + ">", "<p a='\" b=\"'" * 90_000 + ">", "<a ' \" >" * 120_000, "<script '" * 100_000 + ">"])
+def test_quotes_that_never_close_cost_linear_time(source):
+    import time
+
+    began = time.perf_counter()
+    html_extract.Page(source)
+    assert time.perf_counter() - began < 5
+
+
+def test_ends_of_tags():
+    end = lambda s: html_extract.TagEnds(s).after(2)
+    assert end("<a>") == 2 and end("<a b='>'>") == 8 and end("<a b='> c>") == 6 and end("<a \"'\">'>") == 6
+
+
 def test_pages_of_the_driver(spark):
     import html
     import re

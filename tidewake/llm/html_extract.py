@@ -23,14 +23,11 @@ from pyspark.sql import DataFrame
 from tidewake.llm import boosted_trees
 from tidewake.llm._shared import text_slices
 
-#: Attributes: at most so many runs, so that what isn't closed is given up in time.
-_QUOTED = r"(?:\"[^\"]*\"|'[^']*'|[^>\"']++){0,200}+"
+#: Where markup begins: a comment, a declaration, or a tag; and what matters within a tag.
+_START = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*+))")
+_MARK = re.compile("[>\"']")
 #: Elements whose content is no text of the page: the raw ones end with the page if they aren't closed, the boxed ones need their end tag.
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|iframe|textarea|title)\b{_QUOTED}>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>"
-    rf"|<(/?)([a-zA-Z][^\s/>]*+)({_QUOTED})>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>",
-    re.S | re.I,
-)
+RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "iframe", "textarea", "title")}
 BOXED = frozenset("noscript template svg math object select canvas audio video".split())
 _BOX_END = re.compile(rf"</({'|'.join(sorted(BOXED))})\s*>", re.I)
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -59,6 +56,34 @@ _STATS = ["depth", "chars", "words", "links", "word_length", "stops", "commas",
 WIDTH = len(_STATS) + len(_TAGS) + 2 * len(_WORDS) + len(_IN)
 
 
+class TagEnds:
+    """Where tags of a page end: at the first ``>`` outside quotes, or, if quotes never close so that none follows, at the first one at all.
+
+    Linear in the page, whatever stands in its tags: a quote that led nowhere once leads nowhere for every tag before it.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.nowhere = source, set()
+        self.unclosed = {'"': len(source), "'": len(source)}  # from where on no such quote closes
+
+    def after(self, start: int) -> int:
+        opened, at = [], start
+        while m := _MARK.search(self.source, at):
+            at = m.start()
+            if m[0] == ">":
+                return at
+            if at in self.nowhere:
+                break
+            opened.append(at)
+            close = self.source.find(m[0], at + 1) if at < self.unclosed[m[0]] else -1
+            if close < 0:
+                self.unclosed[m[0]] = min(at, self.unclosed[m[0]])
+                break
+            at = close + 1
+        self.nowhere.update(opened)
+        return self.source.find(">", start)
+
+
 class Page:
     """Block nodes of a page in document order: parent, tag, attribute words, and pieces of text (each of one node)."""
 
@@ -120,23 +145,31 @@ class Page:
             node = stack[-1][1] if stack else 0
 
         stop = source.rfind(">") + 1  # behind it no tag is closed, so nothing is searched there but a comment
-        while m := _TOKEN.search(source, at, stop):
+        ends_of = TagEnds(source)
+        while m := _START.search(source, at, stop):
             if m.start() > at:
                 text = source[at : m.start()]
                 run.append(text)
                 if links:
                     linked += len(text)
-            at = m.end()
-            tag, attributes = (m[3] or m[6] or "").lower(), m[4] or m[7] or ""
-            if not tag:
-                if at == stop and (m["raw"] and not re.search(rf"</{m['raw']}\s*>\Z", m[0], re.I) or m[0].startswith("<!--") and not m[0].endswith("-->")):
-                    at = len(source)  # never closed
+            if m[1]:
+                close = source.find("-->", m.end())
+                at = close + 3 if close >= 0 else len(source)
                 continue
-            if m[2] or m[5]:
+            close = source.find(">", m.end()) if m[2] else ends_of.after(m.end())
+            at = close + 1
+            if m[2]:
+                continue
+            tag, attributes = m[4].lower(), source[m.end() : close]
+            if m[3]:
                 k = where[tag][-1] if where.get(tag) else -1
                 if k >= 0 and (tag in BLOCKS or not blocks or blocks[-1] < k):
                     pop_to(k)
                 continue
+            if tag in RAW:
+                closed = RAW[tag].search(source, at)
+                at = closed.end() if closed else len(source)
+                continue
             if tag in BOXED:
                 if tag in ("svg", "math") and attributes.endswith("/"):
                     continue
