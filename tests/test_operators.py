@@ -341,14 +341,48 @@ def test_rules_as_a_table_function(spark):
 
 
 def test_scenarios(spark):
+    """Each change makes its rule fire, whatever the group is like; what a group fires anyway counts as false positive."""
     from tidewake.plans import scenarios
 
-    done = scenarios.evaluate(scenarios.scenario_table(spark))
-    results, per_rule = done.collect(), scenarios.by_rule(done).collect()
-    assert {r.name for r in results if not r.passed} == {"insufficient_evidence"}  # its cap is 70, not 40, from five posts on
-    assert len(per_rule) == 18 and {r.rule: (r.tp, r.fn) for r in per_rule}["wire_service"] == (2, 0)
-    text = scenarios.report(results, per_rule)
-    assert text.startswith("# Scenarios: 9 of 10") and text.count("\n") == 34 and "FAIL" in text
+    quiet = {"post_count": 40, "burst": 3.0, "mutation": 0.2, "coordination": 1.2, "shared_entity_count": 4, "source_diversity": 0.5, "dna_match_count": 3, "unique_domain_count": 9, "ensemble_disagreement": 2.0, "confidence": 0.9, "narrative_coherence": 0.5}
+    rows = [(1, *quiet.values()), (2, *(quiet | {"post_count": 5}).values()), (3, *(quiet | {"confidence": None}).values())]
+    kinds = {int: "long", float: "double"}
+    features = spark.createDataFrame(rows, "k long, " + ", ".join(f"{c} {kinds[type(v)]}" for c, v in quiet.items()))
+    done = scenarios.evaluate(scenarios.scenario_table(features, "k"), "k")
+    results, per_rule = done.collect(), {r.rule: r for r in scenarios.by_rule(done).collect()}
+    assert len(results) == 3 * len(scenarios.SCENARIOS) and len(per_rule) == 18 and all(r.passed for r in results)
+    assert per_rule["wire_service"].tp == 3 and per_rule["wire_service"].fp == per_rule["wire_service"].fn == 0
+    assert per_rule["insufficient_evidence"].fp > 0 and per_rule["confidence_threshold"].fp > 0  # of groups 2 and 3
+    wrong = [("quiet", {}, ["wire_service"], None, 100.0)]
+    assert not any(r.passed for r in scenarios.evaluate(scenarios.scenario_table(features, "k", wrong), "k").collect())
+    text = scenarios.report(results, list(per_rule.values()))
+    assert text.startswith("# Scenarios: 30 of 30") and text.count("\n") == 54
+
+
+def test_all_pairs_of_groups(spark):
+    df = spark.createDataFrame([(k % 25, "x") for k in range(60)] + [(None, "x")], "g int, d string")
+    for block in (4, 1024):
+        got = [(r.a, r.b) for r in relational.unordered_pairs(df, "g", block).collect()]
+        assert sorted(got) == [(a, b) for a in range(25) for b in range(a + 1, 25)]
+    assert relational.unordered_pairs(df.limit(0), "g").count() == 0
+
+
+def test_amplification_chain(spark):
+    """Late groups that hold half of an early one's sources and are alike; hot sources; no pair without a common source."""
+    rng = np.random.default_rng(8)
+    own = {g: {int(x) for x in rng.integers(0, 6, 4)} | {99} for g in range(12)}
+    start, mid = rng.integers(0, 10_000, 12), rng.normal(size=(12, 3)) + 0.7
+    sources = spark.createDataFrame([(g, s) for g, x in own.items() for s in x] * 2 + [(50, 777)], "g int, s int")
+    groups = spark.createDataFrame([(g, int(t)) for g, t in enumerate(start)] + [(50, 9_999)], "g int, t int").select("g", F.timestamp_seconds("t").alias("first_seen"))
+    cents = spark.createDataFrame([(g, c.tolist()) for g, c in enumerate(mid)] + [(50, [1.0, 1.0, 1.0])], "g int, centroid array<double>")
+    want = {}
+    for a in own:
+        for b in own:
+            ratio, cos = len(own[a] & own[b]) / len(own[a]), mid[a] @ mid[b] / np.linalg.norm(mid[a]) / np.linalg.norm(mid[b])
+            if a != b and start[b] - start[a] >= 1800 and ratio >= 0.5 and cos >= 0.5 and 0.5 * (cos + ratio) > 0.4:
+                want[a, b] = round(0.5 * (cos + ratio), 4)
+    got = {(r.a, r.b): r.strength for r in campaigns.amplification_chain(groups, sources, "g", "s", cents).collect()}
+    assert want and set(got) == set(want) and all(abs(got[p] - want[p]) < 2e-4 for p in want)
 
 
 @pytest.mark.parametrize("spread", [1, 3, 10_000])

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewake.plans.storage import kept
+
 
 def latest(df: DataFrame, key: str, *order: Column) -> DataFrame:
     """The first row of each key in the given order; Spark keeps one row a key before the shuffle."""
@@ -54,3 +56,14 @@ def registry_lookup(domains: DataFrame, domain: str, registry: DataFrame, defaul
     hit = names.join(F.broadcast(registry), F.contains(F.col(domain), F.col("fragment"))).groupBy(domain).agg(F.min(F.struct("priority", "category", "score")).alias("hit"))
     scored = names.join(hit, domain, "left").select(domain, F.coalesce("hit.category", F.lit(default[0])).alias("category"), F.coalesce("hit.score", F.lit(default[1])).alias("score"))
     return domains.join(scored, domain, "left")
+
+
+def unordered_pairs(df: DataFrame, key: str, block: int = 1024) -> DataFrame:
+    """(a, b), a < b: all pairs of the distinct keys. Keys are dealt into blocks; pairs of blocks are join keys, so the pairs are dealt evenly too."""
+    keys = kept(df.select(F.col(key).alias("k")).where("k is not null").distinct(), "keys")
+    blocks = max(1, -(-keys.count() // block))
+    own = F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.struct(F.least(i, own).alias("x"), F.greatest(i, own).alias("y")))
+    dealt = keys.select("k", own.alias("own"), F.explode(cells).alias("cell")).select("k", "own", "cell.*")
+    left, right = dealt.where("own = x").select(F.col("k").alias("j"), "x", "y"), dealt.where("own = y").select("k", "x", "y")
+    return left.join(right, ["x", "y"]).where("x < y OR j < k").select(F.least("j", "k").alias("a"), F.greatest("j", "k").alias("b"))

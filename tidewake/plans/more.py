@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from tidewake.functions import fixed_values as fixed
 from tidewake.functions import text as tx
 from tidewake.operators import clustering, credibility, fingerprint, graph, lifecycle, relational, report, retention, rules, sets, signals, temporal, vectors
-from tidewake.plans import health, storage
+from tidewake.plans import storage
 from tidewake.plans.core import _PAIRS, ALIKE, _domains, r4
 from tidewake.plans.cycle import run_cycle
 from tidewake.plans.registry import query
 from tidewake.plans.scoring import _LEVEL, _edges, _scored, as_of
+from tidewake.plans.storage import kept
 from tidewake.plans.views import clustered, entities, posts, table, title_words, with_parts
 from tidewake.sources import landing
 
@@ -62,10 +63,12 @@ def c01_members(spark: SparkSession, d: str) -> DataFrame:
     return clustered(spark, d).groupBy("cluster_id").agg(F.count("*").alias("posts"), F.count("published_at").alias("stamped"), F.min("published_at").alias("first_seen"), F.max("published_at").alias("last_updated"))
 
 
-@query(with_parts("SELECT x.cluster_id AS a, y.cluster_id AS b, count(*) FILTER (WHERE x.domain = y.domain) AS shared FROM (SELECT DISTINCT cluster_id, domain FROM cl) x JOIN (SELECT DISTINCT cluster_id, domain FROM cl) y ON x.cluster_id < y.cluster_id GROUP BY ALL HAVING shared > 0", "cl"))
+@query(with_parts("SELECT x.cluster_id AS a, y.cluster_id AS b, count(*) FILTER (WHERE x.domain = y.domain) AS shared FROM (SELECT DISTINCT cluster_id, domain FROM cl) x JOIN (SELECT DISTINCT cluster_id, domain FROM cl) y ON x.cluster_id < y.cluster_id GROUP BY ALL", "cl"))
 def c05_pairs(spark: SparkSession, d: str) -> DataFrame:
-    p = clustered(spark, d).withColumn("_", F.lit(1))
-    return sets.pair_overlap(p, "a", "b", ("_",), "domain", "cluster_id").select("a", "b", "shared")
+    """Every pair of groups with the domains they share, zero too."""
+    p = kept(clustered(spark, d).select("cluster_id", "domain").withColumn("_", F.lit(1)), "domains")
+    shared = sets.pair_overlap(p, "a", "b", ("_",), "domain", "cluster_id").select("a", "b", "shared")
+    return relational.unordered_pairs(p, "cluster_id").join(shared, ["a", "b"], "left").select("a", "b", F.coalesce("shared", F.lit(0)).alias("shared"))
 
 
 @query("WITH s AS (SELECT DISTINCT user_id, date_trunc('hour', ts) AS at FROM events) SELECT x.user_id AS a, y.user_id AS b, count(*) AS points FROM s x JOIN s y ON x.at = y.at AND x.user_id < y.user_id GROUP BY ALL HAVING count(*) >= 3")
@@ -120,9 +123,9 @@ def i18_refreshed_match_rule(spark: SparkSession, d: str) -> DataFrame:
     return rules.refreshed_matches(_scored(spark, d), live, "k").select("k", "dna_match_count", F.col("dna_evidence_strong").alias("strong"), F.array_contains("rules_fired", "dna_match").alias("fired"))
 
 
-@query(with_parts("SELECT DISTINCT token FROM tok WHERE cluster_id = 0 AND length(token) > 8", "tok"))
+@query(with_parts("SELECT cluster_id, token, count(DISTINCT post_id) AS posts FROM tok GROUP BY ALL", "tok"))
 def b11_group_vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    return title_words(clustered(spark, d)).where("cluster_id = 0 AND length(token) > 8").select("token").distinct()
+    return title_words(clustered(spark, d)).groupBy("cluster_id", "token").agg(F.count_distinct("post_id").alias("posts"))
 
 
 @query(with_parts("SELECT vec_id, cluster_id::INT AS cluster_id FROM (SELECT e.vec_id, k.cluster_id, s, row_number() OVER (PARTITION BY e.vec_id ORDER BY round(s, 6) DESC, k.cluster_id) AS r FROM embeddings e JOIN cen k ON true, LATERAL (SELECT list_inner_product(e.embedding::DOUBLE[], k.c) / ((sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) + 1e-8) * (sqrt(list_inner_product(k.c, k.c)) + 1e-8)) AS s)) WHERE r = 1 AND round(s, 6) >= 0.3", "cen"))
@@ -264,9 +267,3 @@ def o02_alternatives(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-02-05 00:00:00' - INTERVAL 30 DAYS")
 def s07_archived_rows(spark: SparkSession, d: str) -> DataFrame:
     return retention.archived(table(spark, d, "events"), "ts", F.lit("2024-02-05 00:00:00").cast("timestamp")).where("archived").select("event_id")
-
-
-@query()
-def s07_disk_watchdog(spark: SparkSession, d: str) -> DataFrame:
-    """Free space where tables are written, and whether ingest should pause."""
-    return spark.createDataFrame([health.disk_state(spark, storage.shared_dir(spark))], "path string, free_gb double, total_gb double, used_percent double, paused boolean")

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from tidewake.functions import fixed_values as fixed
 from tidewake.operators import campaigns, clustering, credibility, fingerprint, follows, graph, lifecycle, relational, report, retention, rules, signals, temporal, vectors
 from tidewake.operators.components import components
-from tidewake.plans.core import _PAIRS, ALIKE, _domains, r4
 from tidewake.plans import scenarios
+from tidewake.plans.core import _PAIRS, ALIKE, _domains, r4
 from tidewake.plans.registry import query
 from tidewake.plans.storage import kept, shared_dir
 from tidewake.plans.views import CTES, clustered, entities, posts, quoted, table, title_words, with_parts
@@ -302,21 +302,32 @@ def p09_fixture_check(spark: SparkSession, d: str) -> DataFrame:
     return report.fixture_check(fixtures, s, "k")
 
 
-_LITERAL = lambda v: str(v).lower() if isinstance(v, bool) else f"'{v}'" if isinstance(v, str) else str(v)
-_QUIET = {"strong_match_count": 0, "cross_topic": False, "circadian_anomaly": False, "content_anomaly": False, "content_noise": False, "cross_language_anomaly": False, "geographic_spread": False, "high_signal_topic": False}
-CTES["scen"] = "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(_LITERAL, (name, "[" + ",".join(sorted(want)) + "]", down, cap, alert, *(scenarios.BASE | _QUIET | new).values()))) + ")" for name, new, want, down, cap, alert in scenarios.SCENARIOS) + ") t(name, want, down, most_cap, must_alert, " + ", ".join(scenarios.BASE | _QUIET) + ")"
+def _changed(name: str) -> str:
+    literal = lambda v: str(v).lower() if isinstance(v, bool) else str(v)
+    cases = " ".join(f"WHEN '{s}' THEN {literal(changed[name])}" for s, changed, *_ in scenarios.SCENARIOS if name in changed)
+    return f"CASE name {cases} ELSE {name} END AS {name}"
+
+
+_CHANGED = sorted({c for _, changed, *_ in scenarios.SCENARIOS for c in changed})
+CTES["scen"] = f"SELECT * REPLACE ({', '.join(map(_changed, _CHANGED))}) FROM (SELECT *, round(conf, 3) AS confidence FROM gcf), (VALUES " + ", ".join(f"('{n}', {w}, {'NULL' if down is None else down}, {cap})" for n, _, w, down, cap in scenarios.SCENARIOS) + ") t(name, want, down, most_cap)"
 CTES["scenf"] = CTES["fired"].replace("(SELECT *, round(conf, 3) AS confidence FROM cf)", "scen")
-CTES["scenr"] = "SELECT name, list_sort(string_split(nullif(trim(want, '[]'), ''), ',')) AS want, list_sort(list_filter(f, lambda x: x IS NOT NULL)) AS got, down, batch_artifact OR content_noise OR confidence < 0.65 AS stopped, CASE WHEN batch_artifact THEN 0 ELSE coalesce(cap, 100) END AS cap, most_cap, must_alert FROM scenf"
+CTES["scenr"] = "SELECT k, name, want, list_sort(list_filter(f, lambda x: x IS NOT NULL)) AS got, down, batch_artifact OR content_noise OR confidence < 0.65 AS stopped, CASE WHEN batch_artifact THEN 0 ELSE coalesce(cap, 100) END AS cap, most_cap FROM scenf"
 
 
-@query(with_parts("SELECT name, got AS actual_rules, stopped AS actual_suppressed, cap::DOUBLE AS actual_cap, CASE WHEN must_alert THEN NOT stopped AND cap >= 50 AND len(got) = 0 ELSE list_has_all(got, coalesce(want, [])) AND stopped = down AND cap <= most_cap + 0.01 END AS passed FROM scenr", "scenr"))
+def _what_if(spark: SparkSession, d: str) -> DataFrame:
+    p = kept(clustered(spark, d), "clustered")
+    features = signals.score_groups(p, title_words(p), entities(p))
+    return scenarios.evaluate(scenarios.scenario_table(kept(features.select("cluster_id", *(c for c in rules.FEATURES if c in features.columns)), "features"), "cluster_id"), "cluster_id")
+
+
+@query(with_parts("SELECT k AS cluster_id, name, got AS actual_rules, stopped AS actual_suppressed, cap::DOUBLE AS actual_cap, list_has_all(got, want) AND coalesce(stopped = down, true) AND cap <= most_cap + 0.01 AS passed FROM scenr", "scenr"))
 def p10_scenarios(spark: SparkSession, d: str) -> DataFrame:
-    return scenarios.evaluate(scenarios.scenario_table(spark)).select("name", "actual_rules", "actual_suppressed", "actual_cap", "passed")
+    return _what_if(spark, d).select("cluster_id", "name", "actual_rules", "actual_suppressed", "actual_cap", "passed")
 
 
-@query(with_parts("SELECT rule, count(*) FILTER (WHERE list_contains(got, rule) AND list_contains(coalesce(want, []), rule)) AS tp, count(*) FILTER (WHERE list_contains(got, rule) AND NOT list_contains(coalesce(want, []), rule)) AS fp, count(*) FILTER (WHERE NOT list_contains(got, rule) AND list_contains(coalesce(want, []), rule)) AS fn FROM scenr, (SELECT unnest([" + ", ".join(f"'{r.name}'" for r in rules.RULES) + "]) AS rule) GROUP BY rule", "scenr"))
+@query(with_parts("SELECT rule, count(*) FILTER (WHERE list_contains(got, rule) AND list_contains(want, rule)) AS tp, count(*) FILTER (WHERE list_contains(got, rule) AND NOT list_contains(want, rule)) AS fp, count(*) FILTER (WHERE NOT list_contains(got, rule) AND list_contains(want, rule)) AS fn FROM scenr, (SELECT unnest([" + ", ".join(f"'{r.name}'" for r in rules.RULES) + "]) AS rule) GROUP BY rule", "scenr"))
 def p10_rule_counts(spark: SparkSession, d: str) -> DataFrame:
-    return scenarios.by_rule(scenarios.evaluate(scenarios.scenario_table(spark))).select("rule", "tp", "fp", "fn")
+    return scenarios.by_rule(_what_if(spark, d)).select("rule", "tp", "fp", "fn")
 
 
 # credibility and life cycle ---------------------------------------------------------------------------------------------------------
@@ -429,11 +440,8 @@ def m02_theme_affinity(spark: SparkSession, d: str) -> DataFrame:
 @query(with_parts("SELECT a, b, round(0.5 * cos + 0.5 * ratio, 4) AS strength FROM (SELECT x.cluster_id AS a, y.cluster_id AS b, count(*) / any_value(n.n) AS ratio FROM (SELECT DISTINCT cluster_id, source FROM cl) x JOIN (SELECT DISTINCT cluster_id, source FROM cl) y ON x.source = y.source AND x.cluster_id <> y.cluster_id JOIN (SELECT cluster_id, count(DISTINCT source) AS n FROM cl GROUP BY cluster_id) n ON n.cluster_id = x.cluster_id GROUP BY ALL) JOIN (SELECT cluster_id AS a, min(published_at) AS ta FROM cl GROUP BY 1) USING (a) JOIN (SELECT cluster_id AS b, min(published_at) AS tb FROM cl GROUP BY 1) USING (b) JOIN (SELECT p.cluster_id AS a, q.cluster_id AS b, list_cosine_similarity(p.c, q.c) AS cos FROM cen p JOIN cen q ON p.cluster_id <> q.cluster_id) USING (a, b) WHERE tb - ta >= INTERVAL 30 MINUTES AND ratio >= 0.5 AND cos + 0.5 >= 0.5 AND 0.5 * (cos + 0.5) + 0.5 * ratio > 0.4", "cl", "cen").replace("0.5 * cos + 0.5 * ratio, 4", "0.5 * (cos + 0.5) + 0.5 * ratio, 4"))
 def m03_chain(spark: SparkSession, d: str) -> DataFrame:
     """Random centroids are hardly alike, so their cosine is raised by a half here to let pairs through."""
-    p = clustered(spark, d)
-    c = vectors.centroids(p, "cluster_id", "vector")
-    x, y = c.select(F.col("cluster_id").alias("x"), F.col("centroid").alias("cx")), c.select(F.col("cluster_id").alias("y"), F.col("centroid").alias("cy"))
-    sim = x.join(y, F.col("x") < F.col("y")).select("x", "y", (vectors.cosine(F.col("cx"), F.col("cy")) + 0.5).alias("cosine"))
-    return campaigns.amplification_chain(p.groupBy("cluster_id").agg(F.min("published_at").alias("first_seen")), p, "cluster_id", "source", sim)
+    p = kept(clustered(spark, d), "clustered")
+    return campaigns.amplification_chain(p.groupBy("cluster_id").agg(F.min("published_at").alias("first_seen")), p, "cluster_id", "source", vectors.centroids(p, "cluster_id", "vector"), raised=0.5)
 
 
 @query(f"WITH p AS ({_PAIRS}) SELECT a, b, score FROM p WHERE NOT (a % 3 = 0)")
