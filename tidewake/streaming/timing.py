@@ -25,7 +25,7 @@ def add_to(n: int, mean: float, m2: float, x: float) -> tuple[int, float, float]
 class Timing(StatefulProcessor):
     """Posts wait in a map until the watermark has passed them, so they are counted in the order of time, whatever order they come in.
 
-    What is counted leaves ten numbers a key. A key without posts for ``keep`` milliseconds is forgotten.
+    What is counted leaves ten numbers a key. After ``keep`` milliseconds without posts a key begins anew, and its numbers are dropped.
     """
 
     def __init__(self, key: str, width: int, keep: int):
@@ -53,7 +53,7 @@ class Timing(StatefulProcessor):
         ready = sorted((k[0], v[0]) for k, v in self.waiting.iterator() if k[0] < passed)
         s = dict(zip(SUMS, self.sums.get())) if self.sums.exists() else None
         if not ready:
-            if s is not None and not any(True for _ in self.waiting.iterator()) and s["last"] + self.keep * 1000 <= passed:
+            if s is not None and s["last"] + self.keep * 1000 <= passed:
                 self.sums.clear()
             return
         for at, c in ready:
@@ -66,7 +66,7 @@ class Timing(StatefulProcessor):
 
     def _counted(self, s: dict | None, at: int, c: int) -> dict:
         bucket = at // (self.width * 1000)
-        if s is None:
+        if s is None or at - s["last"] >= self.keep * 1000:
             s = dict(n=0, first=at, last=at, gap_mean=0.0, gap_m2=0.0, buckets=0, cnt_mean=0.0, cnt_m2=0.0, bucket=bucket, cnt=0)
         for k in range(c):
             if s["n"]:
