@@ -359,6 +359,31 @@ def test_scenarios(spark):
     assert text.startswith("# Scenarios: 30 of 30") and text.count("\n") == 54
 
 
+@pytest.mark.parametrize("block", [3, 1024])
+def test_mean_jaccard_by_blocks(spark, block):
+    rng = np.random.default_rng(block)
+    own = {(g, m): {f"w{x}" for x in rng.integers(0, 30, rng.integers(0, 6))} for g in ("a", "b", "c") for m in range(14)} | {("one", 0): {"w1"}}
+    rows = [(g, m, w) for (g, m), s in own.items() for w in (s or {None})] * 2
+    want = {}
+    for g in ("a", "b", "c", "one"):
+        sets_ = [s for (h, _), s in own.items() if h == g]
+        pairs = [len(x & y) / len(x | y) if x | y else 0 for i, x in enumerate(sets_) for y in sets_[:i]]
+        want[g] = (len(sets_), np.mean(pairs) if pairs else 0)
+    got = {r.g: (r.members, r.jaccard) for r in sets.mean_jaccard(spark.createDataFrame(rows, "g string, m int, w string"), "g", "m", "w", block).collect()}
+    assert set(got) == set(want) and all(got[g][0] == want[g][0] and abs(got[g][1] - want[g][1]) < 1e-9 for g in want)
+
+
+def test_shared_counts_by_bitmaps_and_pairs(monkeypatch):
+    rng = np.random.default_rng(2)
+    for items, size in ((20, 10), (5000, 4)):
+        left, right = ([np.unique(rng.integers(0, items, size)) for _ in range(n)] for n in (40, 70))
+        want = [[len(set(x) & set(y)) for y in right] for x in left]
+        assert (sets.shared_counts(left, right) == want).all()
+        monkeypatch.setattr(sets, "PAIRS", 50)
+        assert (sets.shared_counts(left, right) == want).all()
+        monkeypatch.undo()
+
+
 def test_all_pairs_of_groups(spark):
     df = spark.createDataFrame([(k % 25, "x") for k in range(60)] + [(None, "x")], "g int, d string")
     for block in (4, 1024):

@@ -147,6 +147,29 @@ def test_j02(spark):
         assert set(mine) == set(want) and len({(mine[i], want[i]) for i in want}) == len(set(mine.values())) == len(set(want.values()))
 
 
+def test_j01(spark):
+    """The clusters are those of the reduced rows, which keep neighbourhoods better than chance does."""
+    from tidewake.operators.clustering import RESOLUTIONS, density_labels
+    from tidewake.operators.reduction import reduce
+
+    e = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    rows = reduce(e, "vec_id", "embedding").orderBy("vec_id").collect()
+    y = np.array([r.reduced for r in rows])
+    u = np.array([r.embedding for r in e.orderBy("vec_id").collect()], float)
+    assert y.shape == (len(u), 5)
+    near = [set(np.argsort(d)[1:11]) for d in np.linalg.norm(y[:, None] - y, axis=2)]
+    true = [set(np.argsort(-c)[1:11]) for c in u @ u.T]
+    assert np.mean([len(a & b) / 10 for a, b in zip(near, true)]) > 3 * 10 / len(u)
+    got = {}
+    for r in QUERIES["j01_reduced_clusters"](spark, DATA).collect():
+        got.setdefault(r.resolution, {})[r.vec_id] = r.cluster
+    for size, name in RESOLUTIONS.items():
+        labels = density_labels(y, size)
+        want = {rows[k].vec_id: labels[k] for k in range(len(rows)) if labels[k] >= 0}
+        mine = got.get(name, {})
+        assert set(mine) == set(want) and len({(mine[i], want[i]) for i in want}) == len(set(want.values()))
+
+
 def test_l04_l05_l08(spark):
     from tidewake.operators import graph
 
@@ -178,7 +201,7 @@ def test_p12(spark):
 
 
 def test_every_query_without_sql_has_a_test():
-    assert set(QUERIES) - set(ORACLES) == {"a14_embed_missing", "f05_label_dedup", "k01_style", "k02_cadence", "k03_network", "k04_entity_bias", "k06_pair_scores", "k07_fingerprint_matches", "j02_density_clusters", "l04_paths_l05_small_world_l08_centrality", "p12_whole_cycle"}
+    assert set(QUERIES) - set(ORACLES) == {"a14_embed_missing", "f05_label_dedup", "j01_reduced_clusters", "k01_style", "k02_cadence", "k03_network", "k04_entity_bias", "k06_pair_scores", "k07_fingerprint_matches", "j02_density_clusters", "l04_paths_l05_small_world_l08_centrality", "p12_whole_cycle"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

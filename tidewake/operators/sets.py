@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from tidewake.plans.storage import kept
 
 
 def entropy(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -32,13 +37,93 @@ def pair_overlap(items: DataFrame, a: str, b: str, group: tuple[str, ...], item:
     return shared
 
 
-def mean_jaccard(items: DataFrame, group: str, member: str, item: str) -> DataFrame:
-    """(group, members, jaccard): the mean over all pairs of non-empty sets; pairs without a common item add nothing but count."""
-    pairs = pair_overlap(items, "a", "b", (group,), item, member)
-    sums = pairs.groupBy(group).agg(F.sum(F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))).alias("s"))
-    members = items.select(group, member).distinct().groupBy(group).agg(F.count("*").alias("members"))
-    total = F.col("members") * (F.col("members") - 1) / 2
-    return members.join(sums, group, "left").select(group, "members", F.coalesce(F.try_divide(F.col("s"), total), F.lit(0.0)).alias("jaccard"))
+#: Members of a block of sets, pairs of a common item that are counted at once.
+MEMBERS, PAIRS = 1024, 1 << 22
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many items each left set shares with each right one; sets hold small numbers. Bitmaps are multiplied if that is less work than items' pairs."""
+    out = np.zeros((len(left), len(right)))
+    if not len(left) or not len(right):
+        return out
+    (li, lx), (ri, rx) = ((np.repeat(np.arange(len(side)), [len(s) for s in side]), np.concatenate(side) if side else np.zeros(0, np.int64)) for side in (left, right))
+    items = np.intersect1d(lx, rx)
+    if not len(items):
+        return out
+    lk, rk = np.isin(lx, items), np.isin(rx, items)
+    li, lx, ri, rx = li[lk], np.searchsorted(items, lx[lk]), ri[rk], np.searchsorted(items, rx[rk])
+    lc, rc = np.bincount(lx, minlength=len(items)), np.bincount(rx, minlength=len(items))
+    if len(left) * len(right) * len(items) / 64 < (lc * rc).sum():
+        for at in range(0, len(items), 4096):
+            wide = min(4096, len(items) - at)
+            a, b = np.zeros((len(left), wide), np.float32), np.zeros((len(right), wide), np.float32)
+            for m, i, x in ((a, li, lx), (b, ri, rx)):
+                here = (x >= at) & (x < at + wide)
+                m[i[here], x[here] - at] = 1
+            out += a @ b.T
+        return out
+    li, ri = li[np.argsort(lx, kind="stable")], ri[np.argsort(rx, kind="stable")]
+    ls, rs = np.cumsum(lc) - lc, np.cumsum(rc) - rc
+    ends = np.cumsum(lc * rc)
+    at = 0
+    while at < len(items):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+        for k in range(at, to) if to - at < 64 else [slice(at, to)]:
+            n, m, x, y = (np.atleast_1d(v[k]) for v in (lc, rc, ls, rs))
+            each = np.repeat(np.arange(len(n)), n * m)
+            place = np.arange(len(each)) - np.repeat(np.cumsum(n * m) - n * m, n * m)
+            codes = li[x[each] + place // m[each]] * len(right) + ri[y[each] + place % m[each]]
+            out += np.bincount(codes, minlength=out.size).reshape(out.shape)
+        at = to
+    return out
+
+
+def jaccard_sum(left: list[np.ndarray], right: list[np.ndarray], same: bool) -> float:
+    """The sum of Jaccard similarities of all pairs across, or within (each pair once)."""
+    shared = shared_counts(left, right)
+    size = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right]) - shared
+    j = np.divide(shared, size, out=np.zeros_like(shared), where=size > 0)
+    return float(np.triu(j, 1).sum() if same else j.sum())
+
+
+def mean_jaccard(items: DataFrame, group: str, member: str, item: str, block: int = MEMBERS) -> DataFrame:
+    """(group, members, jaccard): the mean over all pairs of members' sets; pairs without a common item add nothing but count.
+
+    A group's members are dealt into blocks; each pair of blocks is counted in one task, by products of bitmaps or by items' pairs, and only its sum
+    leaves the task. Small groups share tasks. Null items belong to no set.
+    """
+    one = items.select(F.col(group).alias("g"), F.col(member).alias("m"), F.col(item).alias("i"))
+    sets_ = one.groupBy("g", "m").agg(F.collect_set("i").alias("s"))
+    sets_ = kept(sets_, "sets")
+    sizes = sets_.groupBy("g").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    parts = F.greatest(F.lit(1), F.ceil(F.col("n") / block).cast("int"))
+    dealt = sets_.where(F.size("s") > 0).join(sizes, "g").withColumn("own", F.pmod(F.xxhash64("m"), parts).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("x"), F.greatest(k, F.col("own")).alias("y")))
+    task = F.when(F.col("n") <= block, F.pmod(F.xxhash64("g"), F.lit(max(1, -(-total // block)))).cast("long")).otherwise(F.xxhash64("g"))
+    dealt = dealt.select("g", "s", "own", task.alias("task"), F.explode(cells).alias("cell")).select("g", "s", "own", "task", "cell.*")
+    kind = dealt.schema["g"].dataType
+    name = to_arrow_type(kind)
+
+    def run(t: pa.Table) -> pa.Table:
+        x, y, own = t.column("x")[0].as_py(), t.column("y")[0].as_py(), t.column("own").to_numpy()
+        groups = t.column("g").combine_chunks().dictionary_encode()
+        lists = t.column("s").combine_chunks()
+        codes = lists.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        own_sets = np.split(codes, np.cumsum(np.asarray(lists.value_lengths()))[:-1])
+        by = groups.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(by, kind="stable")
+        heads = np.flatnonzero(np.diff(by[order], prepend=-1))
+        seen, sums = [], []
+        for rows in np.split(order, heads[1:]):
+            left, right = [own_sets[k] for k in rows if own[k] == x], [own_sets[k] for k in rows if own[k] == y]
+            seen.append(by[rows[0]])
+            sums.append(jaccard_sum(left, right, x == y))
+        return pa.table({"g": groups.dictionary.take(pa.array(seen)).cast(name), "s": pa.array(sums, pa.float64())})
+
+    sums = dealt.groupBy("task", "x", "y").applyInArrow(run, f"g {kind.simpleString()}, s double").groupBy("g").agg(F.sum("s").alias("s"))
+    pairs = F.col("n") * (F.col("n") - 1) / 2
+    return sizes.join(sums, "g", "left").select(F.col("g").alias(group), F.col("n").alias("members"), F.coalesce(F.try_divide(F.col("s"), pairs), F.lit(0.0)).alias("jaccard"))
 
 
 def top_terms(terms: DataFrame, key: str, term: str, k: int) -> DataFrame:

@@ -75,7 +75,7 @@ def angular_blocks(rows: DataFrame, block: int) -> tuple[DataFrame, np.ndarray]:
     ring that is still too large (copies) is dealt into parts by hash.
     """
     n = rows.count()
-    few = rows.where(norm(F.col("v")) > 0).orderBy(F.xxhash64("k"), "k").limit(max(1, min(PIVOTS, 2 * -(-n // block))))
+    few = rows.where(norm(F.col("v")) > 0).orderBy(F.xxhash64("k"), "k").limit(1 if n <= block else min(PIVOTS, 2 * -(-n // block)))
     found = few.select("v").toArrow().column("v")
     pivots = _unit(_matrix(found)) if len(found) else np.zeros((1, 0))
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.functions import fixed_values as fixed
-from tidewake.operators import campaigns, clustering, credibility, fingerprint, follows, graph, lifecycle, relational, report, retention, rules, signals, temporal, vectors
+from tidewake.operators import campaigns, clustering, credibility, fingerprint, follows, graph, lifecycle, reduction, relational, report, retention, rules, signals, temporal, vectors
 from tidewake.operators.components import components
 from tidewake.plans import scenarios
 from tidewake.plans.core import _PAIRS, ALIKE, _domains, r4
@@ -505,6 +505,13 @@ def k10_match_counts(spark: SparkSession, d: str) -> DataFrame:
     return fingerprint.match_counts(m, e.select("vec_id", (F.col("vec_id") % 10 != 9).alias("fingerprinted")), "vec_id")
 
 
+@query()
+def j01_reduced_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of the vectors in five dimensions."""
+    reduced = reduction.reduce(table(spark, d, "embeddings"), "vec_id", "embedding")
+    return clustering.density_clusters(reduced, "vec_id", "reduced", metric="euclidean").select("vec_id", "resolution", "cluster")
+
+
 @query()
 def j02_density_clusters(spark: SparkSession, d: str) -> DataFrame:
     return clustering.density_clusters(table(spark, d, "embeddings"), "vec_id", "embedding")
