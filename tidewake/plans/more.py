@@ -18,7 +18,7 @@ from tidewake.plans.registry import query
 from tidewake.plans.scoring import _LEVEL, _edges, _scored, as_of
 from tidewake.plans.storage import kept
 from tidewake.plans.views import clustered, entities, posts, table, title_words, with_parts
-from tidewake.sources import landing
+from tidewake.sources import generations, landing
 
 
 @query("SELECT doc_id::VARCHAR AS record_id, source FROM documents")
@@ -228,12 +228,12 @@ def p12_whole_cycle(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id AS k, CASE WHEN ts < TIMESTAMP '2024-01-15 00:00:00' THEN 'archived' ELSE 'rebuilt' END AS generation FROM events")
 def s05_rebuild(spark: SparkSession, d: str) -> DataFrame:
-    """A rebuild writes a new generation and readers switch to it; the old one is left for those who still read it."""
-    root = f"{storage.shared_dir(spark)}/rebuild-{uuid.uuid4().hex}"
-    e = table(spark, d, "events").select(F.col("event_id").alias("k"), F.col("ts").cast("timestamp").alias("ts"))
-    old = spark.read.parquet(storage.swapped(e.withColumn("generation", F.lit("active")), root))
+    """A rebuild writes a new generation from the old one; readers by the table's path follow the manifest to it."""
+    path = f"{storage.shared_dir(spark)}/rebuild-{uuid.uuid4().hex}"
+    generations.write(table(spark, d, "events").select(F.col("event_id").alias("k"), F.col("ts").cast("timestamp").alias("ts"), F.lit("active").alias("generation")), path)
     gone = F.col("ts") < F.lit("2024-01-15 00:00:00").cast("timestamp")
-    return spark.read.parquet(storage.swapped(old.withColumn("generation", F.when(gone, "archived").otherwise("rebuilt")), root)).select("k", "generation")
+    generations.write(generations.read(spark, path).withColumn("generation", F.when(gone, "archived").otherwise("rebuilt")), path)
+    return generations.read(spark, path).select("k", "generation")
 
 
 @query("SELECT a, b, n FROM (SELECT a % 50 AS a, b % 50 AS b, count(*) AS n FROM (SELECT vec_id AS a, vec_id * 7 + 3 AS b FROM embeddings) GROUP BY ALL)")
