@@ -446,8 +446,30 @@ def test_aligned_series_in_blocks(spark):
 def test_labels_beyond_many_repeats(spark):
     """Thousands of repeats in front: the labels behind them are found."""
     rows = [(i, f"{' ' * (i % 3)}The SAME label of some seven words" if i % 2 else "the same label of some seven words again") for i in range(5000)] + [(5000 + i, f"quite another thing {i}") for i in range(3)]
-    got = report.distinct_labels(spark.createDataFrame(rows, "place int, label string"), "label", "place", 4).collect()
-    assert [r.place for r in got] == [0, 5000, 5001, 5002]
+    df = spark.createDataFrame(rows, "place int, label string")
+    for batch in (1, 2, 1000):
+        assert [r.place for r in report.distinct_labels(df, "label", "place", 4, batch).collect()] == [0, 5000, 5001, 5002]
+
+
+def test_labels_chosen_in_rounds(spark):
+    """Batches of any size choose what one pass in order chooses; nulls, equal ranks."""
+    rng = np.random.default_rng(6)
+    words = [f"longish{k}" for k in range(12)]
+    rows = [(int(rng.integers(0, 30)), " ".join(rng.choice(words, 7))) for _ in range(80)] + [(None, "short one"), (3, None), (3, "")]
+    seen, exact, want = [], set(), []
+    for place, label in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+        low, own = (label or "").strip().lower(), {w for w in (label or "").lower().split() if len(w) > 3}
+        if low in exact:
+            continue
+        exact.add(low)
+        if len(own) > 4:
+            if any(len(own & s) / len(own | s) >= 0.65 for s in seen):
+                continue
+            seen.append(own)
+        want.append((place, label))
+    df = spark.createDataFrame(rows, "place int, label string")
+    for batch, limit in ((3, 25), (1000, 25), (4, 10_000)):
+        assert [tuple(r) for r in report.distinct_labels(df, "label", "place", limit, batch).collect()] == want[:limit]
 
 
 def test_sparse_graph_measures_equal_dense_ones():

@@ -76,3 +76,23 @@ def test_properties(spark, rows):
 @pytest.mark.parametrize("empty", [True])
 def test_empty(spark, empty):
     assert rules.apply_rules(spark.range(0).withColumn("post_count", F.lit(1))).count() == 0
+
+
+def test_entropy_aggregate(spark):
+    """In GROUP BY it gives what ``sets.entropy`` gives; OVER a frame, the frame's."""
+    import numpy as np
+
+    from tidewake.functions import register
+    from tidewake.operators import sets
+
+    register.register(spark)
+    rows = [("a", x, k) for k, x in enumerate("xxyzzzzw")] + [("b", "x", 1), ("b", None, 2), ("c", None, 1)]
+    df = spark.createDataFrame(rows, "g string, x string, t int")
+    df.createOrReplaceTempView("entropy_rows")
+    got = {r.g: r.h for r in spark.sql("SELECT g, entropy(x) AS h FROM entropy_rows GROUP BY g").collect()}
+    want = {r.g: r.h for r in sets.entropy(df, "g", "x").collect()}
+    assert got["c"] is None and set(want) == {"a", "b"} and all(abs(got[g] - want[g]) < 1e-12 for g in want)
+    over = spark.sql("SELECT t, entropy(x) OVER (PARTITION BY g ORDER BY t ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS h FROM entropy_rows WHERE g = 'a' ORDER BY t").collect()
+    for r in over:
+        c = np.unique(list("xxyzzzzw"[max(0, r.t - 3) : r.t + 1]), return_counts=True)[1]
+        assert abs(r.h - -(c / c.sum() * np.log2(c / c.sum())).sum()) < 1e-12

@@ -2,7 +2,23 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import SparkSession
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
+
+
+@pandas_udf(DoubleType())
+def entropy(values: pd.Series) -> float:
+    """Shannon entropy in bits of a group's or a frame's values, nulls aside; null without values.
+
+    An aggregate for GROUP BY and OVER. It gets a group's rows in one task, so for groups of any size take ``sets.entropy``, which counts before it
+    shuffles.
+    """
+    c = values.value_counts().to_numpy(float)
+    n = c.sum()
+    return max(0.0, float(np.log2(n) - (c * np.log2(c)).sum() / n)) if n else None
 
 
 def register_rules(spark: SparkSession) -> None:
@@ -26,8 +42,9 @@ def register_rules(spark: SparkSession) -> None:
 
 
 def register(spark: SparkSession) -> None:
-    """SQL functions (not UDFs: their bodies are inlined) jaccard, cosine, domain_of, logistic; entropy over a map of counts; the rules as a table."""
+    """SQL functions (not UDFs: their bodies are inlined) jaccard, cosine, domain_of, logistic, shannon_entropy (of counts); the aggregate entropy; the rules as a table."""
     register_rules(spark)
+    spark.udf.register("entropy", entropy)
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION jaccard(a ARRAY<STRING>, b ARRAY<STRING>) RETURNS DOUBLE RETURN try_divide(size(array_intersect(a, b)), size(array_union(a, b)))")
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION cosine(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN try_divide(aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x), sqrt(aggregate(a, 0D, (s, x) -> s + x * x)) * sqrt(aggregate(b, 0D, (s, x) -> s + x * x)))"

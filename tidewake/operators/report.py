@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewake.functions import fixed_values as fixed
+from tidewake.plans.storage import kept
 
 
 def ladder(c: Column, steps: list[tuple[float, str]], last: str, below: bool = False) -> Column:
@@ -91,35 +92,41 @@ def precision(reviews: DataFrame, predicted: Column, actual: Column) -> DataFram
     return c.select("tp", "fp", "fn", "tn", F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"), F.round(F.try_divide(2 * p * r, p + r), 4).alias("f1"))
 
 
-def distinct_labels(ranked: DataFrame, label: str, order: str, limit: int = 20) -> DataFrame:
+def distinct_labels(ranked: DataFrame, label: str, order: str, limit: int = 20, batch: int = 1000) -> DataFrame:
     """The first ``limit`` labels in order that repeat no earlier one: not the same, nor 65 % of the same long words.
 
-    Of equal labels the first is found in parallel. Each further choice depends on all before, so one task reads the rest in order: batch
-    by batch, until it has ``limit`` labels, which are all that it holds. Equal ranks go by label.
+    Of equal labels the first is found in parallel. Each further choice depends on those before, so the first ``batch`` labels are chosen from in order;
+    then all labels that a chosen one rules out are dropped in parallel, and the next ``batch`` are looked at. A round chooses one label at least, so
+    there are at most ``limit`` rounds, and nothing but ``batch`` rows and ``limit`` labels is ever in one place. Equal ranks go by label.
     """
-    schema = ranked.schema
     low = F.lower(F.trim(F.coalesce(F.col(label), F.lit(""))))
     first = ranked.withColumn("_low", low).withColumn("_rank", F.row_number().over(Window.partitionBy("_low").orderBy(order, label))).where("_rank = 1").drop("_rank", "_low")
-
-    def run(batches):
-        seen, taken = [], 0
-        for rows in batches:
-            out = []
-            for i, text in enumerate(rows[label].fillna("")):
-                if taken == limit:
-                    break
-                words = frozenset(w for w in text.lower().split() if len(w) > 3)
-                if len(words) > 4:
-                    if any(len(words & s) / len(words | s) >= 0.65 for s in seen):
-                        continue
-                    seen.append(words)
-                out.append(i)
-                taken += 1
-            yield rows.iloc[out]
-            if taken == limit:
-                return
-
-    return first.orderBy(order, label).coalesce(1).mapInPandas(run, schema)
+    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(label), F.lit(""))), r"\s+"), lambda w: F.length(w) > 3))
+    left = kept(first.withColumn("_words", words), "labels")
+    seen: list[frozenset] = []
+    chosen: list[tuple] = []
+    while len(chosen) < limit:
+        rows = left.orderBy(order, label).limit(batch).collect()
+        before = len(seen)
+        for r in rows:
+            own = frozenset(r["_words"])
+            if len(own) > 4:
+                if any(len(own & s) / len(own | s) >= 0.65 for s in seen):
+                    continue
+                seen.append(own)
+            chosen.append(tuple(r)[:-1])
+            if len(chosen) == limit:
+                break
+        if len(rows) < batch:
+            break
+        kinds = {f.name: f.dataType for f in ranked.schema}
+        last = F.struct(*(F.lit(rows[-1][c]).cast(kinds[c]).alias(c) for c in (order, label)))
+        left = left.where(F.struct(F.col(order), F.col(label)) > last)
+        for s in seen[before:]:
+            known = F.array(*map(F.lit, sorted(s)))
+            left = left.where((F.size("_words") <= 4) | (F.size(F.array_intersect("_words", known)) / F.size(F.array_union("_words", known)) < 0.65))
+        left = kept(left, "labels")
+    return ranked.sparkSession.createDataFrame(chosen, ranked.schema)
 
 
 def evidence_packs(df: DataFrame, key: str, version: str = "1") -> DataFrame:
