@@ -397,7 +397,8 @@ def near_duplicates(df: DataFrame, percent: int = 80, key: str = "doc_id", text:
     Two documents link when 100 * |intersection| >= ``percent`` * |union| of their sets of five-word shingles (A-Z lower-cased; a text with
     one to four words is one shingle). Texts without words, null ones too, have an empty set and link with nothing. A null id
     takes no part: its component is null, and it is kept. Rows that repeat an id each give a row, with the links of its own text; where
-    several of an id's texts are the first of their kind, the id stands for all of them. Extra columns are left out. An empty table gives an empty one. Copies are never expanded into pairs: classes of equal sets have one
+    several of an id's texts are the first of their kind, the id stands for all of them. Extra columns are left out. Long texts are cut into shingles whole; texts are compared in
+    blocks of rows, so a task's memory grows with the longest of them. An empty table gives an empty one. Copies are never expanded into pairs: classes of equal sets have one
     representative each.
     """
     trees = trees_for(percent / 100)

@@ -127,7 +127,7 @@ def pack(df: DataFrame, model_path: str, end_id: int, source: str = "source", ke
     queues. Queues run in the order of partitions and rows.
     No text is shuffled: a first pass encodes and stores ids with each document's place in its partition's queues; the queues'
     bases over partitions are prefix sums over a small table (partitions x queues); a second pass cuts. Null texts are empty (the end
-    id alone), null sources share a queue with the empty source, equal rows are packed each, extra columns are left out.
+    id alone), long ones are encoded whole and cut freely, null keys are packed like others, an empty table gives no pieces, null sources share a queue with the empty source, equal rows are packed each, extra columns are left out, whatever their names.
     """
     spark = df.sparkSession
     if targets and min(targets.values()) <= 0:

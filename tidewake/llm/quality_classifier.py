@@ -155,7 +155,8 @@ ADDED = ("held_out", "score", "predicted")
 def classify(documents: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``key``, held_out, score and predicted of each row, and the columns named in ``keep``.
 
-    A narrow operator. A null text is scored as an empty one. Without a model (no labelled rows of both classes) every score is 0.5. A
+    A narrow operator. A null text is scored as an empty one, whose features are all zero. Long texts are read
+    whole, in slices of rows, a text being the least slice. Without a model (no labelled rows of both classes) every score is 0.5. A
     null key isn't held out. Equal rows each give a row; other columns are left out; an empty table gives an empty one. Columns to
     keep may have any names; those named as one of the three that are added give way to it.
     """

@@ -55,7 +55,7 @@ def write(df: DataFrame, path: str, model_path: str, end_id: int, key: str = "do
 
     Returns the manifest (part, name, documents, tokens, first_document, first_token), which is also written to ``path``/manifest.
     One shuffle, by ranges of the key. Each task streams into files of its own attempt and renames them at the end, so a task that
-    runs again leaves one whole set. Null texts are empty (the end id alone); null keys come first; equal keys are ordered by text;
+    runs again leaves one whole set. Null texts are empty (the end id alone); long texts are encoded whole, a text being the least slice; null keys come first; equal keys are ordered by text;
     an empty table gives an empty manifest. Other columns are left out.
     """
     spark = df.sparkSession
@@ -105,7 +105,8 @@ def write(df: DataFrame, path: str, model_path: str, end_id: int, key: str = "do
 def read(spark: SparkSession, path: str, key_type: str = "bigint", key: str = "doc_id") -> DataFrame:
     """``key``, ``start`` (ids of all documents before), ``n_tokens`` and ``ids`` (little-endian uint32 bytes) from the files.
 
-    One task maps one partition's files; documents are handed over in runs of about a million tokens.
+    One task maps one partition's files; documents are handed over in runs of about a million tokens, a longer one alone. Null keys and equal ones come as
+    they were written; an empty manifest gives no rows.
     """
     root = urlparse(path).path if path.startswith("file:") else _fs(path)[1]
 

@@ -77,7 +77,7 @@ def write(df: DataFrame, path: str, key: str = "page_id", url: str = "url", body
     of those digests themselves, so it is bounded by its share of the other side; a digest with very many rows is split by the
     join's skew handling. Each task attempt writes files of its own name;
     those that no committed header names are removed at the end. A null body is an empty payload, a null URL leaves its field out, a
-    null key never is the smallest; rows equal in key and payload are all responses; extra columns are left out; an empty table gives
+    null key never is the smallest; a long payload is written in slices, but one record is held whole by the task that reads it; rows equal in key and payload are all responses; extra columns are left out; an empty table gives
     an empty archive.
     """
     spark = df.sparkSession
