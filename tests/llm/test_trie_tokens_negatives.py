@@ -228,3 +228,19 @@ def test_bounds_hold_every_score():
     codes, lost = hard_negatives.quantise(x, words)
     lower, upper = hard_negatives.look_up(q, codes, lost, words)
     assert ((lower <= q @ x.T) & (q @ x.T <= upper)).all() and (upper - lower).mean() < 0.6 * np.abs(q @ x.T).mean()
+
+
+def test_trimmed_memory_encodes_the_same():
+    from tidewake.llm.queries import WORD_MODEL
+    from tidewake.llm.word_bpe import Encoder
+
+    words = Encoder(WORD_MODEL, 50)
+    import pyarrow as pa
+
+    texts = pa.array([" ".join(f"word{k % n}" for k in range(n)) for n in (5, 40, 90, 200)])
+    whole = Encoder(WORD_MODEL).encode(texts)
+    for keep in (10, 0, 1000):
+        got = words.encode(texts)
+        assert all((a == b).all() for a, b in zip(got, whole))
+        words.memory.trim(keep)
+        assert len(words.memory.index) <= max(keep, 200) and (keep or len(words.memory.flat) == 0)

@@ -98,11 +98,17 @@ class WordMemory:
         self.flat, self.lengths, self.uses = flat, lengths, uses
         self.starts = np.cumsum(lengths) - lengths
 
-    def _forget(self) -> None:
+    def trim(self, most: int) -> None:
+        """Keep at most the ``most`` words that were used more, and hand the rest back: for the end of a task."""
+        if len(self.index) > most:
+            self._forget(most)
+        give_back()
+
+    def _forget(self, most: int) -> None:
         words = list(self.index)
         at = np.fromiter(self.index.values(), np.int64, len(words))
         uses = self.uses[at]
-        keep = np.sort(np.argsort(-uses, kind="stable")[: self.most // 2])
+        keep = np.sort(np.argsort(-uses, kind="stable")[:most])
         at = at[keep]
         self.index = dict(zip(map(words.__getitem__, keep.tolist()), range(len(keep))))
         self._hold(ragged(self.flat, self.starts[at], self.lengths[at]), self.lengths[at], uses[keep] // 2)
@@ -110,7 +116,7 @@ class WordMemory:
     def _codes(self, words: list) -> np.ndarray:
         """The place of each word's ids; new words are encoded."""
         if len(self.index) > self.most or len(self.flat) > 16 * self.most:
-            self._forget()
+            self._forget(self.most // 2)
         codes = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
         missing = np.flatnonzero(codes < 0)
         if len(missing):

@@ -27,6 +27,8 @@ from tidewake.llm.word_bpe import binary_array, encoder
 WINDOW = 4096
 #: With more sources than this, those without a target share so many queues by hash: a schedule's cost and size stay bounded.
 MOST_QUEUES = 4096
+#: Words whose ids a worker remembers during a task, and between tasks, when other stages run in it.
+WORDS, WORDS_BETWEEN = 250_000, 100_000
 #: Bytes of windows' states that a worker remembers.
 REMEMBERED = 8 << 20
 _FRACTION = 80
@@ -143,16 +145,17 @@ def pack(df: DataFrame, model_path: str, end_id: int, source: str = "source", ke
     key_type = df.schema[key].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, sent = encoder(model_path), TaskContext.get().partitionId(), {}
+        words, part, sent = encoder(model_path, WORDS), TaskContext.get().partitionId(), {}
         kind = np.dtype("<u2" if max(words.vocabulary, end_id + 1) <= 1 << 16 else "<u4")
         for batch in batches:
-            for rows in text_slices(batch, "text", 8 << 20):
+            for rows in text_slices(batch, "text"):
                 flat, lengths = words.encode(rows.column("text"), end_id)
                 starts = []
                 for q, n in zip(rows.column("queue").to_pylist(), lengths.tolist()):
                     starts.append(sent.get(q, 0))
                     sent[q] = starts[-1] + n
                 yield pa.RecordBatch.from_arrays([rows.column("key"), rows.column("queue"), pa.array(np.full(len(starts), part, np.int64)), pa.array(starts, pa.int64()), pa.array(lengths), pa.array(np.full(len(starts), kind.itemsize, np.int32)), binary_array(flat.astype(kind), lengths)], ["key", "queue", "part", "local", "n", "width", "ids"])
+        words.memory.trim(WORDS_BETWEEN)
 
     encoded = stored(df.select(F.col(f"`{key}`").alias("key"), queue.alias("queue"), F.col(f"`{text}`").alias("text")).mapInArrow(encode, f"key {key_type}, queue string, part long, local long, n long, width int, ids binary"), "packing", "snappy")
     shares = encoded.groupBy("queue", "part").agg(F.sum("n").alias("sum_n"))

@@ -30,16 +30,16 @@ def _library(path: str):
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """This worker's encoder, whose memory of words outlives a task."""
-    return Encoder(path)
+def encoder(path: str, most: int = 500_000) -> Encoder:
+    """This worker's encoder, whose memory of ``most`` words outlives a task."""
+    return Encoder(path, most)
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = 500_000):
         self.library = _library(path)
         self.vocabulary = self.library.get_vocab_size(with_added_tokens=True)
-        self.memory = WordMemory(self._encode_words)
+        self.memory = WordMemory(self._encode_words, most)
         special = [(i, t.content) for i, t in self.library.get_added_tokens_decoder().items() if t.special]
         self.ends = np.zeros(self.vocabulary, bool)
         suffix = json.loads(self.library.to_str())["model"].get("end_of_word_suffix")
