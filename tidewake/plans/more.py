@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from tidewake.functions import fixed_values as fixed
 from tidewake.functions import text as tx
-from tidewake.operators import clustering, credibility, fingerprint, graph, lifecycle, relational, report, retention, rules, sets, signals, temporal, vectors
+from tidewake.operators import clustering, credibility, fingerprint, lifecycle, relational, report, retention, rules, sets, signals, temporal, vectors
 from tidewake.plans import storage
 from tidewake.plans.core import _PAIRS, ALIKE, _domains, r4
 from tidewake.plans.cycle import run_cycle
 from tidewake.plans.registry import query
-from tidewake.plans.scoring import _LEVEL, _edges, _scored, as_of
+from tidewake.plans.scoring import _LEVEL, _ends, _scored, as_of
 from tidewake.plans.storage import kept
 from tidewake.plans.views import clustered, entities, posts, table, title_words, with_parts
 from tidewake.sources import generations, landing
@@ -188,7 +188,7 @@ def o14_reviews(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_parts("SELECT (SELECT count(DISTINCT n) FROM nb) AS nodes, (SELECT count(*) FROM un) AS links, (SELECT max(c) FROM (SELECT count(*) AS c FROM nb GROUP BY n)) AS most", "un", "nb"))
 def o15_graph_status(spark: SparkSession, d: str) -> DataFrame:
-    c = graph.degrees(graph.undirected(_edges(spark, d)))
+    c = _ends(spark, d).withColumn("degree", F.col("o") + F.col("i") - F.col("mutual"))
     return c.agg(F.count("*").alias("nodes"), F.floor(F.sum("degree") / 2).alias("links"), F.max("degree").alias("most"))
 
 
