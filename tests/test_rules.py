@@ -96,3 +96,14 @@ def test_entropy_aggregate(spark):
     for r in over:
         c = np.unique(list("xxyzzzzw"[max(0, r.t - 3) : r.t + 1]), return_counts=True)[1]
         assert abs(r.h - -(c / c.sum() * np.log2(c / c.sum())).sum()) < 1e-12
+
+
+def test_rounding_is_that_of_doubles(spark):
+    """Halves that aren't quite halves as doubles, against the SQL engine: Spark's own rounding differs on some of them."""
+    import duckdb
+
+    values = [k / 1000 for k in range(5, 100_000, 10)]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", rules.rounded(F.col("v"), 2).alias("r"), F.round("v", 2).alias("plain")).collect()
+    want = dict(duckdb.sql("SELECT v, round(v, 2) FROM (SELECT range / 1000 AS v FROM range(5, 100000, 10))").fetchall())
+    assert all(r.r == want[r.v] for r in got)
+    assert any(r.plain != want[r.v] for r in got)

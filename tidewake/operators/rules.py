@@ -81,6 +81,12 @@ def settled(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*(c for c in df.columns if c not in columns), one).select("*", "_settled.*").drop("_settled")
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """``c`` to some places as SQL engines on doubles do it: halves of the scaled value go up. Spark's own rounds the shortest decimal text, so that
+    70.945, which is a little less than that, would become 70.95."""
+    return F.round(c * float(10**digits)) / float(10**digits)
+
+
 def apply_rules(features: DataFrame) -> DataFrame:
     """Adds rules_fired (names in order), rule_trace (structs), cap, floor, zero, suppressed and forced_level.
 
@@ -112,7 +118,7 @@ def apply_rules(features: DataFrame) -> DataFrame:
 
 def final_score(ruled: DataFrame, raw: str = "raw_score") -> DataFrame:
     """score and alert_level: the floor beats the cap, a terminal rule gives zero, suppression gives ``normal``."""
-    score = F.when(F.col("zero"), 0.0).otherwise(F.round(F.greatest(F.least(F.col(raw), F.col("cap")), F.col("floor")), 2))
+    score = F.when(F.col("zero"), 0.0).otherwise(rounded(F.greatest(F.least(F.col(raw), F.col("cap")), F.col("floor")), 2))
     level: Column = F.when(F.col("suppressed"), "normal").when(F.col("forced_level").isNotNull(), F.col("forced_level")).when(F.col("score") >= 80, "critical").when(F.col("score") >= 60, "elevated").otherwise("normal")
     return settled(settled(ruled, score=score), alert_level=level)
 

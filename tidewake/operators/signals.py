@@ -79,11 +79,11 @@ def raw_velocity(f: DataFrame) -> DataFrame:
     scores = []
     for a, b, c, d, _ in ENSEMBLE.values():
         x = a * F.col("burst") + b * F.col("spread") - c * F.col("mutation") + d * F.col("tone_uniformity")
-        scores.append(F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 * vectors.logistic(x) * F.col("coordination"))), 2))
+        scores.append(rules.rounded(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 / (1 + F.exp(-x)) * F.col("coordination"))), 2))
     weights = [w[4] for w in ENSEMBLE.values()]
     out = rules.settled(f, _s=F.array(*scores))
     total = sum((F.col("_s")[k] * w for k, w in enumerate(weights)), F.lit(0.0)) / sum(weights)
-    out = rules.settled(out, raw_score=F.round(total, 2), ensemble_disagreement=F.array_max("_s") - F.array_min("_s"))
+    out = rules.settled(out, raw_score=rules.rounded(total, 2), ensemble_disagreement=F.array_max("_s") - F.array_min("_s"))
     return out.withColumn("ensemble_red_flag", (F.col("ensemble_disagreement") < 1) & (F.col("post_count") < 15)).drop("_s")
 
 
@@ -116,9 +116,9 @@ def confidence(f: DataFrame, bits: str = "domain_entropy", digits: int = 3) -> D
     out = rules.settled(f, _p=p, _m=1 / F.sqrt(F.greatest(F.lit(3), n)))
     raised = F.when((m >= 5) & (F.col("_p") < 0.65), F.least(F.lit(0.70), F.col("_p") + 0.10)).otherwise(F.col("_p"))
     return (
-        out.withColumn("confidence", F.round(raised, digits))
-        .withColumn("confidence_lower", F.round(F.greatest(F.lit(0.05), F.least(F.col("_p"), F.col("_p") * (1 - F.col("_m")))), digits))
-        .withColumn("confidence_upper", F.round(F.least(F.lit(0.99), F.greatest(F.col("_p"), F.col("_p") * (1 + F.col("_m") / 2))), digits))
+        out.withColumn("confidence", rules.rounded(raised, digits))
+        .withColumn("confidence_lower", rules.rounded(F.greatest(F.lit(0.05), F.least(F.col("_p"), F.col("_p") * (1 - F.col("_m")))), digits))
+        .withColumn("confidence_upper", rules.rounded(F.least(F.lit(0.99), F.greatest(F.col("_p"), F.col("_p") * (1 + F.col("_m") / 2))), digits))
         .withColumn("adequacy", F.when((n >= 50) & (sd >= 0.4), "sufficient").when(n >= 15, "moderate").when(n >= 5, "marginal").otherwise("insufficient"))
         .drop("_p", "_m", "_q")
     )

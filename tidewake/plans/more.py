@@ -161,7 +161,7 @@ def n04_registry_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_parts(f"SELECT k, score_, alert_level, domains, first_seen FROM (SELECT k, round(score, 1) AS score_, {_LEVEL} AS alert_level FROM fin) JOIN (SELECT cluster_id AS k, count(DISTINCT domain) AS domains, min(published_at) AS first_seen FROM cl GROUP BY cluster_id) USING (k)", "cl", "fin"))
 def o05_narrative_detail(spark: SparkSession, d: str) -> DataFrame:
-    s = _scored(spark, d).select("k", F.round("score", 1).alias("score_"), "alert_level")
+    s = _scored(spark, d).select("k", rules.rounded(F.col("score"), 1).alias("score_"), "alert_level")
     m = clustered(spark, d).groupBy(F.col("cluster_id").cast("long").alias("k")).agg(F.count_distinct("domain").alias("domains"), F.min("published_at").alias("first_seen"))
     return s.join(m, "k").select("k", "score_", "alert_level", "domains", "first_seen")
 

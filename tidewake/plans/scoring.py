@@ -149,7 +149,7 @@ CTES["raw"] = "SELECT *, round((s1 * 0.33 + s2 * 0.33 + s3 * 0.34) / 1.0, 2) AS
 
 @query(with_parts("SELECT k, round(raw_score, 1) AS raw_score, round(ensemble_disagreement, 1) AS ensemble_disagreement FROM raw", "raw"))
 def i12_raw_velocity(spark: SparkSession, d: str) -> DataFrame:
-    return signals.raw_velocity(_features(spark, d)).select("k", F.round("raw_score", 1).alias("raw_score"), F.round("ensemble_disagreement", 1).alias("ensemble_disagreement"))
+    return signals.raw_velocity(_features(spark, d)).select("k", rules.rounded(F.col("raw_score"), 1).alias("raw_score"), rules.rounded(F.col("ensemble_disagreement"), 1).alias("ensemble_disagreement"))
 
 
 CTES["cf"] = """SELECT *, CASE WHEN dna_match_count >= 5 AND p < 0.65 THEN least(0.70, p + 0.10) ELSE p END AS conf, 1 / sqrt(greatest(3, post_count)) AS mg FROM (
@@ -189,7 +189,7 @@ _LEVEL = "CASE WHEN suppressed THEN 'normal' WHEN list_contains(lv, 'critical')
 
 @query(with_parts(f"SELECT k, round(score, 1) AS score, {_LEVEL} AS alert_level FROM fin", "fin"))
 def i16_final_score(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d).select("k", F.round("score", 1).alias("score"), "alert_level")
+    return _scored(spark, d).select("k", rules.rounded(F.col("score"), 1).alias("score"), "alert_level")
 
 
 @query(with_parts("SELECT rule, count(*) AS n FROM (SELECT unnest(rules_fired) AS rule FROM fin) GROUP BY rule", "fin"))
@@ -257,7 +257,7 @@ def o18_pack_hash(spark: SparkSession, d: str) -> DataFrame:
 @query(with_parts(f"SELECT k, round(score, 1) AS score FROM (SELECT *, {_LEVEL} AS alert_level FROM fin) WHERE NOT suppressed AND post_count >= 8 AND alert_level <> 'normal' ORDER BY round(score, 1) DESC, k LIMIT 20", "fin"))
 def o04_feed(spark: SparkSession, d: str) -> DataFrame:
     s = _scored(spark, d).where("NOT suppressed AND post_count >= 8 AND alert_level <> 'normal'")
-    return s.select("k", F.round("score", 1).alias("score")).orderBy(F.desc("score"), "k").limit(20)
+    return s.select("k", rules.rounded(F.col("score"), 1).alias("score")).orderBy(F.desc("score"), "k").limit(20)
 
 
 @query(with_parts(f"SELECT camp, count(*) AS members, count(*) FILTER (WHERE alert_level = 'critical') AS critical, count(*) FILTER (WHERE alert_level = 'elevated') AS elevated, round(avg(score), 2) AS mean_score FROM (SELECT *, k % 7 AS camp, {_LEVEL} AS alert_level FROM fin) GROUP BY camp", "fin"))
