@@ -48,3 +48,17 @@ def test_blocks_in_groups(spark, monkeypatch):
     v = clustered(150, 7, 0.4)
     df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "k long, v array<double>").withColumn("extra", F.lit(1))
     assert {(r.a, r.b) for r in vectors.similar_pairs(df, "k", "v", 0.8, 16).collect()} == set(brute(v, 0.8))
+
+
+def test_blocks_are_shares_of_a_table_and_pairs_are_exact():
+    """Copies shipped don't grow with the table until blocks are full; single precision only chooses what is computed again."""
+    import numpy as np
+
+    from tidewake.operators import vectors
+
+    assert vectors.block_rows(2000, 64) == 4096 and vectors.block_rows(120_000, 64) == 15_000 and vectors.block_rows(10**8, 64) == 1 << 15
+    rng = np.random.default_rng(8)
+    u, v = (vectors._unit(rng.normal(size=(n, 16))) for n in (150, 90))
+    got = {(i, j): s for some in vectors.close_pairs(u, v, 0.3) for i, j, s in zip(*some)}
+    s = np.round(u @ v.T, 6)
+    assert got == {(i, j): s[i, j] for i, j in zip(*np.nonzero(s >= 0.3))}
