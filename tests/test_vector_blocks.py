@@ -62,3 +62,25 @@ def test_blocks_are_shares_of_a_table_and_pairs_are_exact():
     got = {(i, j): s for some in vectors.close_pairs(u, v, 0.3) for i, j, s in zip(*some)}
     s = np.round(u @ v.T, 6)
     assert got == {(i, j): s[i, j] for i, j in zip(*np.nonzero(s >= 0.3))}
+
+
+@pytest.mark.parametrize("least", [-0.2, 0.5, 0.9])
+@pytest.mark.parametrize("block", [16, 64])
+def test_threshold_components_equal_those_of_all_pairs(spark, least, block):
+    """One, many or few rows outside the largest component; only edges that join something leave a task."""
+    rng = np.random.default_rng(11)
+    v = np.concatenate([clustered(90, 2), rng.normal(size=(30, 8)), np.zeros((2, 8)), np.ones((20, 8))])
+    want = {i: i for i in range(len(v))}
+    for _ in v:
+        for i, j in brute(v, least):
+            want[i] = want[j] = min(want[i], want[j])
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)] + [(999, None)], "k long, v array<double>").repartition(3)
+    assert {r.node: r.component for r in vectors.threshold_components(df, "k", "v", least, block).collect()} == want
+    assert vectors.threshold_components(df.limit(0), "k", "v", least, block).count() == 0
+
+
+def test_a_dense_graph_leaves_a_task_as_a_forest():
+    v = vectors._unit(1 + 0.01 * np.random.default_rng(2).normal(size=(300, 8)))
+    one = np.arange(300)
+    assert len(vectors.joining(v, v, one, one, 0.9)) == 299 and len(vectors.joining(v[:200], v[200:], one[:200], one[200:], 0.9)) == 299
+    assert len(vectors.joining(v, v, one * 0, one * 0, 0.9)) == 0
