@@ -220,3 +220,13 @@ def test_entry(spark):
 
 def test_no_sql_without_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_s03_makes_no_links_of_purged_groups(spark, monkeypatch):
+    from tidewake.operators import vectors
+
+    seen, made = [], vectors.similar_pairs
+    monkeypatch.setattr(vectors, "similar_pairs", lambda df, *more: seen.append(df.count()) or made(df, *more))
+    d = DATA.replace("0.001", "0.01")
+    QUERIES["s03_purge"](spark, d)
+    assert len(seen) == 1 and 0 < seen[0] < spark.read.parquet(f"{d}/embeddings.parquet").count()

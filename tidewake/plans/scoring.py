@@ -546,8 +546,8 @@ def s02_prune_vectors(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH p AS ({_PAIRS}), g AS (SELECT event_id FROM events WHERE event_id % 2 = 0 AND ts < TIMESTAMP '2024-02-15 00:00:00' - INTERVAL 14 DAYS) SELECT a, b FROM p WHERE a NOT IN (SELECT event_id FROM g) AND b NOT IN (SELECT event_id FROM g)")
 def s03_purge(spark: SparkSession, d: str) -> DataFrame:
     g = table(spark, d, "events").withColumn("status", F.when(F.col("event_id") % 2 == 0, "archived").otherwise("active"))
-    links = vectors.similar_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", ALIKE)
-    return retention.purge(g, {"links": (links, ["a", "b"])}, "event_id", "ts", as_of())["links"].select("a", "b")
+    stay = retention.purge(g, {"vectors": (table(spark, d, "embeddings"), ["vec_id"])}, "event_id", "ts", as_of())["vectors"]  # links of purged groups are never made
+    return vectors.similar_pairs(stay, "vec_id", "embedding", ALIKE).select("a", "b")
 
 
 @query(f"WITH p AS ({_PAIRS}) SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS r FROM p) WHERE r <= 2")
