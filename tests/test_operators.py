@@ -510,3 +510,14 @@ def test_nearest_centroids_in_blocks(spark):
     for block in (4, 1000):
         assert {r.k: r.g for r in vectors.nearest_centroid(df, "k", "v", cents, "g", 0.5, block).collect()} == want
     assert vectors.nearest_centroid(df, "k", "v", cents.limit(0), "g").count() == 0
+
+
+def test_only_correlated_series_leave_a_task(spark):
+    rng = np.random.default_rng(12)
+    rows = [(k, f"2024-01-{t + 1:02d}", float(rng.normal() + (k % 3 == 0) * t)) for k in range(40) for t in range(20) if rng.random() < 0.8]
+    df = spark.createDataFrame(rows, "k long, at string, v double").withColumn("at", F.to_timestamp("at"))
+    every = {(r.a, r.b): (r.points, r.r) for r in temporal.aligned_series(df, "k", "at", "v").collect()}
+    want = {p: x for p, x in every.items() if x[1] > 0.7}
+    for block in (7, None):
+        got = {(r.a, r.b): (r.points, r.r) for r in temporal.aligned_series(df, "k", "at", "v", block=block, above=0.7).collect()}
+        assert 0 < len(want) < len(every) and set(want) <= set(got) and all(x[1] > 0.69 for x in got.values()) and all(abs(got[p][1] - want[p][1]) < 1e-9 for p in want)
