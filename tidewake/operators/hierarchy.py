@@ -21,7 +21,7 @@ from tidewake.operators.relational import top_per_key
 from tidewake.plans.storage import kept
 
 #: Edges, or clusters, that one task takes; edges of which a cut is the median.
-MOST, SAMPLE = 1 << 19, 501
+MOST, SAMPLE = 1 << 21, 501
 #: Masses this close (relative) are equal.
 CLOSE = 1e-9
 ROW = "g string, size int, kind string, name string, to string, mass double, n long, birth double"
