@@ -552,7 +552,7 @@ def s03_purge(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH p AS ({_PAIRS}) SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS r FROM p) WHERE r <= 2")
 def s04_cap_matches(spark: SparkSession, d: str) -> DataFrame:
-    return retention.cap_matches(vectors.similar_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", ALIKE), 2).select("a", "b")
+    return retention.cap_matches(vectors.similar_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", ALIKE, most=2), 2).select("a", "b")
 
 
 @query("SELECT count(DISTINCT text) AS contents FROM documents")
