@@ -39,10 +39,6 @@ def other_endpoint(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(F.col(a).alias("node"), F.col(b).alias("other"), *rest).unionByName(pairs.select(F.col(b).alias("node"), F.col(a).alias("other"), *rest))
 
 
-def both_in(pairs: DataFrame, a: str, b: str, keys: DataFrame, key: str) -> DataFrame:
-    return pairs.join(keys.select(F.col(key).alias(a)), a, "left_semi").join(keys.select(F.col(key).alias(b)), b, "left_semi")
-
-
 def union_feeds(*feeds: DataFrame) -> DataFrame:
     return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), feeds)
 

@@ -267,13 +267,15 @@ def c10_or_endpoints(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH p AS ({_PAIRS}), k AS (SELECT vec_id FROM embeddings WHERE label < 5) SELECT a, b FROM p WHERE a IN (SELECT vec_id FROM k) AND b IN (SELECT vec_id FROM k)")
 def c11_both_in_set(spark: SparkSession, d: str) -> DataFrame:
-    return relational.both_in(_pairs(spark, d), "a", "b", table(spark, d, "embeddings").where("label < 5"), "vec_id").select("a", "b")
+    e = table(spark, d, "embeddings")
+    some = e.join(e.where("label < 5").select("vec_id"), "vec_id", "left_semi")  # pairs with others are never made
+    return vectors.similar_pairs(some, "vec_id", "embedding", ALIKE).select("a", "b")
 
 
 @query(f"WITH p AS ({_PAIRS}) SELECT p.a, p.b, x.label AS la, y.label AS lb FROM p JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b")
 def c12_two_labels(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings")
-    return _pairs(spark, d).join(e.select(F.col("vec_id").alias("a"), F.col("label").alias("la")), "a").join(e.select(F.col("vec_id").alias("b"), F.col("label").alias("lb")), "b").select("a", "b", "la", "lb")
+    p = vectors.similar_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", ALIKE, carry="label")
+    return p.select("a", "b", F.col("a_label").alias("la"), F.col("b_label").alias("lb"))
 
 
 CTES["vx"] = "SELECT cluster_id, post_id, unnest(range(1, len(vector) + 1)) AS i, unnest(vector)::DOUBLE AS x FROM cl WHERE vector IS NOT NULL"
