@@ -244,3 +244,17 @@ def test_trimmed_memory_encodes_the_same():
         assert all((a == b).all() for a, b in zip(got, whole))
         words.memory.trim(keep)
         assert len(words.memory.index) <= max(keep, 200) and (keep or len(words.memory.flat) == 0)
+
+
+def test_packing_keeps_its_words_between_tasks():
+    """op7: 300,000 words of a task needn't be encoded again by the next."""
+    from tidewake.llm import packing
+    from tidewake.llm._shared import WordMemory
+
+    encoded = []
+    memory = WordMemory(lambda words: (encoded.extend(words), (np.arange(len(words)), np.ones(len(words), np.int64)))[1], packing.WORDS)
+    words = [str(k) for k in range(300_000)]
+    memory.ids(words)
+    memory.trim(packing.WORDS_BETWEEN)
+    memory.ids(words)
+    assert len(encoded) == 300_000

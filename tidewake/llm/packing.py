@@ -28,7 +28,7 @@ WINDOW = 4096
 #: With more sources than this, those without a target share so many queues by hash: a schedule's cost and size stay bounded.
 MOST_QUEUES = 4096
 #: Words whose ids a worker remembers during a task, and between tasks, when other stages run in it.
-WORDS, WORDS_BETWEEN = 400_000, 200_000
+WORDS, WORDS_BETWEEN = 600_000, 400_000
 #: Bytes of windows' states that a worker remembers.
 REMEMBERED = 8 << 20
 _FRACTION = 80
