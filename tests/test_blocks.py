@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidewake.operators import blocks, sets
+from tidewake.operators import blocks, follows, graph, sets
 
 
 def plan(df) -> str:
@@ -32,3 +32,16 @@ def test_mean_jaccard_repeats_no_sets(spark):
     got = sets.mean_jaccard(spark.createDataFrame(rows, "g int, m int, w string"), "g", "m", "w", 4)
     assert "Generate" not in plan(got) and "CartesianProduct" in plan(got)
     assert got.count() == 2
+
+
+def events_of(spark, sources: int = 30):
+    rng = np.random.default_rng(11)
+    rows = [(int(s), int(t)) for s, t in zip(rng.integers(0, sources, 600), rng.integers(0, 2000, 600))]
+    return spark.createDataFrame(rows, "s long, t long").select("s", F.timestamp_seconds("t").alias("ts"))
+
+
+def test_triples_of_blocks_repeat_no_timelines(spark):
+    df = events_of(spark)
+    assert follows.are_dense(df, "s", "ts", 50)
+    for got in (graph.follow_clustering(df, "s", "ts", 50, 9), follows.follow_degrees(df, "s", "ts", 50, 9)):
+        assert "Generate" not in plan(got) and "CartesianProduct" in plan(got)
