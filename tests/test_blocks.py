@@ -45,3 +45,9 @@ def test_triples_of_blocks_repeat_no_timelines(spark):
     assert follows.are_dense(df, "s", "ts", 50)
     for got in (graph.follow_clustering(df, "s", "ts", 50, 9), follows.follow_degrees(df, "s", "ts", 50, 9)):
         assert "Generate" not in plan(got) and "CartesianProduct" in plan(got)
+
+
+def test_pairs_of_blocks_of_sources_repeat_no_timelines(spark, monkeypatch):
+    monkeypatch.setattr(follows, "LEAST", 50)
+    got = follows.whole_follows(events_of(spark), "s", "ts", 50)
+    assert "Union" not in plan(got) and "CartesianProduct" in plan(got)
