@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidewake.operators import blocks, follows, graph, sets
+from tidewake.operators import blocks, follows, graph, sets, temporal
 
 
 def plan(df) -> str:
@@ -51,3 +51,16 @@ def test_pairs_of_blocks_of_sources_repeat_no_timelines(spark, monkeypatch):
     monkeypatch.setattr(follows, "LEAST", 50)
     got = follows.whole_follows(events_of(spark), "s", "ts", 50)
     assert "Union" not in plan(got) and "CartesianProduct" in plan(got)
+
+
+def test_pairs_of_blocks_of_series_repeat_no_values(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(k), int(t) * 3600, float(v)) for k, t, v in zip(rng.integers(0, 20, 300), rng.integers(0, 12, 300), rng.normal(size=300))]
+    series = spark.createDataFrame(rows, "k long, t long, v double").select("k", F.timestamp_seconds("t").alias("at"), "v")
+    got = temporal.aligned_series(series, "k", "at", "v", 3, 6)
+    assert "Generate" not in plan(got) and "CartesianProduct" in plan(got)
+    hours = {}
+    for k, t, _ in rows:
+        hours.setdefault(k, set()).add(t)
+    want = {(a, b): len(hours[a] & hours[b]) for a in hours for b in hours if a < b and len(hours[a] & hours[b]) >= 3}
+    assert {(r.a, r.b): r.points for r in got.collect()} == want
